@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 def running_totals(df: DataFrame, order: str, measures: list[str], stretch: int) -> DataFrame:
     """Replaces each measure by its running total up to and including the row.
 
-    `order` is a long, unique per row; `stretch` bounds how many of its values share a chunk.
+    `order` is a long, unique per row, so `stretch` bounds the rows of a chunk. Integer division: a
+    double would merge neighbouring values beyond 2^53.
     """
-    chunked = df.withColumn("chunk", F.floor(F.col(order) / stretch))
+    chunked = df.withColumn("chunk", F.expr(f"{order} div {stretch}"))
     across = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         chunked.groupBy("chunk")

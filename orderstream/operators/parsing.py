@@ -25,12 +25,15 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
 
     Unknown JSON fields are ignored and missing ones are null. Broken text, an empty message, JSON
     `null` and anything that is not an object are malformed.
+
+    The parsed struct goes through a one-element `inline`, so later filters on its fields stay
+    above it. As a plain projection they would be pushed below, each with its own copy of the
+    parser call.
     """
     parsed = F.from_json(value, f"{RAW_EVENT}, broken STRING", {"columnNameOfCorruptRecord": "broken"})
     text = F.trim(F.coalesce(F.col(value), F.lit("")))
-    malformed = F.col("event.broken").isNotNull() | ~text.startswith("{")
-    fields = [F.col(f"event.{name}") for name in ("message_id", "drink", "store", "price", "timestamp", "version")]
-    return lines.withColumn("event", parsed).select("*", *fields, malformed.alias("malformed")).drop("event")
+    malformed = F.col("broken").isNotNull() | ~text.startswith("{")
+    return lines.select("*", F.inline(F.array(parsed))).withColumn("malformed", malformed).drop("broken")
 
 
 def drop_malformed(parsed: DataFrame) -> DataFrame:

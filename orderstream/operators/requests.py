@@ -24,10 +24,6 @@ def bucket_counts(bounds: tuple[float, ...], duration: str = "duration_s") -> di
     return counts | {f"b{len(bounds)}": F.count(d)}
 
 
-def _as_array(bounds: tuple[float, ...]) -> Column:
-    return F.array(*[F.col(f"b{i}") for i in range(len(bounds) + 1)])
-
-
 def latency_histogram(requests: DataFrame, bounds: tuple[float, ...] = LATENCY_BOUNDS) -> DataFrame:
     """Per method and endpoint one row per bucket; each count includes the smaller buckets."""
     labels = [*map(str, bounds), "+Inf"]
@@ -36,27 +32,29 @@ def latency_histogram(requests: DataFrame, bounds: tuple[float, ...] = LATENCY_B
     return wide.select("method", "endpoint", F.inline(rows))
 
 
-def quantile_of_buckets(counts: Column, bounds: tuple[float, ...], q: float) -> Column:
-    """Linear interpolation inside the bucket that holds rank q·total.
+def quantile_of_buckets(bounds: tuple[float, ...], q: float) -> Column:
+    """Linear interpolation inside the bucket that holds rank q·total, from `bucket_counts` columns.
 
-    The last finite bound when the rank falls beyond it; null when nothing was counted.
+    The last finite bound when the rank falls beyond it; null when nothing was counted. Spelled out
+    bucket by bucket, so that it compiles into the surrounding stage.
     """
-    edges = F.array(*[F.lit(0.0)], *[F.lit(float(b)) for b in bounds])
-    below = F.concat(F.array(F.lit(0).cast("bigint")), counts)
-    total = F.element_at(counts, -1)
-    rank = F.lit(q) * total.cast("double")
-    i = F.array_position(F.transform(counts, lambda c: c.cast("double") >= rank), F.lit(True)).cast("int")
-    low, high = F.try_element_at(edges, i), F.try_element_at(edges, i + 1)
-    before, upto = F.try_element_at(below, i).cast("double"), F.try_element_at(below, i + 1).cast("double")
-    inside = low + (high - low) * F.try_divide(rank - before, upto - before)
-    return F.when(total == 0, F.lit(None)).when(i > len(bounds), F.lit(float(bounds[-1]))).otherwise(inside)
+    counts = [F.col(f"b{i}").cast("double") for i in range(len(bounds) + 1)]
+    total = counts[-1]
+    rank = F.lit(q) * total
+    estimate = F.when(total == 0, F.lit(None).cast("double"))
+    low, below = F.lit(0.0), F.lit(0.0)
+    for bound, upto in zip(bounds, counts, strict=False):
+        high = F.lit(float(bound))
+        estimate = estimate.when(upto >= rank, low + (high - low) * ((rank - below) / (upto - below)))
+        low, below = high, upto
+    return estimate.otherwise(F.lit(float(bounds[-1])))
 
 
 def latency_quantile(
     requests: DataFrame, keys: list[str], q: float = 0.95, bounds: tuple[float, ...] = LATENCY_BOUNDS
 ) -> DataFrame:
     wide = requests.groupBy(*keys).agg(*[c.alias(n) for n, c in bucket_counts(bounds).items()])
-    return wide.select(*keys, quantile_of_buckets(_as_array(bounds), bounds, q).alias("latency_s"))
+    return wide.select(*keys, quantile_of_buckets(bounds, q).alias("latency_s"))
 
 
 def latency_quantile_over_time(
@@ -69,7 +67,7 @@ def latency_quantile_over_time(
 ) -> DataFrame:
     """The same quantile over a sliding range; the ratio of two rates is the ratio of their counts."""
     sums = sliding_sums(requests, keys, bucket_counts(bounds), range_minutes, step_minutes)
-    return sums.select("sample_ts", *keys, quantile_of_buckets(_as_array(bounds), bounds, q).alias("latency_s"))
+    return sums.select("sample_ts", *keys, quantile_of_buckets(bounds, q).alias("latency_s"))
 
 
 def run_ledger(runs: DataFrame, job_pattern: str) -> DataFrame:

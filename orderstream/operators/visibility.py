@@ -8,13 +8,18 @@ and each order then looks up its gap by an equality join on a time bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
 _DAY = 86_400 * MICROS
 
 
+def _div(micros: Column, unit: int) -> Column:
+    """Whole units, in integer arithmetic."""
+    return F.call_function("div", micros, F.lit(unit).cast("bigint"))
+
+
 def refresh_gaps(refreshes: DataFrame, wait_seconds: int) -> DataFrame:
     """Per gap `[from_us, to_us)` before a refresh: when an order placed in it becomes visible.
 
@@ -26,7 +31,7 @@ def refresh_gaps(refreshes: DataFrame, wait_seconds: int) -> DataFrame:
     if wait > _DAY:
         raise ValueError("the wait must not exceed one day")
     at = F.unix_micros("refresh_ts")
-    own = refreshes.select(at.alias("at"), F.col("order_count").alias("seen"), F.floor(at / _DAY).alias("day"))
+    own = refreshes.select(at.alias("at"), F.col("order_count").alias("seen"), _div(at, _DAY).alias("day"))
     before = Window.orderBy("day")
     # At most one row per calendar day.
     carried = (
@@ -68,16 +73,16 @@ def visibility(orders: DataFrame, refreshes: DataFrame, wait_seconds: int, salts
     and are repeated once per salt, which spreads a bucket that holds a large part of all orders.
     """
     wait = wait_seconds * MICROS
-    last = F.floor((F.col("to_us") - 1) / wait)
+    last = _div(F.col("to_us") - 1, wait)
     buckets = (
         refresh_gaps(refreshes, wait_seconds)
         .where(F.col("to_us") > F.col("from_us"))
-        .withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from_us") / wait), last)))
+        .withColumn("bucket", F.explode(F.sequence(_div(F.col("from_us"), wait), last)))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .withColumn("salt", F.col("salt").cast("bigint"))
     )
     placed = orders.withColumn("at_us", F.unix_micros("ts")).withColumns(
-        {"bucket": F.floor(F.col("at_us") / wait), "salt": F.pmod(F.xxhash64("id"), F.lit(salts))}
+        {"bucket": _div(F.col("at_us"), wait), "salt": F.pmod(F.xxhash64("id"), F.lit(salts))}
     )
     inside = (F.col("o.at_us") >= F.col("g.from_us")) & (F.col("o.at_us") < F.col("g.to_us"))
     same = (F.col("o.bucket") == F.col("g.bucket")) & (F.col("o.salt") == F.col("g.salt"))

@@ -494,7 +494,7 @@ def stream_ingest_hours(spark, sf_dir):
 def stream_ingest_outcomes(spark, sf_dir):
     store = _ingested(spark, sf_dir)
     sums = [F.sum(c).alias(c) for c in ("inserted", "skipped", "quarantined")]
-    return store.table(spark, "outcomes").where("batch_id >= 0").agg(*sums, F.max("max_id").alias("max_id"))
+    return store.table(spark, "outcomes").agg(*sums, F.max("max_id").alias("max_id"))
 
 
 def _ingested(spark, sf_dir) -> Store:

@@ -37,7 +37,9 @@ ARRIVED_ORDER = (
 # The fact table. Written below `batch_id=<n>/order_date=<d>`.
 ORDER = "id BIGINT, " + ARRIVED_ORDER + ", batch_id BIGINT, order_date DATE"
 
-QUARANTINE = "arrival BIGINT, value STRING, reason STRING, batch_id BIGINT"
+
+# Every event of a batch after validation. Written below `batch_id=<n>/accepted=<bool>`.
+CHECKED_EVENT = ARRIVED_ORDER + ", reason STRING, value STRING, accepted BOOLEAN, batch_id BIGINT"
 OUTCOME = "inserted BIGINT, skipped BIGINT, quarantined BIGINT, max_id BIGINT, batch_id BIGINT"
 
 ITEM_DELTA = (

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderstream.operators.dedup import insertable, known_ids
 from orderstream.operators.numbering import numbered
 from orderstream.sinks.batches import before_batch, write_batch
 
+# Columns of a validated order before it has an id.
+ORDER_FIELDS = ("arrival", "message_id", "drink", "store", "price", "ts", "version")
+
 
 def with_ids(orders: DataFrame, start: Column) -> DataFrame:
     """Consecutive ids after `start`, in arrival order, and the partition date."""
@@ -25,17 +27,17 @@ def append_orders(orders: DataFrame, stored: DataFrame, root: str, batch_id: int
     write_batch(with_ids(orders, last), root, batch_id, ("order_date",))
 
 
-def new_orders(batch: DataFrame, stored: DataFrame, batch_id: int, horizon_days: int | None = None) -> DataFrame:
-    """Distinct rows of the batch with `copies` and `is_new`, checked against earlier batches.
+def earlier_orders(stored: DataFrame, batch: DataFrame, batch_id: int, horizon_days: int | None = None) -> DataFrame:
+    """The stored orders a batch is checked against: those of earlier batches.
 
-    `horizon_days` limits the check to stored orders at most that much older than the oldest of the
-    batch; the default checks all of them.
+    `horizon_days` limits them to orders at most that much older than the oldest of the batch; the
+    default checks all of them.
     """
     earlier = before_batch(stored, batch_id)
-    if horizon_days is not None:
-        oldest = batch.agg(F.date_sub(F.min("ts").cast("date"), horizon_days).alias("day")).scalar()
-        earlier = earlier.where(F.col("order_date") >= oldest)
-    return insertable(batch, known_ids(earlier, batch))
+    if horizon_days is None:
+        return earlier
+    oldest = batch.agg(F.date_sub(F.min("ts").cast("date"), horizon_days).alias("day")).scalar()
+    return earlier.where(F.col("order_date") >= oldest)
 
 
 def jdbc_options(url: str, table: str, batch_rows: int = 100) -> dict[str, str]:
@@ -45,7 +47,7 @@ def jdbc_options(url: str, table: str, batch_rows: int = 100) -> dict[str, str]:
 def write_jdbc(orders: DataFrame, url: str, table: str, batch_rows: int = 100, **options: str) -> None:
     """Appends to a database table in batched statements, in parallel over the partitions.
 
-    The rows must already be the new ones (see `new_orders`): Spark's JDBC writer has no
+    The rows must already be the new ones (see `insert_if_absent`): Spark's JDBC writer has no
     on-conflict clause.
     """
     rows = orders.select("message_id", "drink", "store", "price", F.col("ts").alias("timestamp"))

@@ -14,7 +14,7 @@ def parse_log_lines(lines: DataFrame, value: str = "value", schema: str = APP_LO
     A line that is not a JSON object has null fields and keeps its text in `malformed`.
     """
     parsed = F.from_json(value, f"{schema}, malformed STRING", {"columnNameOfCorruptRecord": "malformed"})
-    return lines.withColumn("entry", parsed).select("*", "entry.*").drop("entry")
+    return lines.select("*", F.inline(F.array(parsed)))
 
 
 def read_logs(spark: SparkSession, path: str, ns: str, app: str) -> DataFrame:

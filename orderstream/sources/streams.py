@@ -40,9 +40,9 @@ def folder_stream(
     return reader.load(path)
 
 
-def arrival_of(partition: Column, offset: Column) -> Column:
-    """One long that orders records by offset and keeps them apart across up to 65,536 partitions."""
-    return F.shiftleft(offset.cast("long"), 16) + partition.cast("long")
+def arrival_of(partition: Column, offset: Column, slots: int = 1024) -> Column:
+    """Position of a record in its topic: ordered by offset, unique over at most `slots` partitions."""
+    return offset.cast("long") * slots + partition.cast("long")
 
 
 def kafka_text(records: DataFrame) -> DataFrame:

@@ -1,25 +1,24 @@
 """Micro-batch ingest: parse, validate, insert if absent, and account for every row.
 
-One query writes all tables of a batch. Each table is written under the batch id and read back from
-storage before anything is derived from it, so later steps do not depend on cached data that a lost
-executor would take with it, and a repeated batch rewrites the same folders.
+One query writes all tables of a batch. Each step reads what the step before has written, under the
+batch id, rather than cached rows: a lost executor costs one task, and a batch that is repeated
+rewrites the same folders with the same rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orderstream.operators.dedup import outcome
+from orderstream.operators.dedup import insert_if_absent, known_ids
 from orderstream.operators.metrics import hour_items, merge_hour_items
-from orderstream.operators.parsing import checked, parse_events, quarantined, valid
-from orderstream.schemas import HOUR_ITEM, ORDER, OUTCOME, QUARANTINE, RECENT_SNAPSHOT, Domains
-from orderstream.sinks.batches import before_batch, write_batch
-from orderstream.sinks.orders import new_orders, with_ids
+from orderstream.operators.parsing import checked, parse_events
+from orderstream.schemas import CHECKED_EVENT, HOUR_ITEM, ORDER, OUTCOME, RECENT_SNAPSHOT, Domains
+from orderstream.sinks.batches import before_batch, of_batch, write_batch
+from orderstream.sinks.orders import ORDER_FIELDS, earlier_orders, with_ids
 from orderstream.sinks.snapshots import roll_recent
 from orderstream.sources.tables import ensure_table
 from orderstream.streaming.common import start
@@ -31,39 +30,23 @@ class Store:
 
     root: str
 
-    @property
-    def orders(self) -> str:
-        return f"{self.root}/orders"
+    _SCHEMAS = {
+        "events": CHECKED_EVENT,
+        "orders": ORDER,
+        "outcomes": OUTCOME,
+        "hour_increments": HOUR_ITEM,
+        "recent": RECENT_SNAPSHOT,
+    }
 
-    @property
-    def quarantine(self) -> str:
-        return f"{self.root}/quarantine"
-
-    @property
-    def outcomes(self) -> str:
-        return f"{self.root}/outcomes"
-
-    @property
-    def hour_increments(self) -> str:
-        return f"{self.root}/hour_increments"
-
-    @property
-    def recent(self) -> str:
-        return f"{self.root}/recent"
-
-    @property
-    def checkpoint(self) -> str:
-        return f"{self.root}/checkpoint"
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        schemas = {
-            "orders": ORDER,
-            "quarantine": QUARANTINE,
-            "outcomes": OUTCOME,
-            "hour_increments": HOUR_ITEM,
-            "recent": RECENT_SNAPSHOT,
-        }
-        return ensure_table(spark, getattr(self, name), schemas[name])
+        return ensure_table(spark, self.path(name), self._SCHEMAS[name])
+
+    def quarantine(self, spark: SparkSession) -> DataFrame:
+        """Rejected events with their text and the reason."""
+        return self.table(spark, "events").where(~F.col("accepted")).select("arrival", "value", "reason", "batch_id")
 
 
 def ingest_batch(
@@ -75,33 +58,40 @@ def ingest_batch(
     lenient_time: str | None = None,
     version: str | None = None,
 ) -> None:
-    """Works off one batch of `arrival, value` records."""
+    """Works off one batch of `arrival, value` records.
+
+    The input is read and parsed once. Accepted events are only needed until their batch is done
+    and may be dropped later; the rejected ones are the quarantine.
+    """
     spark = records.sparkSession
     parsed = parse_events(records)
     if version is not None:
         parsed = parsed.where(F.col("malformed") | (F.col("version") == version))
-    rows = checked(parsed, domains, lenient_time=lenient_time).persist(StorageLevel.DISK_ONLY)
-    try:
-        write_batch(quarantined(rows), store.quarantine, batch_id)
-        stored = store.table(spark, "orders")
-        outcomes = store.table(spark, "outcomes")
-        groups = new_orders(valid(rows), stored, batch_id, horizon_days).persist(StorageLevel.DISK_ONLY)
-        try:
-            last_id = before_batch(outcomes, batch_id).agg(F.coalesce(F.max("max_id"), F.lit(0)).alias("id")).scalar()
-            fresh = groups.where("is_new").drop("copies", "is_new")
-            write_batch(with_ids(fresh, last_id), store.orders, batch_id, ("order_date",))
-            rejected = rows.where(F.col("reason").isNotNull()).agg(F.count("*").alias("n")).scalar()
-            counts = outcome(groups).select(
-                "inserted", "skipped", rejected.alias("quarantined"), (F.col("inserted") + last_id).alias("max_id")
-            )
-            write_batch(counts, store.outcomes, batch_id)
-        finally:
-            groups.unpersist()
-    finally:
-        rows.unpersist()
-    inserted = store.table(spark, "orders").where(F.col("batch_id") == batch_id)
-    write_batch(hour_items(inserted), store.hour_increments, batch_id)
-    roll_recent(inserted, store.table(spark, "recent"), store.recent, batch_id)
+    accepted = F.col("reason").isNull()
+    events = checked(parsed, domains, lenient_time=lenient_time).select(
+        *ORDER_FIELDS, "reason", F.when(~accepted, F.col("value")).alias("value"), accepted.alias("accepted")
+    )
+    write_batch(events, store.path("events"), batch_id, ("accepted",))
+    stored_events = of_batch(store.table(spark, "events"), batch_id)
+    valid = stored_events.where("accepted").select(*ORDER_FIELDS)
+
+    earlier = earlier_orders(store.table(spark, "orders"), valid, batch_id, horizon_days)
+    outcomes = before_batch(store.table(spark, "outcomes"), batch_id)
+    last_id = outcomes.agg(F.coalesce(F.max("max_id"), F.lit(0)).alias("id")).scalar()
+    fresh = insert_if_absent(valid, known_ids(earlier, valid))
+    write_batch(with_ids(fresh, last_id), store.path("orders"), batch_id, ("order_date",))
+
+    inserted = of_batch(store.table(spark, "orders"), batch_id)
+    n = F.coalesce(inserted.agg(F.count("*").alias("n")).scalar(), F.lit(0))
+    counts = stored_events.agg(
+        n.alias("inserted"),
+        (F.count_if("accepted") - n).alias("skipped"),
+        F.count_if(~F.col("accepted")).alias("quarantined"),
+        (last_id + n).alias("max_id"),
+    )
+    write_batch(counts, store.path("outcomes"), batch_id)
+    write_batch(hour_items(inserted), store.path("hour_increments"), batch_id)
+    roll_recent(inserted, store.table(spark, "recent"), store.path("recent"), batch_id)
 
 
 def start_ingest(
@@ -121,7 +111,7 @@ def start_ingest(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, store, domains, horizon_days, lenient_time, version)
 
-    return start(records, on_batch, store.checkpoint, every)
+    return start(records, on_batch, store.path("checkpoint"), every)
 
 
 def current_hour_items(store: Store, spark: SparkSession) -> DataFrame:

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A fixed moment, a column, or a one-cell DataFrame that yields it.
-AsOf = datetime | Column | DataFrame
+# A fixed moment, or a column that holds it.
+AsOf = datetime | Column
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
-def newest(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """One cell: the latest timestamp of a table, usable wherever an `AsOf` is."""
-    return df.agg(F.max(ts).alias("as_of"))
 
+def newest(df: DataFrame, ts: str = "ts") -> datetime:
+    """The latest timestamp of a table: one number read back from a one-column scan.
 
-def moment(as_of: AsOf, shift: Callable[[Column], Column] = lambda c: c) -> Column:
-    """The moment, shifted.
-
-    For a one-cell DataFrame the shift is evaluated inside the scalar subquery, so what a filter
-    compares with is a bare subquery value, which Spark can push into the Parquet scan.
+    Jobs get their moment from outside; this is for data whose newest row stands for now. As a
+    literal it reaches partition pruning and the Parquet filters, which a subquery would not.
     """
-    if isinstance(as_of, DataFrame):
-        return as_of.select(shift(F.col(as_of.columns[0])).alias("at")).scalar()
+    micros = df.agg(F.unix_micros(F.max(ts)).alias("at")).first()["at"]
+    return _EPOCH + timedelta(microseconds=micros or 0)
+
+
+def moment(as_of: AsOf, shift: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The moment, shifted. A moment without a zone is UTC."""
     if isinstance(as_of, datetime):
         as_of = F.lit(as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC))
     return shift(as_of)

@@ -80,13 +80,14 @@ def hourly_metrics(orders: DataFrame, as_of: AsOf, hour: int | None = None, n: i
 def hour_items(orders: DataFrame) -> DataFrame:
     """Per hour and item: count, revenue, newest order. The additive form of the hourly metrics.
 
-    The hour is a tumbling window, so that on a stream its state ends with the watermark.
+    On a stream the hour is a window, so that its state ends with the watermark. In batch it is a
+    plain column, so that a later join on it finds the rows already partitioned.
     """
-    return (
-        orders.groupBy(F.window("ts", "1 hour").alias("w"), "drink")
-        .agg(F.count("*").alias("order_count"), _revenue().alias("revenue"), F.max("ts").alias("last_ts"))
-        .select(F.col("w.start").alias("hour_start"), "drink", "order_count", "revenue", "last_ts")
-    )
+    figures = [F.count("*").alias("order_count"), _revenue().alias("revenue"), F.max("ts").alias("last_ts")]
+    if not orders.isStreaming:
+        return orders.groupBy(F.date_trunc("hour", "ts").alias("hour_start"), "drink").agg(*figures)
+    windows = orders.groupBy(F.window("ts", "1 hour").alias("w"), "drink").agg(*figures)
+    return windows.select(F.col("w.start").alias("hour_start"), "drink", "order_count", "revenue", "last_ts")
 
 
 def merge_hour_items(*parts: DataFrame) -> DataFrame:

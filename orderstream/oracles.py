@@ -86,11 +86,11 @@ rec AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM ord
     body="""SELECT 'current_hour' AS section, CAST(1 AS BIGINT) AS rank,
    (SELECT string_agg(drink, ',' ORDER BY rank) FROM hr_top) AS name,
    CAST((SELECT hour(as_of) FROM clock) AS VARCHAR) AS detail,
-   CAST(sum(price) AS DOUBLE) AS amount, count(*) AS number FROM hr
-UNION ALL SELECT 'top5', rank, drink, NULL, NULL, NULL FROM top
+   CAST(sum(price) AS DOUBLE) AS amount, CAST(count(*) AS DOUBLE) AS number FROM hr
+UNION ALL SELECT 'top5', rank, drink, NULL, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM top
 UNION ALL SELECT 'recent', rank, drink,
    store || '|' || CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END,
-   CAST(price AS DOUBLE), id FROM rec""",
+   CAST(price AS DOUBLE), CAST(id AS DOUBLE) FROM rec""",
 )
 
 ISO = "CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"
@@ -332,8 +332,8 @@ def all_oracles() -> dict[str, str]:
             ORD,
             "a AS (SELECT date_trunc('hour', ts) AS h, drink, count(*) n, sum(price) rev FROM ord, clock WHERE ts < as_of - INTERVAL 2 HOUR GROUP BY 1, 2)",
             "b AS (SELECT date_trunc('hour', ts) AS h, drink, count(*) n, sum(price) rev FROM ord GROUP BY 1, 2)",
-            body="""SELECT b.h AS hour_start, b.drink, a.n AS order_count_before, CAST(a.rev AS DOUBLE) AS revenue_before,
-            b.n AS order_count_after, CAST(b.rev AS DOUBLE) AS revenue_after,
+            body="""SELECT b.h AS hour_start, b.drink, CAST(a.n AS DOUBLE) AS order_count_before, CAST(a.rev AS DOUBLE) AS revenue_before,
+            CAST(b.n AS DOUBLE) AS order_count_after, CAST(b.rev AS DOUBLE) AS revenue_after,
             CASE WHEN a.h IS NULL THEN 'added' ELSE 'changed' END AS status
             FROM b LEFT JOIN a ON a.h = b.h AND a.drink = b.drink WHERE a.n IS DISTINCT FROM b.n OR a.rev IS DISTINCT FROM b.rev""",
         ),
@@ -437,6 +437,6 @@ listed AS (SELECT name, count(*) AS n FROM req WHERE """
         + FAILED
         + """ GROUP BY 1)
 SELECT coalesce(method, '') AS type, coalesce(s.name, 'Aggregated') AS name, request_count, failure_count, mean_ms,
-  CAST(p95 AS DOUBLE) AS p95, n AS listed_failures FROM stats s LEFT JOIN listed l ON l.name = s.name"""
+  CAST(p95 AS DOUBLE) AS p95, coalesce(n, 0) AS listed_failures FROM stats s LEFT JOIN listed l ON l.name = s.name"""
     )
     return sql

@@ -76,7 +76,7 @@ def flattened(document: DataFrame) -> DataFrame:
         F.array_join("current_hour.top_drinks", ",").alias("name"),
         F.col("current_hour.hour").cast("string").alias("detail"),
         F.col("current_hour.revenue").alias("amount"),
-        F.col("current_hour.order_count").alias("number"),
+        F.col("current_hour.order_count").cast("double").alias("number"),
     )
     top = document.select(F.posexplode("top5_drinks").alias("pos", "drink")).select(
         F.lit("top5").alias("section"),
@@ -84,7 +84,7 @@ def flattened(document: DataFrame) -> DataFrame:
         F.col("drink").alias("name"),
         text.alias("detail"),
         number.alias("amount"),
-        F.lit(None).cast("bigint").alias("number"),
+        number.alias("number"),
     )
     recent = document.select(F.posexplode("recent_orders").alias("pos", "o")).select(
         F.lit("recent").alias("section"),
@@ -92,6 +92,6 @@ def flattened(document: DataFrame) -> DataFrame:
         F.col("o.drink").alias("name"),
         F.concat_ws("|", "o.store", "o.timestamp").alias("detail"),
         F.col("o.price").alias("amount"),
-        F.col("o.id").alias("number"),
+        F.col("o.id").cast("double").alias("number"),
     )
     return hour.unionByName(top).unionByName(recent)

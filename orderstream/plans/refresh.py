@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderstream.functions.times import AsOf, moment, start_of_hour
+from orderstream.functions.values import or_empty, or_zero
 from orderstream.operators.metrics import (
     hour_items,
     hourly_documents,
     hourly_metrics,
     name_list,
-    ranked,
     top_items_over,
 )
-from orderstream.operators.ranges import in_hour, trailing
+from orderstream.operators.ranges import in_hour
 from orderstream.operators.recent import recent_orders
-from orderstream.schemas import HOURLY_TTL
+from orderstream.schemas import HOURLY, HOURLY_TTL, RECENT_ORDER
 from orderstream.sinks.snapshots import overwrite_hourly, overwrite_recent, overwrite_top
 from orderstream.sources.tables import orders_scan
 
@@ -38,15 +38,16 @@ class SnapshotPaths:
 
 
 def current_hour_document(orders: DataFrame, as_of: AsOf) -> DataFrame:
-    """The stored document of the current hour; present, with zeros, also for an hour without orders."""
-    counts = hourly_documents(hour_items(in_hour(orders, as_of))).select("drink_counts")
-    empty = F.create_map().cast("map<string,bigint>")
-    return hourly_metrics(orders, as_of).select(
+    """The document to store for the current hour; present, with zeros, also for an hour without orders."""
+    document = hourly_documents(hour_items(in_hour(orders, as_of))).select(
+        F.struct("top_drinks", "revenue", "order_count", "drink_counts").alias("d")
+    )
+    return orders.sparkSession.range(1).select(document.scalar().alias("d")).select(
         moment(as_of, start_of_hour).alias("hour_start"),
-        "top_drinks",
-        "revenue",
-        "order_count",
-        F.coalesce(counts.scalar(), empty).alias("drink_counts"),
+        or_empty(F.col("d.top_drinks")).alias("top_drinks"),
+        F.coalesce("d.revenue", F.lit(0)).cast("decimal(20,2)").alias("revenue"),
+        or_zero(F.col("d.order_count")).cast("bigint").alias("order_count"),
+        F.coalesce("d.drink_counts", F.create_map().cast("map<string,bigint>")).alias("drink_counts"),
         moment(as_of).alias("updated_at"),
         moment(as_of, lambda c: c + F.expr(f"interval {HOURLY_TTL}")).alias("expires_at"),
     )
@@ -82,8 +83,6 @@ class Documents:
 
 def stored_documents(spark: SparkSession, paths: SnapshotPaths) -> Documents:
     """The stored documents, under declared schemas."""
-    from orderstream.schemas import HOURLY, RECENT_ORDER
-
     stamps = "updated_at TIMESTAMP, expires_at TIMESTAMP"
     return Documents(
         hourly=spark.read.schema(HOURLY).parquet(paths.hourly),
@@ -93,40 +92,16 @@ def stored_documents(spark: SparkSession, paths: SnapshotPaths) -> Documents:
 
 
 def computed_documents(orders: DataFrame, as_of: AsOf, n: int = 50) -> Documents:
-    """The same three documents as one lazy plan, without storing them.
+    """The same three documents as lazy plans, without storing them.
 
-    Current hour and 30-day ranking come out of one scan: per item, the hour's figures are
-    conditional sums next to the 30-day count.
+    Each reads only its own time range and columns; the 30-day part reads two of them.
     """
-    start, end = moment(as_of, start_of_hour), moment(as_of, lambda c: start_of_hour(c) + F.expr("interval 1 hour"))
-    now = (F.col("ts") >= start) & (F.col("ts") < end)
-    per_item = (
-        trailing(orders, as_of, "30 days")
-        .groupBy("drink")
-        .agg(
-            F.count("*").alias("order_count"),
-            F.max("ts").alias("last_ts"),
-            F.count_if(now).alias("hour_count"),
-            F.sum(F.when(now, F.col("price"))).cast("decimal(20,2)").alias("hour_revenue"),
-            F.max(F.when(now, F.col("ts"))).alias("hour_last_ts"),
-        )
-    )
-    named = per_item.where(F.col("drink").isNotNull())
-    hour = named.where("hour_count > 0").select(
-        "drink", F.col("hour_count").alias("order_count"), F.col("hour_last_ts").alias("last_ts")
+    never = F.lit(None).cast("timestamp").alias("expires_at")
+    hourly = hourly_metrics(orders, as_of).select(
+        moment(as_of, start_of_hour).alias("hour_start"), "top_drinks", "revenue", "order_count", never
     )
-    zero = F.lit(0).cast("decimal(20,2)")
-    hourly = per_item.agg(
-        F.coalesce(F.sum("hour_count"), F.lit(0)).alias("order_count"),
-        F.coalesce(F.sum("hour_revenue"), zero).cast("decimal(20,2)").alias("revenue"),
-    ).select(
-        start.alias("hour_start"),
-        name_list(ranked(hour, 5)).scalar().alias("top_drinks"),
-        "revenue",
-        "order_count",
-        moment(as_of).alias("updated_at"),
-        moment(as_of, lambda c: c + F.expr(f"interval {HOURLY_TTL}")).alias("expires_at"),
+    return Documents(
+        hourly=hourly,
+        top=name_list(top_items_over(orders, as_of)).select("names", never),
+        recent=recent_orders(orders, as_of, n).select("*", never),
     )
-    top = name_list(ranked(named, 5)).withColumn("expires_at", F.lit(None).cast("timestamp"))
-    recent = recent_orders(orders, as_of, n).withColumn("expires_at", F.lit(None).cast("timestamp"))
-    return Documents(hourly, top, recent)

@@ -7,6 +7,7 @@ summing, timestamps without zone, lists joined or one row per entry.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema.fields])
 
 
-def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     """The time of the newest event stands for now."""
     return newest(b.events(spark, sf_dir))
 
@@ -90,7 +91,7 @@ def hourly_metrics(spark, sf_dir):
 @query
 def hourly_metrics_empty(spark, sf_dir):
     """An hour of the day after the newest order: one row of zeros."""
-    tomorrow = newest(b.events(spark, sf_dir)).select((F.col("as_of") + F.expr("interval 1 day")).alias("as_of"))
+    tomorrow = as_of(spark, sf_dir) + timedelta(days=1)
     row = metrics.hourly_metrics(b.orders(spark, sf_dir), tomorrow, hour=23)
     return flat(row.withColumn("top_drinks", F.array_join("top_drinks", ",")))
 
@@ -161,7 +162,7 @@ def refresh_job(spark, sf_dir):
     orders = b.orders(spark, sf_dir).withColumn("order_date", F.to_date("ts"))
     # Both writes are laid out by date; the job prunes by it.
     orders.write.partitionBy("order_date").parquet(f"{root}/orders/batch_id=0")
-    now = as_of(spark, sf_dir).first()["as_of"].astimezone()
+    now = as_of(spark, sf_dir)
     paths = SnapshotPaths.below(root)
     refresh(spark, f"{root}/orders", paths, now)
     return flattened(dashboard(stored_documents(spark, paths), now))
@@ -431,7 +432,8 @@ def changed_only(spark, sf_dir):
     orders, now = b.orders(spark, sf_dir), as_of(spark, sf_dir)
     before = metrics.hour_items(orders.where(F.col("ts") < moment(now, back("2 hours"))))
     changes = diffing.changed_only(before, metrics.hour_items(orders), ["hour_start", "drink"], ["order_count", "revenue"])
-    return flat(changes)
+    # A key on one side only has no count on the other, so the counts are shown as doubles.
+    return flat(changes.withColumns({c: F.col(c).cast("double") for c in ("order_count_before", "order_count_after")}))
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -653,7 +655,7 @@ def load_report_files(spark, sf_dir):
             F.col("Failure Count").alias("failure_count"),
             F.col("Average Response Time").alias("mean_ms"),
             F.col("95%").alias("p95"),
-            F.col("n").alias("listed_failures"),
+            F.coalesce("n", F.lit(0)).alias("listed_failures"),
         )
     )
 

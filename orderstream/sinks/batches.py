@@ -22,10 +22,6 @@ def before_batch(table: DataFrame, batch_id: int) -> DataFrame:
     return table.where(F.col("batch_id") < batch_id)
 
 
-def of_batch(table: DataFrame, batch_id: int) -> DataFrame:
-    return table.where(F.col("batch_id") == batch_id)
-
-
 def latest_per_key(log: DataFrame, keys: list[str]) -> DataFrame:
     """Newest value per key of a table whose batches hold absolute values of the keys they changed."""
     values = [c for c in log.columns if c not in {*keys, "batch_id"}]

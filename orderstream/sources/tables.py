@@ -24,6 +24,11 @@ def ensure_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def read_batch(spark: SparkSession, root: str, schema: str, batch_id: int) -> DataFrame:
+    """One batch of a table; only its own folder is listed."""
+    return spark.read.schema(schema).option("basePath", root).parquet(f"{root}/batch_id={batch_id}")
+
+
 def orders_scan(spark: SparkSession, root: str) -> DataFrame:
     """The five reporting columns; Parquet reads only these, and prunes by `order_date`."""
     return read_table(spark, root, ORDER).select(*ORDER_COLUMNS, "order_date")

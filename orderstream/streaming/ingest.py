@@ -17,10 +17,10 @@ from orderstream.operators.dedup import insert_if_absent, known_ids
 from orderstream.operators.metrics import hour_items, merge_hour_items
 from orderstream.operators.parsing import checked, parse_events
 from orderstream.schemas import CHECKED_EVENT, HOUR_ITEM, ORDER, OUTCOME, RECENT_SNAPSHOT, Domains
-from orderstream.sinks.batches import before_batch, of_batch, write_batch
+from orderstream.sinks.batches import before_batch, write_batch
 from orderstream.sinks.orders import ORDER_FIELDS, earlier_orders, with_ids
 from orderstream.sinks.snapshots import roll_recent
-from orderstream.sources.tables import ensure_table
+from orderstream.sources.tables import ensure_table, read_batch
 from orderstream.streaming.common import start
 
 
@@ -44,6 +44,9 @@ class Store:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return ensure_table(spark, self.path(name), self._SCHEMAS[name])
 
+    def batch(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
+        return read_batch(spark, self.path(name), self._SCHEMAS[name], batch_id)
+
     def quarantine(self, spark: SparkSession) -> DataFrame:
         """Rejected events with their text and the reason."""
         return self.table(spark, "events").where(~F.col("accepted")).select("arrival", "value", "reason", "batch_id")
@@ -72,7 +75,7 @@ def ingest_batch(
         *ORDER_FIELDS, "reason", F.when(~accepted, F.col("value")).alias("value"), accepted.alias("accepted")
     )
     write_batch(events, store.path("events"), batch_id, ("accepted",))
-    stored_events = of_batch(store.table(spark, "events"), batch_id)
+    stored_events = store.batch(spark, "events", batch_id)
     valid = stored_events.where("accepted").select(*ORDER_FIELDS)
 
     earlier = earlier_orders(store.table(spark, "orders"), valid, batch_id, horizon_days)
@@ -81,7 +84,7 @@ def ingest_batch(
     fresh = insert_if_absent(valid, known_ids(earlier, valid))
     write_batch(with_ids(fresh, last_id), store.path("orders"), batch_id, ("order_date",))
 
-    inserted = of_batch(store.table(spark, "orders"), batch_id)
+    inserted = store.batch(spark, "orders", batch_id)
     n = F.coalesce(inserted.agg(F.count("*").alias("n")).scalar(), F.lit(0))
     counts = stored_events.agg(
         n.alias("inserted"),

@@ -14,6 +14,7 @@ from orderstream.schemas import RAW_EVENT, Domains
 MALFORMED = "malformed"
 NO_MESSAGE_ID = "message_id missing"
 HAS_ID = "id not allowed"
+NO_ID = "id missing"
 BAD_DRINK = "drink not in domain"
 BAD_STORE = "store not in domain"
 BAD_PRICE = "price not a number"
@@ -57,11 +58,13 @@ def checked(
     allow_missing_price: bool = False,
     lenient_time: str | None = None,
     id_column: str | None = None,
+    id_required: bool = False,
 ) -> DataFrame:
     """Typed `price` and `ts`, and `reason`: null for a valid order, else the first fault.
 
     `lenient_time` names a stored arrival-time column that replaces an unreadable timestamp
-    instead of rejecting the row. `id_column` must be empty on incoming rows.
+    instead of rejecting the row. `id_column` must be empty, as on incoming orders, or with
+    `id_required` filled, as on stored ones.
     """
     price = F.expr("try_cast(price AS DECIMAL(10,2))")
     ts = parse_iso(F.col("timestamp"))
@@ -76,7 +79,8 @@ def checked(
     if require_message_id:
         rules.append((F.col("message_id").isNull(), NO_MESSAGE_ID))
     if id_column is not None:
-        rules.append((F.col(id_column).isNotNull(), HAS_ID))
+        has_id = F.col(id_column).isNotNull()
+        rules.append((~has_id, NO_ID) if id_required else (has_id, HAS_ID))
     rules += [
         (~_member("drink", domains.drinks), BAD_DRINK),
         (~_member("store", domains.stores), BAD_STORE),

@@ -76,24 +76,25 @@ def _top(source: str, item: str = "drink", extra: str = "") -> str:
     FROM {source} {extra} GROUP BY {item} QUALIFY rank <= 5"""
 
 
-DASHBOARD_SQL = with_(
-    ORD,
-    """hr AS (SELECT ord.* FROM ord, clock WHERE ts >= date_trunc('hour', as_of) AND ts < date_trunc('hour', as_of) + INTERVAL 1 HOUR),
+ISO = "CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"
+
+
+def _dashboard(*ctes: str, orders: str = "ord") -> str:
+    return with_(
+        ORD,
+        *ctes,
+        f"""hr AS (SELECT o.* FROM {orders} o, clock WHERE ts >= date_trunc('hour', as_of) AND ts < date_trunc('hour', as_of) + INTERVAL 1 HOUR),
 hr_top AS (SELECT drink, row_number() OVER (ORDER BY count(*) DESC, max(ts) DESC, drink) AS rank FROM hr GROUP BY drink QUALIFY rank <= 5),
 top AS (SELECT drink, row_number() OVER (ORDER BY count(*) DESC, max(ts) DESC, drink) AS rank
-        FROM ord, clock WHERE ts >= as_of - INTERVAL 30 DAY GROUP BY drink QUALIFY rank <= 5),
-rec AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM ord, clock WHERE ts >= as_of - INTERVAL 1 HOUR QUALIFY rank <= 50)""",
-    body="""SELECT 'current_hour' AS section, CAST(1 AS BIGINT) AS rank,
-   (SELECT string_agg(drink, ',' ORDER BY rank) FROM hr_top) AS name,
+        FROM {orders}, clock WHERE ts >= as_of - INTERVAL 30 DAY GROUP BY drink QUALIFY rank <= 5),
+rec AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM {orders}, clock WHERE ts >= as_of - INTERVAL 1 HOUR QUALIFY rank <= 50)""",
+        body=f"""SELECT 'current_hour' AS section, CAST(1 AS BIGINT) AS rank,
+   coalesce((SELECT string_agg(drink, ',' ORDER BY rank) FROM hr_top), '') AS name,
    CAST((SELECT hour(as_of) FROM clock) AS VARCHAR) AS detail,
-   CAST(sum(price) AS DOUBLE) AS amount, CAST(count(*) AS DOUBLE) AS number FROM hr
+   CAST(coalesce(sum(price), 0) AS DOUBLE) AS amount, CAST(count(*) AS DOUBLE) AS number FROM hr
 UNION ALL SELECT 'top5', rank, drink, NULL, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM top
-UNION ALL SELECT 'recent', rank, drink,
-   store || '|' || CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END,
-   CAST(price AS DOUBLE), CAST(id AS DOUBLE) FROM rec""",
-)
-
-ISO = "CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"
+UNION ALL SELECT 'recent', rank, drink, store || '|' || {ISO}, CAST(price AS DOUBLE), CAST(id AS DOUBLE) FROM rec""",
+    )
 
 
 def _totals(*keys: str, source: str = "ord") -> str:
@@ -228,8 +229,8 @@ def all_oracles() -> dict[str, str]:
             ORD, body="SELECT id, drink, store, CAST(price AS DOUBLE) AS price, ts FROM ord, clock WHERE ts >= as_of - INTERVAL 1 DAY ORDER BY ts DESC, id DESC LIMIT 200"
         ),
         "rolling_last_10": with_(ORD, body="SELECT id, drink, store, CAST(price AS DOUBLE) AS price, ts FROM ord ORDER BY id DESC LIMIT 10"),
-        "dashboard_document": DASHBOARD_SQL,
-        "refresh_job": DASHBOARD_SQL,
+        "dashboard_document": _dashboard(),
+        "refresh_job": _dashboard(),
         "totals": with_(ORD, body=_totals()),
         "by_item": with_(ORD, body=_totals("drink")),
         "by_store": with_(ORD, body=_totals("store")),
@@ -302,7 +303,7 @@ def all_oracles() -> dict[str, str]:
             ORD, REDELIVERED, body="SELECT (SELECT count(*) FROM inserted) AS inserted, (SELECT count(*) FROM batch) - (SELECT count(*) FROM inserted) AS skipped"
         ),
         "first_of_each": with_(ORD, REDELIVERED, body="SELECT arrival, message_id, drink FROM grouped WHERE r = 1"),
-        "numbered_orders": with_(ORD, body="SELECT id AS arrival, message_id, row_number() OVER (ORDER BY id) + 1000 AS id FROM ord WHERE drink = 'purchase'"),
+        "numbered_orders": with_(ORD, REDELIVERED, body="SELECT arrival, message_id, row_number() OVER (ORDER BY arrival) + 1000 AS id FROM inserted"),
         "legacy_ids": with_(
             ORD,
             "texts AS (SELECT id, 'order-' || drink || '-' || message_id AS message_id FROM ord)",
@@ -367,6 +368,26 @@ def all_oracles() -> dict[str, str]:
             body="""SELECT count(*) FILTER (reason IS NULL) AS inserted, CAST(0 AS BIGINT) AS skipped,
             count(*) FILTER (reason IS NOT NULL) AS quarantined, count(*) FILTER (reason IS NULL) AS max_id FROM faults""",
         ),
+        "stream_quarantine": with_(ORD, FAULTS, body="SELECT id AS arrival, reason FROM faults WHERE reason IS NOT NULL"),
+        "stream_recent": with_(
+            ORD,
+            FAULTS,
+            _INGESTED,
+            body="""SELECT row_number() OVER (ORDER BY arrival) AS id, drink, store, CAST(price AS DOUBLE) AS price, ts
+            FROM kept ORDER BY arrival DESC LIMIT 10""",
+        ),
+        "stream_dashboard": _dashboard(
+            FAULTS, _INGESTED, "numbered AS (SELECT *, row_number() OVER (ORDER BY arrival) AS id FROM kept)", orders="numbered"
+        ),
+        "hourly_by_arrival": with_(
+            ORD,
+            FAULTS,
+            body="""SELECT date_trunc('hour', ts) AS hour_start, drink, count(*) AS order_count,
+            CAST(sum(price) AS DOUBLE) AS revenue, max(ts) AS last_ts FROM faults WHERE reason IS NULL GROUP BY 1, 2""",
+        ),
+        "kafka_records": with_(
+            ORD, FAULTS, body="SELECT id // 6 * 1024 + id % 6 AS arrival, message_id, sent_ts AS ts FROM faults WHERE reason IS NULL"
+        ),
         "stream_job": with_(
             ORD,
             FAULTS,

@@ -9,30 +9,35 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderstream.functions.ids import legacy_id, stable_message_id
-from orderstream.functions.times import back, clock_text, elapsed_ms, hour_text, iso_text, moment, newest, updated_text
-from orderstream.functions.values import hour_key, last_of, money_text, names_text
+from orderstream.functions.times import back, clock_text, elapsed_ms, hour_text, moment, newest, updated_text
+from orderstream.functions.values import hour_key, last_of, money_text, names_text, top_keys
 from orderstream.operators import dedup, diffing, loadstats, metrics, parsing, rates, recent, requests, visibility
+from orderstream.operators.numbering import numbered
 from orderstream.operators.ranges import fresh
-from orderstream.plans.dashboard import dashboard, flattened
+from orderstream.plans.dashboard import dashboard, flattened, from_json
 from orderstream.plans.loadreport import export_load_report, load_report
 from orderstream.plans.reconcile import reconcile
 from orderstream.plans.refresh import SnapshotPaths, computed_documents, refresh, stored_documents
-from orderstream.schemas import ARRIVED_ORDER
+from orderstream.schemas import ARRIVED_ORDER, DASHBOARD
 from orderstream.session import use_utc, work_dir
+from orderstream.sinks.batches import write_batch
 from orderstream.sinks.publish import keyed_records, publish_folder, string_records
+from orderstream.sinks.snapshots import rolled_recent
 from orderstream.sources import bindings as b
 from orderstream.sources.logs import parse_log_lines
 from orderstream.sources.reports import read_failures, read_stats
 from orderstream.sources.snapshots import hourly_at
-from orderstream.sources.streams import folder_stream
+from orderstream.sources.streams import kafka_text
+from orderstream.sources.tables import orders_scan as orders_scan_of
 from orderstream.sources.tables import read_table
 from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
+from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
 from orderstream.streaming.ingest import Store, current_hour_items, start_ingest
 
@@ -160,8 +165,8 @@ def refresh_job(spark, sf_dir):
     """The batch job end to end: order table written, documents stored, dashboard read back."""
     root = work_dir(spark, "refresh")
     orders = b.orders(spark, sf_dir).withColumn("order_date", F.to_date("ts"))
-    # Both writes are laid out by date; the job prunes by it.
-    orders.write.partitionBy("order_date").parquet(f"{root}/orders/batch_id=0")
+    # Rebalanced by date: few files per day, and a busy day is still split over tasks.
+    write_batch(orders.hint("rebalance", "order_date"), f"{root}/orders", 0, ("order_date",))
     now = as_of(spark, sf_dir)
     paths = SnapshotPaths.below(root)
     refresh(spark, f"{root}/orders", paths, now)
@@ -263,8 +268,6 @@ def partial_merge(spark, sf_dir):
 @query
 def map_top_keys(spark, sf_dir):
     """Per day the three items with the largest counts, from a count map."""
-    from orderstream.functions.values import top_keys
-
     daily = metrics.daily_items(b.orders(spark, sf_dir))
     maps = daily.groupBy(F.col("order_date").cast("timestamp").alias("day")).agg(
         F.map_from_entries(F.collect_list(F.struct("drink", "order_count"))).alias("counts")
@@ -343,11 +346,10 @@ def first_of_each(spark, sf_dir):
 
 @query
 def numbered_orders(spark, sf_dir):
-    """Consecutive ids in arrival order, continuing after an existing highest id."""
-    from orderstream.operators.numbering import numbered
-
-    orders = b.orders(spark, sf_dir).where(F.col("drink") == "purchase").select("arrival", "message_id")
-    return flat(numbered(orders, "arrival", F.lit(1000), stretch=500))
+    """The inserted rows with consecutive ids in arrival order, continuing after an existing highest id."""
+    batch, target = redelivered(spark, sf_dir)
+    fresh = dedup.insert_if_absent(batch, dedup.known_ids(target, batch))
+    return flat(numbered(fresh.select("arrival", "message_id"), "arrival", F.lit(1000), stretch=500))
 
 
 # --- scalar expressions --------------------------------------------------------------------------
@@ -441,14 +443,10 @@ def changed_only(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """The published stream delivered twice; every message comes through once."""
+    """The stream delivered twice; every message comes through once."""
     root = work_dir(spark, "dedup")
-    records = b.orders(spark, sf_dir)
-    for name in ("first", "again"):
-        records.write.mode("overwrite").parquet(f"{root}/in/{name}")
-    stream = folder_stream(spark, f"{root}/in/*", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema))
-    once = deduplicated(stream, "60 days", salts=8)
-    start(once, keep_changes(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
+    twice = b.as_orders(b.events_stream(spark, sf_dir)).unionByName(b.as_orders(b.events_stream(spark, sf_dir)))
+    start(deduplicated(twice, salts=8), keep_changes(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
     return flat(read_table(spark, f"{root}/out", ARRIVED_ORDER).select("message_id", "drink", "store", "price", "ts"))
 
 
@@ -506,6 +504,55 @@ def _ingested(spark, sf_dir) -> Store:
     return store
 
 
+@query
+def stream_quarantine(spark, sf_dir):
+    return _ingested(spark, sf_dir).quarantine(spark).select("arrival", "reason")
+
+
+@query
+def stream_recent(spark, sf_dir):
+    """The rolling list of the last ten orders the ingest stored."""
+    stored = rolled_recent(_ingested(spark, sf_dir).table(spark, "recent"))
+    return flat(stored.select("id", "drink", "store", "price", "ts"))
+
+
+@query
+def stream_dashboard(spark, sf_dir):
+    """The dashboard document stored by the periodic refresh next to the ingest, as rows."""
+    store, now = _ingested(spark, sf_dir), as_of(spark, sf_dir)
+    root = work_dir(spark, "dashboard")
+
+    def documents(at):
+        return computed_documents(orders_scan_of(spark, store.path("orders")), at)
+
+    ticks = b.events_stream(spark, sf_dir)
+    start_dashboard(ticks, documents, lambda: now, f"{root}/out", f"{root}/checkpoint", every=None).awaitTermination()
+    stored = from_json(spark.read.schema("json STRING").parquet(f"{root}/out"), DASHBOARD)
+    return flattened(stored)
+
+
+@query
+def hourly_by_arrival(spark, sf_dir):
+    """Hourly figures by arrival time instead of order time."""
+    orders = job.with_arrival_time(checked_events(spark, sf_dir).where(F.col("reason").isNull()))
+    return flat(metrics.hour_items(orders))
+
+
+@query
+def kafka_records(spark, sf_dir):
+    """Records in the shape of a Kafka source: bytes decoded, one arrival position from partition and offset."""
+    shaped = b.as_event_text(b.events(spark, sf_dir)).select(
+        F.lit(None).cast("binary").alias("key"),
+        F.encode("value", "UTF-8").alias("value"),
+        F.lit("orders").alias("topic"),
+        (F.col("arrival") % 6).cast("int").alias("partition"),
+        F.expr("arrival div 6").alias("offset"),
+        F.col("ingest_ts").alias("timestamp"),
+    )
+    parsed = parsing.checked(parsing.parse_events(kafka_text(shaped)), b.EVENT_DOMAINS)
+    return flat(parsing.valid(parsed).select("arrival", "message_id", "ts"))
+
+
 @query
 def stream_job(spark, sf_dir):
     """The three-sink job on the faulty stream: window figures of the v3 orders, per store and day."""
@@ -613,8 +660,6 @@ def refresh_snapshots(orders: DataFrame, minutes: int = 10) -> DataFrame:
     steps = per_step.select(
         F.col("w.start").alias("step_start"), F.date_trunc("hour", "w.start").alias("hour_start"), "n"
     )
-    from pyspark.sql import Window
-
     so_far = Window.partitionBy("hour_start").orderBy("step_start").rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(
         (F.col("step_start") + F.make_interval(mins=F.lit(minutes))).alias("refresh_ts"),
@@ -664,5 +709,3 @@ def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the dashboard document as rows."""
     return dashboard_document(spark, sf_dir)
 
-
-__all__ = ["all_queries", "entry_query", "iso_text"]

@@ -29,6 +29,16 @@ def latest_per_key(log: DataFrame, keys: list[str]) -> DataFrame:
     return log.groupBy(*keys).agg(newest).select(*keys, "newest.*")
 
 
+def merge_batches(table: DataFrame, new_root: str, upto: int, partition_by: tuple[str, ...] = ()) -> None:
+    """Rewrites all batches up to one as that batch of a new table, in files of the advisory size.
+
+    The rebalance hint gathers the rows of a partition value and splits the large ones again, so
+    neither many small files nor one huge task comes out of it.
+    """
+    settled = table.where(F.col("batch_id") <= upto).drop("batch_id")
+    write_batch(settled.hint("rebalance", *partition_by), new_root, upto, partition_by)
+
+
 def compact(log: DataFrame, keys: list[str], new_root: str, upto: int, additive: dict | None = None) -> None:
     """Writes the state up to a batch as one batch of a new table; later batches are added to that.
 

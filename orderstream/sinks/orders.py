@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderstream.operators.dedup import insert_if_absent, known_ids
 from orderstream.operators.numbering import numbered
 from orderstream.sinks.batches import before_batch, write_batch
 
@@ -20,8 +21,8 @@ def with_ids(orders: DataFrame, start: Column) -> DataFrame:
 def append_orders(orders: DataFrame, stored: DataFrame, root: str, batch_id: int) -> None:
     """Plain insert: every row is stored and numbered; rows need no message id.
 
-    One file per task and date. Rows are not gathered by date first: most of a batch falls on
-    one day, and that day would become one task.
+    Numbering leaves the rows in stretches of their arrival order, so a task holds few dates and
+    writes few files, and a busy day is spread over as many tasks as it has stretches.
     """
     last = before_batch(stored, batch_id).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     write_batch(with_ids(orders, last), root, batch_id, ("order_date",))
@@ -47,8 +48,17 @@ def jdbc_options(url: str, table: str, batch_rows: int = 100) -> dict[str, str]:
 def write_jdbc(orders: DataFrame, url: str, table: str, batch_rows: int = 100, **options: str) -> None:
     """Appends to a database table in batched statements, in parallel over the partitions.
 
-    The rows must already be the new ones (see `insert_if_absent`): Spark's JDBC writer has no
-    on-conflict clause.
+    The rows must already be the new ones: Spark's JDBC writer has no on-conflict clause.
     """
     rows = orders.select("message_id", "drink", "store", "price", F.col("ts").alias("timestamp"))
     rows.write.format("jdbc").options(**jdbc_options(url, table, batch_rows), **options).mode("append").save()
+
+
+def insert_jdbc(batch: DataFrame, url: str, table: str, batch_rows: int = 100, **options: str) -> None:
+    """Insert-if-absent into a database table.
+
+    Each partition of the write is one transaction. If some of them are lost, repeating the batch
+    finds the rows of the others already there and inserts the rest.
+    """
+    reader = batch.sparkSession.read.format("jdbc").options(**options).option("url", url).option("dbtable", table)
+    write_jdbc(insert_if_absent(batch, known_ids(reader.load(), batch)), url, table, batch_rows, **options)

@@ -16,6 +16,7 @@ from orderstream.operators.metrics import hour_items, window_items
 from orderstream.operators.parsing import checked, drop_malformed, of_version, parse_events, valid
 from orderstream.schemas import HOUR_ITEM, WINDOW_ITEM, Domains
 from orderstream.sinks.batches import latest_per_key
+from orderstream.sinks.orders import insert_jdbc
 from orderstream.sources.tables import ensure_table
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dedup import deduplicated
@@ -69,6 +70,17 @@ def start_hours(orders: DataFrame, root: str, checkpoint: str, every: str | None
     return start(hour_items(orders), keep_changes(root), checkpoint, every, "update")
 
 
+def start_database_sink(
+    orders: DataFrame, url: str, table: str, checkpoint: str, every: str | None = "200 milliseconds", **options: str
+) -> StreamingQuery:
+    """Orders inserted if absent into a database table; needs its JDBC driver on the class path."""
+
+    def insert(batch: DataFrame, _: int) -> None:
+        insert_jdbc(batch, url, table, **options)
+
+    return start(orders, insert, checkpoint, every)
+
+
 def start_job(
     records: DataFrame,
     store: JobStore,

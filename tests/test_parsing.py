@@ -86,6 +86,8 @@ def test_optional_rules(spark):
     parsed = p.parse_events(lines(spark, GOOD, GOOD)).withColumn("id", F.when(F.col("arrival") == 1, 7))
     got = p.checked(parsed, Domains(), id_column="id").orderBy("arrival").collect()
     assert [r.reason for r in got] == [None, p.HAS_ID]
+    stored = p.checked(parsed, Domains(), id_column="id", id_required=True).orderBy("arrival").collect()
+    assert [r.reason for r in stored] == [p.NO_ID, None]
 
 
 def test_versions(spark):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderstream.operators.recent import last_arrived
 from orderstream.schemas import RECENT_TTL
-from orderstream.sinks.batches import before_batch, write_batch
+from orderstream.sinks.batches import write_batch
 
 
 def overwrite_hourly(documents: DataFrame, root: str) -> None:
@@ -34,18 +34,17 @@ def overwrite_recent(orders: DataFrame, root: str, updated_at: Column) -> None:
     stamped.write.mode("overwrite").parquet(root)
 
 
-def roll_recent(batch: DataFrame, stored: DataFrame, root: str, batch_id: int, n: int = 10) -> None:
-    """The last n orders to arrive, over the stored list and the batch, as the list of this batch.
+def roll_recent(batch: DataFrame, previous: DataFrame, root: str, batch_id: int, n: int = 10) -> None:
+    """The last n orders to arrive, over the list of the batch before and this batch.
 
-    An empty batch writes nothing, so the expiry is renewed only by orders. The update time is
-    the newest order time of the list.
+    The update time is the newest order time of the list, so only orders renew the expiry.
     """
-    earlier = before_batch(stored, batch_id)
-    previous = earlier.where(F.col("batch_id") == earlier.agg(F.max("batch_id").alias("b")).scalar())
     columns = ["arrival", "id", "drink", "store", "price", "ts"]
     merged = last_arrived(previous.select(*columns).unionByName(batch.select(*columns)), n)
-    newest = merged.agg(F.max("ts").alias("at")).scalar()
-    stamped = merged.withColumns({"updated_at": newest, "expires_at": newest + F.expr(f"interval {RECENT_TTL}")})
+    updated_at = F.max("ts").over(Window.partitionBy())  # n rows
+    stamped = merged.withColumn("updated_at", updated_at).withColumn(
+        "expires_at", F.col("updated_at") + F.expr(f"interval {RECENT_TTL}")
+    )
     write_batch(stamped, root, batch_id)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,9 +27,13 @@ from orderstream.streaming.common import start
 
 @dataclass(frozen=True)
 class Store:
-    """The tables of one ingest, below a root folder."""
+    """The tables of one ingest, below a root folder.
+
+    `orders` moves the order table elsewhere, such as to the result of `merge_batches`.
+    """
 
     root: str
+    orders: str | None = None
 
     _SCHEMAS = {
         "events": CHECKED_EVENT,
@@ -39,7 +44,7 @@ class Store:
     }
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return self.orders if name == "orders" and self.orders else f"{self.root}/{name}"
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return ensure_table(spark, self.path(name), self._SCHEMAS[name])
@@ -47,6 +52,20 @@ class Store:
     def batch(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
         return read_batch(spark, self.path(name), self._SCHEMAS[name], batch_id)
 
+    def previous(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame:
+        """The newest batch of a table before the given one.
+
+        Usually the one numbered just before, whose folder is read directly: the cost of a batch
+        must not grow with the number of batches before it.
+        """
+        try:
+            return self.batch(spark, name, batch_id - 1)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        earlier = before_batch(self.table(spark, name), batch_id)
+        return earlier.where(F.col("batch_id") == earlier.agg(F.max("batch_id").alias("b")).scalar())
+
     def quarantine(self, spark: SparkSession) -> DataFrame:
         """Rejected events with their text and the reason."""
         return self.table(spark, "events").where(~F.col("accepted")).select("arrival", "value", "reason", "batch_id")
@@ -79,8 +98,7 @@ def ingest_batch(
     valid = stored_events.where("accepted").select(*ORDER_FIELDS)
 
     earlier = earlier_orders(store.table(spark, "orders"), valid, batch_id, horizon_days)
-    outcomes = before_batch(store.table(spark, "outcomes"), batch_id)
-    last_id = outcomes.agg(F.coalesce(F.max("max_id"), F.lit(0)).alias("id")).scalar()
+    last_id = store.previous(spark, "outcomes", batch_id).agg(F.coalesce(F.max("max_id"), F.lit(0)).alias("id")).scalar()
     fresh = insert_if_absent(valid, known_ids(earlier, valid))
     write_batch(with_ids(fresh, last_id), store.path("orders"), batch_id, ("order_date",))
 
@@ -94,7 +112,7 @@ def ingest_batch(
     )
     write_batch(counts, store.path("outcomes"), batch_id)
     write_batch(hour_items(inserted), store.path("hour_increments"), batch_id)
-    roll_recent(inserted, store.table(spark, "recent"), store.path("recent"), batch_id)
+    roll_recent(inserted, store.previous(spark, "recent", batch_id), store.path("recent"), batch_id)
 
 
 def start_ingest(

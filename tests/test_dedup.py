@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderstream.functions.ids import legacy_id, random_message_id, stable_message_id
 from orderstream.operators import dedup
 from orderstream.operators.numbering import numbered, running_totals
-from orderstream.sinks.orders import append_orders
+from orderstream.sinks.orders import append_orders, jdbc_options
 from orderstream.sources.tables import ensure_table, orders_scan
 from orderstream.schemas import ORDER
 
@@ -101,3 +101,7 @@ def test_ids(spark):
     rows = df.collect()
     assert len({r.u for r in rows}) == 50 and len({r.s for r in rows}) == 50
     assert {r.s for r in df.collect()} == {r.s for r in rows}
+
+
+def test_jdbc_options():
+    assert jdbc_options("jdbc:x", "orders") == {"url": "jdbc:x", "dbtable": "orders", "batchsize": "100"}

@@ -10,7 +10,7 @@ from orderstream.operators.parsing import checked, parse_events, valid
 from orderstream.plans.reconcile import reconcile
 from orderstream.plans.refresh import Documents, computed_documents
 from orderstream.schemas import HOUR_ITEM, Domains
-from orderstream.sinks.batches import compact, write_batch
+from orderstream.sinks.batches import compact, merge_batches, write_batch
 from orderstream.sinks.snapshots import rolled_recent
 from orderstream.sources.streams import folder_stream
 from orderstream.streaming import job
@@ -44,10 +44,10 @@ def records(spark, texts, first=0):
 DRINKS = ("latte", "americano", "cappuccino")
 
 
-@pytest.fixture
-def feed(spark, tmp_path):
+@pytest.fixture(scope="module")
+def feed(spark, tmp_path_factory):
     """Four files in order: orders over three hours, with repeats, faults and other versions among them."""
-    folder = tmp_path / "feed"
+    folder = tmp_path_factory.mktemp("stream") / "feed"
     texts = []
     for i in range(120):
         texts.append(event(i, DRINKS[i % 3], ("uptown", "downtown")[i % 2], version=f"v{2 + i % 2}"))
@@ -74,10 +74,16 @@ def batch_truth(spark, texts):
 HOURS = ("hour_start", "drink", "order_count", "revenue")
 
 
-def test_ingest_in_batches_equals_one_batch(spark, feed, tmp_path):
-    folder, texts = feed
-    store = Store(str(tmp_path / "store"))
-    run(start_ingest(folder_stream(spark, folder, RECORD, files_per_batch=1), store, DOMAINS))
+@pytest.fixture(scope="module")
+def ingested(spark, feed, tmp_path_factory):
+    """The feed, ingested in four batches."""
+    store = Store(str(tmp_path_factory.mktemp("ingest") / "store"))
+    run(start_ingest(folder_stream(spark, feed[0], RECORD, files_per_batch=1), store, DOMAINS))
+    return store
+
+
+def test_ingest_in_batches_equals_one_batch(spark, feed, ingested):
+    store, texts = ingested, feed[1]
     truth = batch_truth(spark, texts)
     orders = store.table(spark, "orders")
     assert rows_of(orders, "message_id", "drink", "store", "price", "ts") == rows_of(truth, "message_id", "drink", "store", "price", "ts")
@@ -108,12 +114,20 @@ def test_a_repeated_batch_changes_nothing(spark, feed, tmp_path):
 
 def test_redelivery_under_a_new_batch_inserts_nothing(spark, feed, tmp_path):
     _, texts = feed
-    for horizon in (None, 1):
-        store = Store(str(tmp_path / f"store{horizon}"))
-        for n in range(2):
-            ingest_batch(records(spark, texts, n * 1000), n, store, DOMAINS, horizon_days=horizon)
-        rows = {r.batch_id: r for r in store.table(spark, "outcomes").collect()}
-        assert (rows[0].inserted, rows[1].inserted, rows[1].skipped, rows[1].max_id) == (120, 0, 132, 120)
+    store = Store(str(tmp_path / "store"))
+    for n, horizon in enumerate((None, None, 1)):
+        ingest_batch(records(spark, texts, n * 1000), n, store, DOMAINS, horizon_days=horizon)
+    rows = rows_of(store.table(spark, "outcomes"), "batch_id", "inserted", "skipped", "max_id")
+    assert rows == [(0, 120, 12, 120), (1, 0, 132, 120), (2, 0, 132, 120)]
+
+
+def test_a_gap_in_the_batch_numbers(spark, tmp_path):
+    """Ids and the rolling list continue from whatever batch was stored last."""
+    store = Store(str(tmp_path / "store"))
+    ingest_batch(records(spark, [event(1), event(2)]), 3, store, DOMAINS)
+    ingest_batch(records(spark, [event(2), event(3)], 10), 9, store, DOMAINS)
+    assert rows_of(store.table(spark, "outcomes"), "batch_id", "inserted", "skipped", "max_id") == [(3, 2, 0, 2), (9, 1, 1, 3)]
+    assert [r.id for r in rolled_recent(store.table(spark, "recent")).collect()] == [1, 2, 3]
 
 
 def test_a_batch_of_only_faults(spark, tmp_path):
@@ -127,10 +141,10 @@ def test_a_batch_of_only_faults(spark, tmp_path):
 
 def test_restart_continues_from_the_checkpoint(spark, tmp_path):
     folder, store = str(tmp_path / "feed"), Store(str(tmp_path / "store"))
-    for n in range(3):
+    for n in range(2):
         records(spark, [event(n * 10 + i) for i in range(10)], n * 10).coalesce(1).write.mode("append").parquet(folder)
         run(start_ingest(folder_stream(spark, folder, RECORD), store, DOMAINS))
-    assert rows_of(store.table(spark, "outcomes"), "batch_id", "inserted", "skipped") == [(0, 10, 0), (1, 10, 0), (2, 10, 0)]
+    assert rows_of(store.table(spark, "outcomes"), "batch_id", "inserted", "skipped") == [(0, 10, 0), (1, 10, 0)]
 
 
 def test_a_failing_batch_stops_the_query_and_is_retried(spark, tmp_path):
@@ -202,10 +216,8 @@ def test_figures_by_arrival_time(spark, tmp_path):
     assert rows_of(by_arrival.select(F.hour("hour_start").alias("h"), "order_count")) == [(20, 2)]
 
 
-def test_compaction_keeps_the_figures(spark, feed, tmp_path):
-    folder, _ = feed
-    store = Store(str(tmp_path / "store"))
-    run(start_ingest(folder_stream(spark, folder, RECORD, files_per_batch=1), store, DOMAINS))
+def test_compaction_keeps_the_figures(spark, ingested, tmp_path):
+    store = ingested
     new_root = str(tmp_path / "compacted")
     log = store.table(spark, "hour_increments")
     sums = {
@@ -217,6 +229,11 @@ def test_compaction_keeps_the_figures(spark, feed, tmp_path):
     write_batch(log.where("batch_id = 3").drop("batch_id"), new_root, 3)
     compacted = spark.read.schema(HOUR_ITEM).parquet(new_root).drop("batch_id")
     assert rows_of(metrics.merge_hour_items(compacted), *HOURS) == rows_of(current_hour_items(store, spark), *HOURS)
+    merge_batches(store.table(spark, "orders"), str(tmp_path / "merged"), 3, ("order_date",))
+    moved = Store(store.root, orders=str(tmp_path / "merged"))
+    columns = ("id", "message_id", "ts", "order_date")
+    assert rows_of(moved.table(spark, "orders"), *columns) == rows_of(store.table(spark, "orders"), *columns)
+    assert {r.batch_id for r in moved.table(spark, "orders").select("batch_id").collect()} == {3}
     values = str(tmp_path / "values")
     for n, (a, b) in enumerate([(1, 1), (2, None), (None, 5)]):
         rows = [(k, v) for k, v in (("a", a), ("b", b)) if v is not None]

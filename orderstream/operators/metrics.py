@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderstream.functions.times import AsOf, moment
+from orderstream.functions.times import AsOf, back, moment
 from orderstream.functions.values import add_maps, amount, or_empty, or_zero, top_keys
-from orderstream.operators.ranges import in_hour, trailing
+from orderstream.operators.ranges import between, in_hour, trailing
 from orderstream.schemas import HOURLY_TTL
 
 
@@ -196,6 +196,15 @@ def daily_items(orders: DataFrame) -> DataFrame:
     )
 
 
+def daily_from_hours(hours: DataFrame) -> DataFrame:
+    """The same daily counts from hourly ones, such as those an ingest keeps."""
+    return (
+        hours.where(F.col("drink").isNotNull())
+        .groupBy(F.to_date("hour_start").alias("order_date"), "drink")
+        .agg(F.sum("order_count").alias("order_count"), F.max("last_ts").alias("last_ts"))
+    )
+
+
 def top_items_rolled(daily: DataFrame, orders: DataFrame, as_of: AsOf, span: str, n: int = 5) -> DataFrame:
     """`top_items_over` from daily counts.
 
@@ -204,13 +213,13 @@ def top_items_rolled(daily: DataFrame, orders: DataFrame, as_of: AsOf, span: str
     """
 
     def first_day(c: Column) -> Column:
-        return (c - F.expr(f"interval {span}")).cast("date")
+        return back(span)(c).cast("date")
 
     def next_midnight(c: Column) -> Column:
         return F.date_add(first_day(c), 1).cast("timestamp")
 
     whole = daily.where(F.col("order_date") > moment(as_of, first_day)).select("drink", "order_count", "last_ts")
-    partial = popularity(trailing(orders, as_of, span).where(F.col("ts") < moment(as_of, next_midnight)))
+    partial = popularity(between(orders, as_of, back(span), next_midnight))
     total = (
         whole.unionByName(partial)
         .groupBy("drink")

@@ -6,31 +6,41 @@ partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderstream.functions.times import AsOf, back, hour_of_day, moment, plus, start_of_hour
 
+Shift = Callable[[Column], Column]
+
+
+def since(orders: DataFrame, as_of: AsOf, start: Shift, ts: str = "ts") -> DataFrame:
+    """From a moment on, with no upper bound."""
+    if "order_date" in orders.columns:
+        orders = orders.where(F.col("order_date") >= moment(as_of, lambda c: start(c).cast("date")))
+    return orders.where(F.col(ts) >= moment(as_of, start))
+
 
-def _dated(df: DataFrame, as_of: AsOf, shift, day: str = "order_date", upper: bool = False) -> DataFrame:
-    if day not in df.columns:
-        return df
-    edge = moment(as_of, lambda c: shift(c).cast("date"))
-    return df.where(F.col(day) <= edge if upper else F.col(day) >= edge)
+def between(orders: DataFrame, as_of: AsOf, start: Shift, end: Shift, ts: str = "ts") -> DataFrame:
+    """Half-open range between two moments."""
+    orders = since(orders, as_of, start, ts)
+    if "order_date" in orders.columns:
+        last = moment(as_of, lambda c: (end(c) - F.expr("interval 1 microsecond")).cast("date"))
+        orders = orders.where(F.col("order_date") <= last)
+    return orders.where(F.col(ts) < moment(as_of, end))
 
 
 def in_hour(orders: DataFrame, as_of: AsOf, hour: int | None = None, ts: str = "ts") -> DataFrame:
     """Half-open hour on the UTC day of `as_of`; the current hour unless one is given."""
     start = start_of_hour if hour is None else hour_of_day(hour)
-    end = plus(start, "1 hour")
-    orders = _dated(_dated(orders, as_of, start), as_of, end, upper=True)
-    return orders.where((F.col(ts) >= moment(as_of, start)) & (F.col(ts) < moment(as_of, end)))
+    return between(orders, as_of, start, plus(start, "1 hour"), ts)
 
 
 def trailing(orders: DataFrame, as_of: AsOf, span: str, ts: str = "ts") -> DataFrame:
     """From `span` before `as_of`, with no upper bound: orders dated ahead are included."""
-    cutoff = back(span)
-    return _dated(orders, as_of, cutoff).where(F.col(ts) >= moment(as_of, cutoff))
+    return since(orders, as_of, back(span), ts)
 
 
 def fresh(documents: DataFrame, as_of: AsOf) -> DataFrame:

@@ -37,12 +37,16 @@ class SnapshotPaths:
         return cls(f"{root}/hourly", f"{root}/top", f"{root}/recent")
 
 
-def current_hour_document(orders: DataFrame, as_of: AsOf) -> DataFrame:
-    """The document to store for the current hour; present, with zeros, also for an hour without orders."""
-    document = hourly_documents(hour_items(in_hour(orders, as_of))).select(
+def current_hour_document(hours: DataFrame, as_of: AsOf) -> DataFrame:
+    """The document of the current hour from hourly figures by item.
+
+    It is present, with zeros, also for an hour without orders.
+    """
+    now = hours.where(F.col("hour_start") == moment(as_of, start_of_hour))
+    document = hourly_documents(now).select(
         F.struct("top_drinks", "revenue", "order_count", "drink_counts").alias("d")
     )
-    return orders.sparkSession.range(1).select(document.scalar().alias("d")).select(
+    return hours.sparkSession.range(1).select(document.scalar().alias("d")).select(
         moment(as_of, start_of_hour).alias("hour_start"),
         or_empty(F.col("d.top_drinks")).alias("top_drinks"),
         F.coalesce("d.revenue", F.lit(0)).cast("decimal(20,2)").alias("revenue"),
@@ -62,7 +66,7 @@ def refresh(spark: SparkSession, orders_root: str, paths: SnapshotPaths, as_of:
     """
     orders = orders_scan(spark, orders_root)
     at = moment(as_of)
-    overwrite_hourly(current_hour_document(orders, as_of), paths.hourly)
+    overwrite_hourly(current_hour_document(hour_items(in_hour(orders, as_of)), as_of), paths.hourly)
     overwrite_top(name_list(top_items_over(orders, as_of)), paths.top, at)
     overwrite_recent(recent_orders(orders, as_of), paths.recent, at)
     stored = stored_documents(spark, paths)

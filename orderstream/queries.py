@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,13 +34,12 @@ from orderstream.sources.logs import parse_log_lines
 from orderstream.sources.reports import read_failures, read_stats
 from orderstream.sources.snapshots import hourly_at
 from orderstream.sources.streams import kafka_text
-from orderstream.sources.tables import orders_scan as orders_scan_of
 from orderstream.sources.tables import read_table
 from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
-from orderstream.streaming.ingest import Store, current_hour_items, start_ingest
+from orderstream.streaming.ingest import Store, current_hour_items, ingested_documents, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -522,10 +522,8 @@ def stream_dashboard(spark, sf_dir):
     store, now = _ingested(spark, sf_dir), as_of(spark, sf_dir)
     root = work_dir(spark, "dashboard")
 
-    def documents(at):
-        return computed_documents(orders_scan_of(spark, store.path("orders")), at)
-
     ticks = b.events_stream(spark, sf_dir)
+    documents = partial(ingested_documents, store, spark)
     start_dashboard(ticks, documents, lambda: now, f"{root}/out", f"{root}/checkpoint", every=None).awaitTermination()
     stored = from_json(spark.read.schema("json STRING").parquet(f"{root}/out"), DASHBOARD)
     return flattened(stored)

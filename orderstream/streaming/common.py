@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from orderstream.sinks.batches import write_batch
@@ -27,6 +29,16 @@ def start(
     return writer.start()
 
 
+def together(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Runs independent writes of one batch side by side; the first failure is raised.
+
+    The threads carry the job group of the batch, so stopping the query also stops their jobs.
+    """
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]:
+            done.result()
+
+
 def keep_changes(root: str) -> Callable[[DataFrame, int], None]:
     """Batch handler that stores the absolute values a stateful query emits."""
 

@@ -14,15 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from orderstream.functions.times import AsOf
 from orderstream.operators.dedup import insert_if_absent, known_ids
-from orderstream.operators.metrics import hour_items, merge_hour_items
+from orderstream.operators.metrics import daily_from_hours, hour_items, merge_hour_items, name_list, top_items_rolled
 from orderstream.operators.parsing import checked, parse_events
+from orderstream.operators.recent import recent_orders
+from orderstream.plans.refresh import Documents, current_hour_document
 from orderstream.schemas import CHECKED_EVENT, HOUR_ITEM, ORDER, OUTCOME, RECENT_SNAPSHOT, Domains
 from orderstream.sinks.batches import before_batch, write_batch
 from orderstream.sinks.orders import ORDER_FIELDS, earlier_orders, with_ids
 from orderstream.sinks.snapshots import roll_recent
 from orderstream.sources.tables import ensure_table, read_batch
-from orderstream.streaming.common import start
+from orderstream.streaming.common import start, together
 
 
 @dataclass(frozen=True)
@@ -110,9 +113,13 @@ def ingest_batch(
         F.count_if(~F.col("accepted")).alias("quarantined"),
         (last_id + n).alias("max_id"),
     )
-    write_batch(counts, store.path("outcomes"), batch_id)
-    write_batch(hour_items(inserted), store.path("hour_increments"), batch_id)
-    roll_recent(inserted, store.previous(spark, "recent", batch_id), store.path("recent"), batch_id)
+    recent = store.previous(spark, "recent", batch_id)
+    together(
+        spark,
+        lambda: write_batch(counts, store.path("outcomes"), batch_id),
+        lambda: write_batch(hour_items(inserted), store.path("hour_increments"), batch_id),
+        lambda: roll_recent(inserted, recent, store.path("recent"), batch_id),
+    )
 
 
 def start_ingest(
@@ -138,3 +145,20 @@ def start_ingest(
 def current_hour_items(store: Store, spark: SparkSession) -> DataFrame:
     """The hourly figures: the sum of the increments of all batches."""
     return merge_hour_items(store.table(spark, "hour_increments").drop("batch_id"))
+
+
+def ingested_documents(store: Store, spark: SparkSession, as_of: AsOf, n: int = 50) -> Documents:
+    """The three dashboard documents from what the ingest keeps.
+
+    The ranking takes whole days from the hourly figures, so a refresh reads the orders of one
+    partial day and of the last hour, however long the range is.
+    """
+    hours = current_hour_items(store, spark)
+    orders = store.table(spark, "orders")
+    never = F.lit(None).cast("timestamp").alias("expires_at")
+    top = top_items_rolled(daily_from_hours(hours), orders, as_of, "30 days")
+    return Documents(
+        hourly=current_hour_document(hours, as_of),
+        top=name_list(top).select("names", never),
+        recent=recent_orders(orders, as_of, n).select("*", never),
+    )

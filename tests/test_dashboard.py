@@ -93,7 +93,7 @@ def test_an_order_without_a_price_is_listed(orders_of):
 
 
 def test_current_hour_document_without_orders(five_orders):
-    doc = current_hour_document(five_orders, utc("2025-12-09 15:00:00")).first()
+    doc = current_hour_document(metrics.hour_items(five_orders), utc("2025-12-09 15:00:00")).first()
     assert (doc.order_count, doc.revenue, doc.top_drinks, doc.drink_counts) == (0, Decimal("0.00"), [], {})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderstream.operators import metrics
 from orderstream.operators.parsing import checked, parse_events, valid
+from orderstream.plans.dashboard import dashboard, flattened
 from orderstream.plans.reconcile import reconcile
 from orderstream.plans.refresh import Documents, computed_documents
 from orderstream.schemas import HOUR_ITEM, Domains
@@ -17,7 +18,7 @@ from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
-from orderstream.streaming.ingest import Store, current_hour_items, ingest_batch, start_ingest
+from orderstream.streaming.ingest import Store, current_hour_items, ingest_batch, ingested_documents, start_ingest
 
 RECORD = "arrival BIGINT, value STRING, ingest_ts TIMESTAMP"
 DOMAINS = Domains()
@@ -216,6 +217,13 @@ def test_figures_by_arrival_time(spark, tmp_path):
     assert rows_of(by_arrival.select(F.hour("hour_start").alias("h"), "order_count")) == [(20, 2)]
 
 
+def test_dashboard_from_ingest_equals_a_full_scan(spark, ingested):
+    orders = ingested.table(spark, "orders")
+    for now in (utc("2025-12-09 09:40:00"), utc("2026-01-08 08:30:00"), utc("2026-01-08 09:15:30")):
+        quick = flattened(dashboard(ingested_documents(ingested, spark, now), now))
+        assert rows_of(quick) == rows_of(flattened(dashboard(computed_documents(orders, now), now)))
+
+
 def test_compaction_keeps_the_figures(spark, ingested, tmp_path):
     store = ingested
     new_root = str(tmp_path / "compacted")

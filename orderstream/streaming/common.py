@@ -18,15 +18,33 @@ def start(
     checkpoint: str,
     every: str | None = None,
     mode: str = "append",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Starts a query that hands each micro-batch to `on_batch`.
 
     `every` is the trigger interval; without it the query works off what is there and stops.
-    A failing batch fails the query, and its offsets are not committed.
+    `partitions` is the number of state partitions, which the first start of a checkpoint fixes;
+    without it the session's setting counts. A failing batch fails the query, and its offsets are
+    not committed.
     """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    if partitions is None:
+        return writer.start()
+    # A query copies the session's settings when it starts.
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, partitions)
+    try:
+        return writer.start()
+    finally:
+        conf.set(name, before)
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partitions, but not more than two per core: each costs files per batch."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(configured, 2 * spark.sparkContext.defaultParallelism)
 
 
 def together(spark: SparkSession, *writes: Callable[[], None]) -> None:

@@ -59,15 +59,22 @@ def order_stream(
 
 
 def start_windows(
-    orders: DataFrame, root: str, checkpoint: str, size: str = "1 second", every: str | None = None
+    orders: DataFrame,
+    root: str,
+    checkpoint: str,
+    size: str = "1 second",
+    every: str | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Tumbling windows by store and item; every change of a window is stored."""
-    return start(window_items(orders, size), keep_changes(root), checkpoint, every, "update")
+    return start(window_items(orders, size), keep_changes(root), checkpoint, every, "update", partitions)
 
 
-def start_hours(orders: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def start_hours(
+    orders: DataFrame, root: str, checkpoint: str, every: str | None = None, partitions: int | None = None
+) -> StreamingQuery:
     """Hours by item, straight from the orders; every change of an hour is stored."""
-    return start(hour_items(orders), keep_changes(root), checkpoint, every, "update")
+    return start(hour_items(orders), keep_changes(root), checkpoint, every, "update", partitions)
 
 
 def start_database_sink(
@@ -90,6 +97,7 @@ def start_job(
     window: str = "1 second",
     every: str | None = None,
     salts: int = 0,
+    partitions: int | None = None,
 ) -> list[StreamingQuery]:
     """Order table with recent orders, window figures and hourly figures: three queries.
 
@@ -98,8 +106,8 @@ def start_job(
     orders = deduplicated(order_stream(records, domains, version), delay, salts)
     return [
         start_ingest(records, store.ingest, domains, every, version=version),
-        start_windows(orders, store.windows, store.checkpoint("windows"), window, every),
-        start_hours(orders, store.hours, store.checkpoint("hours"), every),
+        start_windows(orders, store.windows, store.checkpoint("windows"), window, every, partitions),
+        start_hours(orders, store.hours, store.checkpoint("hours"), every, partitions),
     ]
 
 

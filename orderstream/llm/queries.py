@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import fingerprints, language, quality
+from orderstream.llm import fingerprints, language, near, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op3_document_fingerprints": fingerprints.query,
     "op6_language_id": language.query,
+    "op9_minhash_near_dedup": near.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.sql(),
+    "op9_minhash_near_dedup": near.SQL,
 }

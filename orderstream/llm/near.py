@@ -7,9 +7,10 @@ label goes. Candidates are neighbours in the order (longest common prefixes meet
 that agrees most with the region's commonest minima. A class keeps its two most alike candidates; full shingle sets
 confirm them, and confirmed links make components.
 
-A second pass takes the regions in which classes of several components still meet and compares the signatures of
-those outside the largest component with all others, block by block; every pair that might reach the threshold
-(SLACK below it, five standard errors and more) is confirmed on full sets. No candidate is capped.
+A second pass takes the regions in which classes of several components still meet (one of more than HUGE classes is cut
+deeper first). Signatures tell, block by block, which classes may have a link into another component (SLACK below the
+threshold, five standard errors); these bring their full sets, and an inverted index per region finds every link that
+still joins two components. Pairs are compared inside the task and never become rows.
 
 A pair at similarity 0.8 misses all 16 trees with a probability of 8e-8.
 
@@ -25,6 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from orderstream.llm.hashing import U, mix, shingle_set, word_hashes
 
 TREES, DEPTH, LABEL, SHARED = 16, 4, 8, 2
 HASHES = TREES * DEPTH
-CROWD = 64
+CROWD, HUGE = 64, 4096
 SLACK = 0.27
 BLOCK = 256
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -112,14 +114,14 @@ def regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tabl
         yield last[0], pa.concat_tables(held)
 
 
-def parts(sig: np.ndarray, rows: np.ndarray, order: list[int], depth: int) -> Iterator[np.ndarray]:
+def parts(sig: np.ndarray, rows: np.ndarray, order: list[int], depth: int, crowd: int) -> Iterator[np.ndarray]:
     """A region's rows in label order, cut deeper where it is crowded."""
-    if len(rows) <= CROWD or depth >= LABEL:
+    if len(rows) <= crowd or depth >= LABEL:
         yield rows
         return
     value = sig[rows, order[depth]]
     for v in np.unique(value):
-        yield from parts(sig, rows[value == v], order, depth + 1)
+        yield from parts(sig, rows[value == v], order, depth + 1, crowd)
 
 
 def medoid(sig: np.ndarray) -> int:
@@ -149,7 +151,7 @@ def neighbours(threshold: float):
             order = [(tree * DEPTH + j) % HASHES for j in range(LABEL)]
             ranked = np.lexsort([sig[:, j] for j in reversed(order)])
             a, b = [ranked[:-1]], [ranked[1:]]
-            for part in [ranked, *parts(sig, ranked, order, SHARED)] if len(ranked) > CROWD else [ranked]:
+            for part in [ranked, *parts(sig, ranked, order, SHARED, CROWD)] if len(ranked) > CROWD else [ranked]:
                 if len(part) > 2:
                     a.append(part)
                     b.append(np.full(len(part), part[medoid(sig[part])]))
@@ -162,28 +164,80 @@ def neighbours(threshold: float):
 
 
 def unmet(threshold: float):
+    """The rows of a region that may have a link into another component."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in regions_of(batches):
+        for tree, rows in regions_of(batches):
             nodes = rows.column("node").to_pylist()
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(nodes), HASHES)
             group = np.unique(np.array([x.hex() for x in rows.column("component").to_pylist()]), return_inverse=True)[1]
-            largest = np.bincount(group).argmax()
-            outside = np.flatnonzero(group != largest)
-            for i in range(0, len(outside), BLOCK):
-                x = outside[i : i + BLOCK]
-                for j in range(0, len(nodes), BLOCK):
-                    like = np.zeros((len(x), min(BLOCK, len(nodes) - j)), np.int16)
-                    for h in range(HASHES):
-                        like += sig[x, h][:, None] == sig[j : j + BLOCK, h][None, :]
-                    like = like / HASHES
-                    like[group[x][:, None] == group[j : j + BLOCK][None, :]] = 0
-                    p, q = np.nonzero(like >= threshold - SLACK)
-                    if len(p):
-                        yield emitted(nodes, x[p], q + j, like[p, q])
+            order = [(tree * DEPTH + j) % HASHES for j in range(LABEL)]
+            for number, part in enumerate(parts(sig, np.arange(len(nodes)), order, SHARED, HUGE)):
+                size = np.bincount(group[part])
+                outside = part[group[part] != size.argmax()]
+                marked = np.zeros(len(nodes), bool)
+                for i in range(0, len(outside), BLOCK):
+                    x = outside[i : i + BLOCK]
+                    for j in range(0, len(part), BLOCK):
+                        y = part[j : j + BLOCK]
+                        like = np.zeros((len(x), len(y)), np.int16)
+                        for h in range(HASHES):
+                            like += sig[x, h][:, None] == sig[y, h][None, :]
+                        ok = (like >= (threshold - SLACK) * HASHES) & (group[x][:, None] != group[y][None, :])
+                        marked[x[ok.any(1)]] = True
+                        marked[y[ok.any(0)]] = True
+                found = np.flatnonzero(marked)
+                if len(found):
+                    chosen = rows.take(pa.array(found)).select(["node", "tree", "region", "component"]).combine_chunks()
+                    chosen = chosen.append_column("part", pa.array(np.full(len(found), number, np.int32)))
+                    yield from chosen.to_batches()
+
+    return run
+
+
+def linked(percent: int):
+    """Links that join the components of a region, found on full shingle sets: at most one fewer than there are rows.
+
+    An inverted index of the region's shingles gives a row's overlap with all others at once. Rows outside the largest
+    component are taken in turn; a link counts unless it joins what is joined already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in regions_of(batches):
+            for part in np.unique(rows.column("part").to_numpy()):
+                yield from within(rows.filter(pa.compute.equal(rows.column("part"), int(part))), percent)
 
     return run
 
 
+def within(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    nodes = rows.column("node").to_pylist()
+    sets = [np.frombuffer(x, U) for x in rows.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    group = np.unique(np.array([x.hex() for x in rows.column("component").to_pylist()]), return_inverse=True)[1]
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    number = np.unique(every, return_inverse=True)[1]
+    owner = owner[np.argsort(number, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(number))])
+    at = np.concatenate([[0], np.cumsum(size)])
+    a, b = [], []
+    for x in np.flatnonzero(group != np.bincount(group).argmax()):
+        mine = number[at[x] : at[x + 1]]
+        both = np.zeros(len(sets), np.int64)
+        for i in range(0, len(mine), 4096):
+            lists = [owner[first[k] : first[k + 1]] for k in mine[i : i + 4096]]
+            both += np.bincount(np.concatenate(lists), minlength=len(sets))
+        ok = (both * 100 >= (size + size[x] - both) * percent) & (group != group[x])
+        while ok.any():
+            y = int(ok.argmax())
+            a.append(x)
+            b.append(y)
+            group[group == group[x]] = group[y]
+            ok &= group != group[x]
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in a], pa.binary()), pa.array([nodes[i] for i in b], pa.binary())], ["a", "b"])
+
+
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         both, total = [], []
@@ -198,15 +252,18 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the wanted classes, from one document each; others of the same id are told apart by class."""
+    ids = wanted.distinct().join(classes.select("node", F.col("doc_id").alias("_id")), "node")
+    texts = docs.join(ids, docs["doc_id"] == F.col("_id")).select("node", "text")
+    return texts.mapInArrow(checked(size), "node binary, shingles binary").dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
     """The pairs whose full shingle sets overlap enough."""
     pairs = stored(pairs, f"{folder}-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = wanted.join(classes.select("node", F.col("doc_id").alias("_id")), "node")
-    # One document of each wanted class; equal ids with other words are told apart by their class afterwards.
-    texts = docs.join(ids.select("_id", "node").distinct(), docs["doc_id"] == F.col("_id")).select("node", "text", "doc_id")
-    texts = texts.select("node", "text").mapInArrow(checked(size), "node binary, shingles binary").dropDuplicates(["node"])
-    sets = stored(texts, f"{folder}-sets")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = stored(sets_of(wanted, docs, classes, size), f"{folder}-sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     found = joined.select("a", "b", "x", "y").mapInArrow(overlaps, "a binary, b binary, both long, total long")
@@ -261,10 +318,12 @@ def near_duplicates(
     mixed = named.groupBy(*by_region).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     open_ = named.join(mixed.select(*by_region), by_region)
     open_ = open_.join(classes.select("node", "sig"), "node").repartition(*by_region).sortWithinPartitions(*by_region)
-    rest = open_.select("node", "sig", "tree", "region", "component").mapInArrow(unmet(threshold), PAIRS)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = confirmed(rest, docs, classes, size, percent, f"{folder}/second")
+    shape = "node binary, tree int, region long, component binary, part int"
+    rest = open_.select("node", "sig", "tree", "region", "component").mapInArrow(unmet(threshold), shape)
+    rest = stored(rest, f"{folder}/open")
+    sets = stored(sets_of(rest.select("node"), docs, classes, size), f"{folder}/open-sets")
+    rest = rest.join(sets, "node").repartition(*by_region).sortWithinPartitions(*by_region)
+    more = stored(rest.mapInArrow(linked(percent), "a binary, b binary"), f"{folder}/more")
     reached = stored(components(links.union(more), "near-second"), f"{folder}/all")
 
     of_node = classes.join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")

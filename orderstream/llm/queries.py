@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import fingerprints, language, near, packing, quality, repeats
+from orderstream.llm import fingerprints, language, near, packing, quality, repeats, weighting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
     "op3_document_fingerprints": fingerprints.query,
     "op5_suffix_array_dedup": repeats.query,
     "op6_language_id": language.query,
+    "op8_lm_scoring": weighting.query,
     "op9_minhash_near_dedup": near.query,
     "op10_packing": packing.query,
 }

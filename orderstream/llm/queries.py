@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import fingerprints, language, near, packing, quality, repeats, weighting
+from orderstream.llm import chats, fingerprints, language, near, packing, private, quality, repeats, weighting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
+    "op2_chat_formatting": chats.query,
     "op3_document_fingerprints": fingerprints.query,
+    "op4_pii": private.query,
     "op5_suffix_array_dedup": repeats.query,
     "op6_language_id": language.query,
     "op8_lm_scoring": weighting.query,
@@ -20,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.sql(),
+    "op2_chat_formatting": chats.SQL,
     "op9_minhash_near_dedup": near.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import chats, fingerprints, language, near, packing, private, quality, repeats, weighting
+from orderstream.llm import chats, fingerprints, language, near, packing, pieces, private, quality, repeats, weighting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": private.query,
     "op5_suffix_array_dedup": repeats.query,
     "op6_language_id": language.query,
+    "op7_sentencepiece": pieces.query,
     "op8_lm_scoring": weighting.query,
     "op9_minhash_near_dedup": near.query,
     "op10_packing": packing.query,

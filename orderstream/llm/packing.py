@@ -30,7 +30,7 @@ from orderstream.llm.common import read
 LENGTH = 2048
 END = 1
 SHARD = 1 << 20
-CACHED = 300_000
+CACHED = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 _words: dict[tuple[str, str], bytes] | dict = {}

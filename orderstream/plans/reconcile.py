@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orderstream.operators.diffing import compared
 from orderstream.operators.metrics import hour_items, hourly_documents
@@ -23,5 +24,6 @@ def drifted_hours(comparison: DataFrame) -> DataFrame:
 
 def repair(comparison: DataFrame, orders: DataFrame, hourly_root: str) -> None:
     """Rewrites the documents of the drifted hours from the orders."""
-    items = hour_items(orders).join(drifted_hours(comparison), "hour_start", "left_semi")
-    overwrite_hourly(hourly_documents(items), hourly_root)
+    hours = drifted_hours(comparison)
+    drifted = orders.join(hours, F.date_trunc("hour", orders["ts"]).eqNullSafe(hours["hour_start"]), "left_semi")
+    overwrite_hourly(hourly_documents(hour_items(drifted)), hourly_root)

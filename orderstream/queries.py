@@ -36,7 +36,7 @@ from orderstream.sources.snapshots import hourly_at
 from orderstream.sources.streams import kafka_text
 from orderstream.sources.tables import read_table
 from orderstream.streaming import job
-from orderstream.streaming.common import keep_changes, start, state_partitions
+from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
 from orderstream.streaming.ingest import Store, current_hour_items, ingested_documents, start_ingest
@@ -47,6 +47,8 @@ _QUERIES: dict[str, Query] = {}
 
 CORE_NAMES = ("GET /api/click", "GET /api/error", "GET /api/view", "POST /api/purchase")
 JOBS = "aggregator"
+# State partitions of the registered streams; a job names its own for the life of its checkpoint.
+STATE_PARTITIONS = 8
 
 
 def query(fn: Query) -> Query:
@@ -447,8 +449,7 @@ def stream_dedup(spark, sf_dir):
     root = work_dir(spark, "dedup")
     twice = b.as_orders(b.events_stream(spark, sf_dir)).unionByName(b.as_orders(b.events_stream(spark, sf_dir)))
     once = deduplicated(twice, salts=8)
-    n = state_partitions(spark)
-    start(once, keep_changes(f"{root}/out"), f"{root}/checkpoint", partitions=n).awaitTermination()
+    start(once, keep_changes(f"{root}/out"), f"{root}/checkpoint", partitions=STATE_PARTITIONS).awaitTermination()
     return flat(read_table(spark, f"{root}/out", ARRIVED_ORDER).select("message_id", "drink", "store", "price", "ts"))
 
 
@@ -456,8 +457,7 @@ def stream_dedup(spark, sf_dir):
 def stream_tumbling_store(spark, sf_dir):
     root = work_dir(spark, "windows")
     orders = b.as_orders(b.events_stream(spark, sf_dir)).withWatermark("ts", "1 hour")
-    n = state_partitions(spark)
-    job.start_windows(orders, f"{root}/out", f"{root}/checkpoint", partitions=n).awaitTermination()
+    job.start_windows(orders, f"{root}/out", f"{root}/checkpoint", partitions=STATE_PARTITIONS).awaitTermination()
     stats = metrics.window_stats(job.stored_windows(spark, f"{root}/out"))
     return flat(stats.select("window_start", "window_end", "store", "total_orders", "total_revenue"))
 
@@ -465,8 +465,7 @@ def stream_tumbling_store(spark, sf_dir):
 def _streamed_hours(spark, sf_dir):
     root = work_dir(spark, "hours")
     orders = deduplicated(b.as_orders(b.events_stream(spark, sf_dir)))
-    n = state_partitions(spark)
-    job.start_hours(orders, f"{root}/out", f"{root}/checkpoint", partitions=n).awaitTermination()
+    job.start_hours(orders, f"{root}/out", f"{root}/checkpoint", partitions=STATE_PARTITIONS).awaitTermination()
     return job.stored_hours(spark, f"{root}/out")
 
 
@@ -560,8 +559,7 @@ def stream_job(spark, sf_dir):
     """The three-sink job on the faulty stream: window figures of the v3 orders, per store and day."""
     store = job.JobStore(work_dir(spark, "job"))
     records = b.as_event_text(b.events_stream(spark, sf_dir))
-    n = state_partitions(spark)
-    for running in job.start_job(records, store, b.EVENT_DOMAINS, window="1 day", partitions=n):
+    for running in job.start_job(records, store, b.EVENT_DOMAINS, window="1 day", partitions=STATE_PARTITIONS):
         running.awaitTermination()
     windows = metrics.window_stats(job.stored_windows(spark, store.windows))
     table = store.ingest.table(spark, "orders").groupBy("store", F.window("ts", "1 day").start.alias("window_start"))

@@ -41,12 +41,6 @@ def start(
         conf.set(name, before)
 
 
-def state_partitions(spark: SparkSession) -> int:
-    """The session's shuffle partitions, but not more than two per core: each costs files per batch."""
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(configured, 2 * spark.sparkContext.defaultParallelism)
-
-
 def together(spark: SparkSession, *writes: Callable[[], None]) -> None:
     """Runs independent writes of one batch side by side; the first failure is raised.
 

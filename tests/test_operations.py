@@ -226,3 +226,26 @@ def test_visibility_without_refreshes(spark):
     assert visibility.visibility(orders, none, 30).first().timed_out
     with pytest.raises(ValueError):
         visibility.refresh_gaps(none, 90_000)
+
+
+def test_null_keys_meet_in_a_diff(spark):
+    from orderstream.operators.diffing import compared
+
+    one = spark.createDataFrame([(1, None, 2), (1, "a", 3)], "hour int, item string, n int")
+    two = spark.createDataFrame([(1, None, 2), (1, "b", 3)], "hour int, item string, n int")
+    got = compared(one, two, ["hour", "item"], ["n"]).select("hour", "item", "status").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a", "removed"), (1, "b", "added"), (1, None, "same")]
+
+
+def test_positions_never_collide(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from orderstream.sources.streams import arrival_of
+
+    rows = [(p, o, t) for p in (0, 1, 1023, 1024, 5000) for o in (0, 1, 2) for t in ("x", "y")]
+    df = spark.createDataFrame(rows, "partition int, offset bigint, topic string")
+    place = lambda topics: arrival_of(F.col("partition"), F.col("offset"), F.col("topic"), topics)
+    assert df.select(place(("x", "y")).alias("p")).distinct().count() == len(rows)
+    with pytest.raises(PySparkException):
+        df.select(place(("x",)).alias("p")).collect()

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,13 +62,22 @@ def encoded(texts: list[str | None], path: str) -> list[bytes]:
     if len(known) > CACHED:
         known.clear()
     split = [spaced(x) if x else [] for x in texts]
-    missing = [w for w in set().union(*split) if w not in known]
+    end = np.array([END], "<u4").tobytes()
+    out: list[bytes | None] = []
+    for ws in split:
+        try:
+            out.append(b"".join(map(known.get, ws)) + end)
+        except TypeError:  # a word that is not known yet
+            out.append(None)
+    late = [i for i, x in enumerate(out) if x is None]
+    missing = list({w for i in late for w in split[i] if w not in known})
     for at in range(0, len(missing), 8192):
         part = missing[at : at + 8192]
         for word, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-    end = np.array([END], "<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) + end for ws in split]
+            known[word] = array("I", e.ids).tobytes()
+    for i in late:
+        out[i] = b"".join([known[w] for w in split[i]]) + end
+    return out
 
 
 def cost(n):

@@ -141,6 +141,13 @@ def window_items(orders: DataFrame, size: str = "1 second", ts: str = "ts") -> D
     )
 
 
+def merge_window_items(items: DataFrame) -> DataFrame:
+    """Adds additive window figures of several batches."""
+    return items.groupBy("window_start", "window_end", "store", "drink").agg(
+        F.sum("order_count").alias("order_count"), F.sum("revenue").cast("decimal(20,2)").alias("revenue")
+    )
+
+
 def window_stats(items: DataFrame) -> DataFrame:
     """Per tumbling window and store the totals with count and revenue maps by item and store."""
     keyed = items.groupBy("window_start", "window_end", "store").agg(

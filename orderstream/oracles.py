@@ -286,7 +286,8 @@ def all_oracles() -> dict[str, str]:
         "lenient_timestamp": with_(
             ORD,
             FAULTS,
-            body="""SELECT id AS arrival, message_id, drink, store, CAST(price AS DOUBLE) AS price, sent_ts AS ts, version
+            body="""SELECT id AS arrival, message_id, drink, store, CAST(price AS DOUBLE) AS price, 
+            CASE WHEN user_id IN (7, 9) THEN ts + INTERVAL 90 MINUTE ELSE sent_ts END AS ts, version
             FROM faults WHERE reason IS NULL OR reason = 'timestamp not readable'""",
         ),
         "missing_price_allowed": with_(
@@ -382,11 +383,11 @@ def all_oracles() -> dict[str, str]:
         "hourly_by_arrival": with_(
             ORD,
             FAULTS,
-            body="""SELECT date_trunc('hour', ts) AS hour_start, drink, count(*) AS order_count,
-            CAST(sum(price) AS DOUBLE) AS revenue, max(ts) AS last_ts FROM faults WHERE reason IS NULL GROUP BY 1, 2""",
+            body="""SELECT date_trunc('hour', ts + INTERVAL 90 MINUTE) AS hour_start, drink, count(*) AS order_count,
+            CAST(sum(price) AS DOUBLE) AS revenue, max(ts) + INTERVAL 90 MINUTE AS last_ts FROM faults WHERE reason IS NULL GROUP BY 1, 2""",
         ),
         "kafka_records": with_(
-            ORD, FAULTS, body="SELECT id // 6 * 1024 + id % 6 AS arrival, message_id, sent_ts AS ts FROM faults WHERE reason IS NULL"
+            ORD, FAULTS, body="SELECT id // 6 * 8388608 + id % 6 AS arrival, message_id, sent_ts AS ts FROM faults WHERE reason IS NULL"
         ),
         "stream_job": with_(
             ORD,
@@ -448,6 +449,39 @@ late AS (SELECT ts, 'E2E' AS method, CASE WHEN timed_out THEN 'e2e_latency_v1_ti
         + _stats("late"),
     }
     sql["stream_hourly"] = sql["partial_merge"]
+    sql["stream_hourly_batches"] = sql["stream_ingest_hours"]
+    sql["stream_arrival_hours"] = sql["hourly_by_arrival"]
+    sql["stream_late_rows"] = with_(
+        ORD,
+        FAULTS,
+        body="""SELECT date_trunc('hour', sent_ts) AS hour_start, drink, count(*) AS order_count, CAST(sum(price) AS DOUBLE) AS revenue,
+        max(sent_ts) AS last_ts FROM faults WHERE reason IS NULL AND version = 'v3' GROUP BY 1, 2""",
+    )
+    sql["stream_redelivered"] = with_(
+        ORD,
+        FAULTS,
+        body="""SELECT count(*) FILTER (reason IS NULL) AS inserted, 2 * count(*) FILTER (reason IS NULL AND id % 5 = 2) AS skipped,
+        count(*) FILTER (reason IS NOT NULL) + 2 * count(*) FILTER (reason IS NOT NULL AND id % 5 = 2) AS quarantined,
+        count(*) FILTER (reason IS NULL) AS max_id, CAST(4 AS BIGINT) AS batches FROM faults""",
+    )
+    sql["stream_recent_batches"] = with_(
+        ORD,
+        FAULTS,
+        body="""SELECT id AS arrival, drink, store, CAST(price AS DOUBLE) AS price, sent_ts AS ts FROM faults
+        WHERE reason IS NULL ORDER BY id DESC LIMIT 10""",
+    )
+    sql["append_orders"] = with_(
+        ORD,
+        body="""SELECT row_number() OVER (ORDER BY o.id % 2, o.id) AS id, o.id AS arrival, message_id, drink, store,
+        CAST(price AS DOUBLE) AS price, ts FROM ord o""",
+    )
+    sql["id_rules"] = with_(
+        ORD,
+        FAULTS,
+        body="""SELECT id AS arrival, id_required, CASE WHEN reason IN ('malformed', 'message_id missing') THEN reason
+        WHEN id_required AND id % 3 <> 0 THEN 'id missing' WHEN NOT id_required AND id % 3 = 0 THEN 'id not allowed' ELSE reason END AS reason
+        FROM faults, (VALUES (false), (true)) r(id_required)""",
+    )
     sql["load_report_files"] = (
         "WITH "
         + REQ

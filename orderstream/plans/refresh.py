@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,16 @@ from orderstream.schemas import HOURLY, HOURLY_TTL, RECENT_ORDER
 from orderstream.sinks.snapshots import overwrite_hourly, overwrite_recent, overwrite_top
 from orderstream.sources.tables import orders_scan
 
+HOURLY_FIELDS = ("hour_start", "top_drinks", "revenue", "order_count", "drink_counts", "updated_at", "expires_at")
+RECENT_FIELDS = ("id", "drink", "store", "price", "ts", "updated_at", "expires_at")
+VERSION = (
+    "hourly STRUCT<hour_start: TIMESTAMP, top_drinks: ARRAY<STRING>, revenue: DECIMAL(20,2), order_count: BIGINT,"
+    " drink_counts: MAP<STRING,BIGINT>, updated_at: TIMESTAMP, expires_at: TIMESTAMP>,"
+    " top STRUCT<names: ARRAY<STRING>, updated_at: TIMESTAMP, expires_at: TIMESTAMP>,"
+    " recent ARRAY<STRUCT<id: BIGINT, drink: STRING, store: STRING, price: DECIMAL(10,2), ts: TIMESTAMP,"
+    " updated_at: TIMESTAMP, expires_at: TIMESTAMP>>, version BIGINT"
+)
+
 
 @dataclass(frozen=True)
 class SnapshotPaths:
@@ -31,10 +41,11 @@ class SnapshotPaths:
     hourly: str
     top: str
     recent: str
+    versions: str
 
     @classmethod
     def below(cls, root: str) -> SnapshotPaths:
-        return cls(f"{root}/hourly", f"{root}/top", f"{root}/recent")
+        return cls(f"{root}/hourly", f"{root}/top", f"{root}/recent", f"{root}/versions")
 
 
 def current_hour_document(hours: DataFrame, as_of: AsOf) -> DataFrame:
@@ -58,7 +69,9 @@ def current_hour_document(hours: DataFrame, as_of: AsOf) -> DataFrame:
 
 
 def refresh(spark: SparkSession, orders_root: str, paths: SnapshotPaths, as_of: datetime) -> DataFrame:
-    """Recomputes and stores the three documents; returns a one-row summary of what was stored.
+    """Recomputes and stores the three documents; returns a one-row summary of the committed version.
+
+    Each has a store of its own; `committed_documents` gives readers all three of one refresh.
 
     The three inputs are nested time ranges, but each needs other columns of other partitions: the
     30-day part reads two columns, the other two read one hour. Three pruned scans move less than
@@ -71,9 +84,11 @@ def refresh(spark: SparkSession, orders_root: str, paths: SnapshotPaths, as_of:
     overwrite_recent(recent_orders(orders, as_of), paths.recent, at)
     stored = stored_documents(spark, paths)
     hour = stored.hourly.where(F.col("hour_start") == moment(as_of, start_of_hour))
-    recent_count = stored.recent.agg(F.count("*").alias("n")).scalar()
-    names = stored.top.select("names").scalar()
-    return hour.select(
+    commit(Documents(hour, stored.top, stored.recent), paths.versions, as_of)
+    done = committed_documents(spark, paths.versions)
+    recent_count = done.recent.agg(F.count("*").alias("n")).scalar()
+    names = done.top.select("names").scalar()
+    return done.hourly.select(
         "hour_start", "order_count", "revenue", names.alias("top5_drinks"), recent_count.alias("recent_orders_count")
     )
 
@@ -95,6 +110,33 @@ def stored_documents(spark: SparkSession, paths: SnapshotPaths) -> Documents:
     )
 
 
+def commit(documents: Documents, root: str, as_of: datetime) -> None:
+    """Stores the three documents of one refresh as one row of a new version.
+
+    The row is one file, which the committer moves into place when it is whole: a reader sees all of
+    a version or nothing of it. The documents are bounded: an hour, five names, fifty orders.
+    """
+    spark = documents.hourly.sparkSession
+    row = spark.range(1).select(
+        documents.hourly.select(F.struct(*HOURLY_FIELDS).alias("d")).scalar().alias("hourly"),
+        documents.top.select(F.struct("names", "updated_at", "expires_at").alias("d")).scalar().alias("top"),
+        documents.recent.agg(F.array_agg(F.struct(*RECENT_FIELDS)).alias("d")).scalar().alias("recent"),
+    )
+    version = (as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{root}/version={version // timedelta(microseconds=1)}")
+
+
+def committed_documents(spark: SparkSession, root: str) -> Documents:
+    """The documents of the newest whole version."""
+    versions = spark.read.schema(VERSION).parquet(root)
+    newest = versions.where(F.col("version") == versions.agg(F.max("version").alias("v")).scalar())
+    return Documents(
+        hourly=newest.where("hourly is not null").select("hourly.*"),
+        top=newest.where("top is not null").select("top.*"),
+        recent=newest.select(F.inline("recent")),
+    )
+
+
 def computed_documents(orders: DataFrame, as_of: AsOf, n: int = 50) -> Documents:
     """The same three documents as lazy plans, without storing them.
 

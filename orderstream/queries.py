@@ -24,22 +24,23 @@ from orderstream.plans.dashboard import dashboard, flattened, from_json
 from orderstream.plans.loadreport import export_load_report, load_report
 from orderstream.plans.reconcile import reconcile
 from orderstream.plans.refresh import SnapshotPaths, computed_documents, refresh, stored_documents
-from orderstream.schemas import ARRIVED_ORDER, DASHBOARD
+from orderstream.schemas import ARRIVED_ORDER, DASHBOARD, ORDER
 from orderstream.session import use_utc, work_dir
 from orderstream.sinks.batches import write_batch
+from orderstream.sinks.orders import append_orders as append
 from orderstream.sinks.publish import keyed_records, publish_folder, string_records
 from orderstream.sinks.snapshots import rolled_recent
 from orderstream.sources import bindings as b
 from orderstream.sources.logs import parse_log_lines
 from orderstream.sources.reports import read_failures, read_stats
 from orderstream.sources.snapshots import hourly_at
-from orderstream.sources.streams import kafka_text
-from orderstream.sources.tables import read_table
+from orderstream.sources.streams import folder_stream, kafka_text
+from orderstream.sources.tables import ensure_table, read_table
 from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
-from orderstream.streaming.ingest import Store, current_hour_items, ingested_documents, start_ingest
+from orderstream.streaming.ingest import Store, current_hour_items, current_window_items, ingested_documents, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -556,18 +557,86 @@ def kafka_records(spark, sf_dir):
 
 @query
 def stream_job(spark, sf_dir):
-    """The three-sink job on the faulty stream: window figures of the v3 orders, per store and day."""
-    store = job.JobStore(work_dir(spark, "job"))
-    records = b.as_event_text(b.events_stream(spark, sf_dir))
-    for running in job.start_job(records, store, b.EVENT_DOMAINS, window="1 day", partitions=STATE_PARTITIONS):
-        running.awaitTermination()
-    windows = metrics.window_stats(job.stored_windows(spark, store.windows))
-    table = store.ingest.table(spark, "orders").groupBy("store", F.window("ts", "1 day").start.alias("window_start"))
+    """The job on the faulty stream in several batches, with repeats and late rows: v3 windows per store and day."""
+    store = _job(spark, sf_dir)
+    windows = metrics.window_stats(current_window_items(store, spark))
+    table = store.table(spark, "orders").groupBy("store", F.window("ts", "1 day").start.alias("window_start"))
     stored = table.agg(F.count("*").alias("stored_orders"))
     both = windows.select("window_start", "store", "total_orders", "total_revenue").join(stored, ["store", "window_start"], "full_outer")
     return flat(both)
 
 
+def _job(spark, sf_dir) -> Store:
+    store = Store(work_dir(spark, "job"))
+    job.start_job(_redelivered(spark, sf_dir), store, b.EVENT_DOMAINS, window="1 day").awaitTermination()
+    return store
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Hours of the same job: most rows arrive after newer ones, none is missing."""
+    return flat(current_hour_items(_job(spark, sf_dir), spark))
+
+
+def _redelivered(spark, sf_dir) -> DataFrame:
+    files = b.redelivered_files(spark, sf_dir, f"{work_dir(spark, 'feed')}/events")
+    return folder_stream(spark, files, "arrival BIGINT, value STRING, ingest_ts TIMESTAMP", files_per_batch=1)
+
+
+def _ingested_in_batches(spark, sf_dir, by_arrival: bool = False) -> Store:
+    store = Store(work_dir(spark, "batches"))
+    start_ingest(_redelivered(spark, sf_dir), store, b.EVENT_DOMAINS, by_arrival=by_arrival).awaitTermination()
+    return store
+
+
+@query
+def stream_redelivered(spark, sf_dir):
+    """Outcomes of an ingest in several batches, with repeats inside and across batches."""
+    sums = [F.sum(c).alias(c) for c in ("inserted", "skipped", "quarantined")]
+    outcomes = _ingested_in_batches(spark, sf_dir).table(spark, "outcomes")
+    return outcomes.agg(*sums, F.max("max_id").alias("max_id"), F.countDistinct("batch_id").alias("batches"))
+
+
+@query
+def stream_hourly_batches(spark, sf_dir):
+    return flat(current_hour_items(_ingested_in_batches(spark, sf_dir), spark))
+
+
+@query
+def stream_recent_batches(spark, sf_dir):
+    """The rolling list over several batches; ids depend on the order of the files and are left out."""
+    stored = rolled_recent(_ingested_in_batches(spark, sf_dir).table(spark, "recent"))
+    return flat(stored.select("arrival", "drink", "store", "price", "ts"))
+
+
+@query
+def stream_arrival_hours(spark, sf_dir):
+    """Hours by arrival, ingested in several batches."""
+    return flat(current_hour_items(_ingested_in_batches(spark, sf_dir, by_arrival=True), spark))
+
+
+@query
+def append_orders(spark, sf_dir):
+    """Plain inserts in two batches; ids run on in arrival order."""
+    root = f"{work_dir(spark, 'append')}/orders"
+    rows = b.orders(spark, sf_dir).drop("id")
+    for batch_id, rest in enumerate((0, 1)):
+        append(rows.where(F.col("arrival") % 2 == rest), ensure_table(spark, root, ORDER), root, batch_id)
+    return flat(read_table(spark, root, ORDER).select("id", "arrival", "message_id", "drink", "store", "price", "ts"))
+
+
+@query
+def id_rules(spark, sf_dir):
+    """Orders that must not bring an id, and stored ones that must have one; every third row has one."""
+    parsed = parsing.parse_events(b.as_event_text(b.events(spark, sf_dir)))
+    given = parsed.withColumn("id", F.when(F.col("arrival") % 3 == 0, F.col("arrival")))
+    reasons = [
+        parsing.checked(given, b.EVENT_DOMAINS, id_column="id", id_required=r).select("arrival", "reason", F.lit(r).alias("id_required"))
+        for r in (False, True)
+    ]
+    return reasons[0].unionByName(reasons[1])
+
+
 # --- observability -------------------------------------------------------------------------------
 
 

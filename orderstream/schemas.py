@@ -42,10 +42,6 @@ ORDER = "id BIGINT, " + ARRIVED_ORDER + ", batch_id BIGINT, order_date DATE"
 CHECKED_EVENT = ARRIVED_ORDER + ", reason STRING, value STRING, accepted BOOLEAN, batch_id BIGINT"
 OUTCOME = "inserted BIGINT, skipped BIGINT, quarantined BIGINT, max_id BIGINT, batch_id BIGINT"
 
-ITEM_DELTA = (
-    "hour_start TIMESTAMP, drink STRING, store STRING, order_count BIGINT, revenue DECIMAL(20,2),"
-    " last_ts TIMESTAMP, batch_id BIGINT"
-)
 HOUR_ITEM = "hour_start TIMESTAMP, drink STRING, order_count BIGINT, revenue DECIMAL(20,2), last_ts TIMESTAMP, batch_id BIGINT"
 WINDOW_ITEM = (
     "window_start TIMESTAMP, window_end TIMESTAMP, store STRING, drink STRING,"

@@ -21,6 +21,9 @@ LINEITEM = (
 )
 PART = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
 
+# How much later than its order an event arrives.
+DELIVERY = "90 minutes"
+
 # The item domain of the bound event stream; the other two event types stand in
 # for items outside the domain.
 EVENT_DOMAINS = Domains(drinks=("click", "view", "purchase"))
@@ -113,10 +116,25 @@ def as_event_text(events: DataFrame) -> DataFrame:
     )
     # Through a generator, so that reading a message does not build its text more than once.
     return bound.select(
-        F.col("event_id").alias("arrival"), F.explode(F.array(sent)).alias("value"), F.col("ts").alias("ingest_ts")
+        F.col("event_id").alias("arrival"),
+        F.explode(F.array(sent)).alias("value"),
+        (F.col("ts") + F.expr(f"interval {DELIVERY}")).alias("ingest_ts"),
     )
 
 
+def redelivered_files(spark: SparkSession, sf_dir: str, root: str, files: int = 4) -> str:
+    """Event text as record files, each over the whole time range, with repeats; returns their glob.
+
+    Every fifth event comes three times: twice in its file and once in the next. Whatever the order
+    of the files, each but the first brings rows older than the newest before, and known ids.
+    """
+    home = F.col("arrival") % files
+    again = F.when(F.col("arrival") % 5 == 2, F.array(home, home, (F.col("arrival") + 1) % files)).otherwise(F.array(home))
+    texts = as_event_text(events(spark, sf_dir)).withColumn("part", F.explode(again))
+    texts.repartition(files, "part").write.partitionBy("part").parquet(root)
+    return f"{root}/part=*"
+
+
 def as_requests(events: DataFrame) -> DataFrame:
     """Events as a request log."""
     kind = F.col("event_type")

@@ -16,11 +16,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from orderstream.functions.times import AsOf
 from orderstream.operators.dedup import insert_if_absent, known_ids
-from orderstream.operators.metrics import daily_from_hours, hour_items, merge_hour_items, name_list, top_items_rolled
+from orderstream.operators.metrics import (
+    daily_from_hours,
+    hour_items,
+    merge_hour_items,
+    merge_window_items,
+    name_list,
+    top_items_rolled,
+    window_items,
+)
 from orderstream.operators.parsing import checked, parse_events
 from orderstream.operators.recent import recent_orders
 from orderstream.plans.refresh import Documents, current_hour_document
-from orderstream.schemas import CHECKED_EVENT, HOUR_ITEM, ORDER, OUTCOME, RECENT_SNAPSHOT, Domains
+from orderstream.schemas import CHECKED_EVENT, HOUR_ITEM, ORDER, OUTCOME, RECENT_SNAPSHOT, WINDOW_ITEM, Domains
 from orderstream.sinks.batches import before_batch, write_batch
 from orderstream.sinks.orders import ORDER_FIELDS, earlier_orders, with_ids
 from orderstream.sinks.snapshots import roll_recent
@@ -43,6 +51,7 @@ class Store:
         "orders": ORDER,
         "outcomes": OUTCOME,
         "hour_increments": HOUR_ITEM,
+        "window_increments": WINDOW_ITEM,
         "recent": RECENT_SNAPSHOT,
     }
 
@@ -82,18 +91,26 @@ def ingest_batch(
     horizon_days: int | None = None,
     lenient_time: str | None = None,
     version: str | None = None,
+    by_arrival: bool = False,
+    window: str | None = None,
 ) -> None:
-    """Works off one batch of `arrival, value` records.
+    """Works off one batch of `arrival, value[, ingest_ts]` records.
 
     The input is read and parsed once. Accepted events are only needed until their batch is done
-    and may be dropped later; the rejected ones are the quarantine.
+    and may be dropped later; the rejected ones are the quarantine. Hours, windows of size `window`
+    (none without it) and the rolling list come from the rows the batch has inserted, so they follow
+    the order table's dedup and no row is too late for them. With `by_arrival` orders are stored and
+    counted under `ingest_ts` instead of their own time.
     """
     spark = records.sparkSession
     parsed = parse_events(records)
     if version is not None:
         parsed = parsed.where(F.col("malformed") | (F.col("version") == version))
     accepted = F.col("reason").isNull()
-    events = checked(parsed, domains, lenient_time=lenient_time).select(
+    events = checked(parsed, domains, lenient_time=lenient_time)
+    if by_arrival:
+        events = events.withColumn("ts", F.col("ingest_ts"))
+    events = events.select(
         *ORDER_FIELDS, "reason", F.when(~accepted, F.col("value")).alias("value"), accepted.alias("accepted")
     )
     write_batch(events, store.path("events"), batch_id, ("accepted",))
@@ -114,12 +131,14 @@ def ingest_batch(
         (last_id + n).alias("max_id"),
     )
     recent = store.previous(spark, "recent", batch_id)
-    together(
-        spark,
+    writes = [
         lambda: write_batch(counts, store.path("outcomes"), batch_id),
         lambda: write_batch(hour_items(inserted), store.path("hour_increments"), batch_id),
         lambda: roll_recent(inserted, recent, store.path("recent"), batch_id),
-    )
+    ]
+    if window is not None:
+        writes.append(lambda: write_batch(window_items(inserted, window), store.path("window_increments"), batch_id))
+    together(spark, *writes)
 
 
 def start_ingest(
@@ -130,6 +149,7 @@ def start_ingest(
     horizon_days: int | None = None,
     lenient_time: str | None = None,
     version: str | None = None,
+    by_arrival: bool = False,
 ) -> StreamingQuery:
     """Starts the ingest of a stream of `arrival, value[, ingest_ts]` records.
 
@@ -137,7 +157,7 @@ def start_ingest(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, store, domains, horizon_days, lenient_time, version)
+        ingest_batch(batch, batch_id, store, domains, horizon_days, lenient_time, version, by_arrival)
 
     return start(records, on_batch, store.path("checkpoint"), every)
 
@@ -147,6 +167,11 @@ def current_hour_items(store: Store, spark: SparkSession) -> DataFrame:
     return merge_hour_items(store.table(spark, "hour_increments").drop("batch_id"))
 
 
+def current_window_items(store: Store, spark: SparkSession) -> DataFrame:
+    """The window figures: the sum of the increments of all batches."""
+    return merge_window_items(store.table(spark, "window_increments").drop("batch_id"))
+
+
 def ingested_documents(store: Store, spark: SparkSession, as_of: AsOf, n: int = 50) -> Documents:
     """The three dashboard documents from what the ingest keeps.
 

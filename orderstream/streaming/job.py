@@ -1,13 +1,11 @@
-"""The event-time job: one stream of order records feeding three sinks.
+"""The event-time job: one stream of order records feeding the order table, windows and hours.
 
-Repeats are removed before anything is counted. Counts are absolute values from Spark's state, not
-increments on stored numbers, so a repeated batch stores what it stored before.
+`start_windows` and `start_hours` are single figures straight from a stream, in Spark's state and
+within a watermark: absolute values, so a repeated batch stores what it stored before.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,35 +17,12 @@ from orderstream.sinks.batches import latest_per_key
 from orderstream.sinks.orders import insert_jdbc
 from orderstream.sources.tables import ensure_table
 from orderstream.streaming.common import keep_changes, start
-from orderstream.streaming.dedup import deduplicated
-from orderstream.streaming.ingest import Store, start_ingest
+from orderstream.streaming.ingest import Store, ingest_batch
 
 WINDOW_KEYS = ["window_start", "window_end", "store", "drink"]
 HOUR_KEYS = ["hour_start", "drink"]
 
 
-@dataclass(frozen=True)
-class JobStore:
-    """The tables of one job, below a root folder."""
-
-    root: str
-
-    @property
-    def ingest(self) -> Store:
-        return Store(f"{self.root}/ingest")
-
-    @property
-    def windows(self) -> str:
-        return f"{self.root}/windows"
-
-    @property
-    def hours(self) -> str:
-        return f"{self.root}/hours"
-
-    def checkpoint(self, name: str) -> str:
-        return f"{self.root}/checkpoints/{name}"
-
-
 def order_stream(
     records: DataFrame, domains: Domains, version: str | None = None, lenient_time: str | None = None
 ) -> DataFrame:
@@ -77,38 +52,31 @@ def start_hours(
     return start(hour_items(orders), keep_changes(root), checkpoint, every, "update", partitions)
 
 
-def start_database_sink(
-    orders: DataFrame, url: str, table: str, checkpoint: str, every: str | None = "200 milliseconds", **options: str
-) -> StreamingQuery:
-    """Orders inserted if absent into a database table; needs its JDBC driver on the class path."""
-
-    def insert(batch: DataFrame, _: int) -> None:
-        insert_jdbc(batch, url, table, **options)
-
-    return start(orders, insert, checkpoint, every)
-
-
 def start_job(
     records: DataFrame,
-    store: JobStore,
+    store: Store,
     domains: Domains,
     version: str | None = "v3",
-    delay: str = "1 hour",
     window: str = "1 second",
     every: str | None = None,
-    salts: int = 0,
-    partitions: int | None = None,
-) -> list[StreamingQuery]:
-    """Order table with recent orders, window figures and hourly figures: three queries.
+    by_arrival: bool = False,
+    database: dict[str, str] | None = None,
+) -> StreamingQuery:
+    """Order table with recent orders, window figures and hourly figures of one API version: one query.
 
-    Each has its own checkpoint and can fail and restart without the others.
+    The stream is read, parsed and deduplicated once. All figures are increments of the rows a batch
+    inserts, kept under its id (`current_window_items`, `current_hour_items`), so they always agree
+    with the order table, and a late row counts like any other. `database` (url, table, driver
+    options) also inserts these rows into a database table; that branch needs a JDBC driver and is
+    not verified here.
     """
-    orders = deduplicated(order_stream(records, domains, version), delay, salts)
-    return [
-        start_ingest(records, store.ingest, domains, every, version=version),
-        start_windows(orders, store.windows, store.checkpoint("windows"), window, every, partitions),
-        start_hours(orders, store.hours, store.checkpoint("hours"), every, partitions),
-    ]
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, batch_id, store, domains, version=version, by_arrival=by_arrival, window=window)
+        if database is not None:
+            insert_jdbc(store.batch(batch.sparkSession, "orders", batch_id), **database)
+
+    return start(records, on_batch, store.path("checkpoint"), every)
 
 
 def stored_windows(spark: SparkSession, root: str) -> DataFrame:

@@ -6,9 +6,11 @@ import pytest
 from conftest import rows_of, utc
 from pyspark.sql import functions as F
 
-from orderstream.operators import loadstats, rates, requests, visibility
+from orderstream.operators import loadstats, metrics, rates, requests, visibility
+from orderstream.operators.recent import recent_orders
 from orderstream.plans.loadreport import export_load_report, load_report
 from orderstream.plans.observability import panels
+from orderstream.plans.refresh import Documents, commit, committed_documents, current_hour_document
 from orderstream.schemas import APP_LOG, LATENCY_BOUNDS, REQUEST_LOG, RUN_LOG
 from orderstream.sources.logs import read_logs, stream_logs
 from orderstream.sources.reports import read_exceptions, read_failures, read_history, read_stats
@@ -249,3 +251,24 @@ def test_positions_never_collide(spark):
     assert df.select(place(("x", "y")).alias("p")).distinct().count() == len(rows)
     with pytest.raises(PySparkException):
         df.select(place(("x",)).alias("p")).collect()
+
+
+def test_a_version_is_whole_or_absent(spark, five_orders, tmp_path):
+    """Readers take all three documents of the newest whole version; a half-written one is not there."""
+    root, stamps = str(tmp_path / "versions"), [F.lit(None).cast("timestamp").alias(c) for c in ("updated_at", "expires_at")]
+    for minute in (15, 45):
+        now = utc(f"2025-12-09 10:{minute}:00")
+        seen = five_orders.where(F.col("ts") <= F.lit(now))
+        documents = Documents(
+            current_hour_document(metrics.hour_items(seen), now),
+            metrics.name_list(metrics.top_items_over(seen, now)).select("names", *stamps),
+            recent_orders(seen, now).select("*", *stamps),
+        )
+        commit(documents, root, now)
+    half = tmp_path / "versions" / "version=9000000000000000" / "_temporary" / "0"
+    half.mkdir(parents=True)
+    (half / "part-00000.parquet").write_bytes(b"PAR1 and no more")
+    got = committed_documents(spark, root)
+    n = five_orders.where(F.col("ts") <= F.lit(now)).count()
+    assert got.hourly.first().order_count == n and got.recent.count() == n and got.top.count() == 1
+    assert got.hourly.first().updated_at == documents.hourly.first().updated_at

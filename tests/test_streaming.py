@@ -18,7 +18,7 @@ from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
-from orderstream.streaming.ingest import Store, current_hour_items, ingest_batch, ingested_documents, start_ingest
+from orderstream.streaming.ingest import Store, current_hour_items, current_window_items, ingest_batch, ingested_documents, start_ingest
 
 RECORD = "arrival BIGINT, value STRING, ingest_ts TIMESTAMP"
 DOMAINS = Domains()
@@ -162,22 +162,19 @@ def test_a_failing_batch_stops_the_query_and_is_retried(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
-@pytest.mark.parametrize("salts", [0, 4])
-def test_job_equals_batch_over_many_batches(spark, feed, tmp_path, salts):
+def test_job_equals_batch_over_many_batches(spark, feed, tmp_path):
     folder, texts = feed
-    store = job.JobStore(str(tmp_path / "job"))
+    store = Store(str(tmp_path / "job"))
     stream = folder_stream(spark, folder, RECORD, files_per_batch=1)
-    queries = job.start_job(stream, store, DOMAINS, delay="6 hours", window="1 minute", salts=salts)
-    run(*queries)
+    run(job.start_job(stream, store, DOMAINS, window="1 minute"))
     truth = batch_truth(spark, texts).where("version = 'v3'")
-    hours = job.stored_hours(spark, store.hours)
+    hours = current_hour_items(store, spark)
     assert rows_of(hours, *HOURS) == rows_of(metrics.hour_items(truth), *HOURS)
-    windows = metrics.window_stats(job.stored_windows(spark, store.windows))
+    windows = metrics.window_stats(current_window_items(store, spark))
     columns = ("window_start", "store", "total_orders", "total_revenue", "drink_counts", "store_counts")
     assert rows_of(windows, *columns) == rows_of(metrics.window_stats(metrics.window_items(truth, "1 minute")), *columns)
-    assert rows_of(store.ingest.table(spark, "orders"), "message_id") == rows_of(truth, "message_id")
+    assert rows_of(store.table(spark, "orders"), "message_id") == rows_of(truth, "message_id")
     assert reconcile(hours, truth).where("status <> 'same'").count() == 0
-    assert all(job.late_rows(q) == 0 for q in queries)
 
 
 def order_files(spark, folder, *files):
@@ -210,6 +207,16 @@ def test_late_rows_are_dropped_counted_and_repaired(spark, tmp_path):
     assert rows_of(found, "order_count_before", "order_count_after") == [(1, 2)]
 
 
+def test_the_job_counts_late_rows(spark, tmp_path):
+    """An order days older than the newest is counted, and its copy in a later batch is not."""
+    store, folder = Store(str(tmp_path / "job")), str(tmp_path / "in")
+    for n, minute in enumerate((0, 6000, 5, 5)):
+        records(spark, [event(n, minute=minute, message_id=f"m{minute}")], n).coalesce(1).write.mode("append").parquet(folder)
+    run(job.start_job(folder_stream(spark, folder, RECORD, files_per_batch=1), store, DOMAINS, window="1 day"))
+    assert rows_of(current_hour_items(store, spark), "order_count") == [(1,), (2,)]
+    assert rows_of(current_window_items(store, spark), "order_count") == [(1,), (2,)]
+
+
 def test_figures_by_arrival_time(spark, tmp_path):
     texts = [event(0), event(60)]
     orders = checked(parse_events(records(spark, texts)), DOMAINS)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderstream.llm.common import read
+from orderstream.llm.common import read, slices
 
 DIM = 1024
 PIECE = 1 << 19
@@ -110,7 +110,7 @@ def profiles(texts: list[str | None], keys: np.ndarray, n_keys: int) -> np.ndarr
 
 def partial_prototypes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
         keys = np.array([names.index(x) for x in langs], np.int64)
@@ -140,7 +140,7 @@ def predicted(docs: DataFrame, known: dict[str, np.ndarray], keep: list[str], te
     matrix = np.stack([known[x] for x in names]) if names else np.zeros((0, DIM))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
             best, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for at in range(0, len(texts), 512):

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderstream.llm.common import read, shared_dir, stored
+from orderstream.llm.common import read, shared_dir, slices, stored
 from orderstream.llm.components import components
 from orderstream.llm.hashing import U, mix, shingle_set, word_hashes
 
@@ -57,7 +57,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             count, node, sig = [], [], []
             for text in batch.column("text").to_pylist():
                 ws = words_of(text)
@@ -239,7 +239,7 @@ def within(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         both, total = [], []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
@@ -274,7 +274,7 @@ def checked(size: int):
     """Shingle sets of texts that are of the class they are asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes, sets = [], []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ws = words_of(text)

@@ -27,11 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderstream.llm.common import read, shared_dir
+from orderstream.llm.common import read, shared_dir, slices
 from orderstream.llm.hashing import U, mix, prefix, ranges
 
 LENGTH, GRAM = 100, 24
-PIECE = 1 << 20
+PIECE = 1 << 19
 PLACE = U((1 << 22) - 1)
 HOT = 20_000  # contexts of one key beyond which its strings are dealt out one by one
 COVERED, PROBE, LEVEL = 0, 1, 2
@@ -106,7 +106,7 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(COVERED, mix(d.astype(U) + s.astype(U)).astype(np.int64), 0, d, s, r)
 
     ids, texts, origin, size = [], [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for at in range(0, max(0, len(data) - LENGTH + 1), PIECE):
@@ -204,7 +204,7 @@ class SuffixIndex:
 def compressed(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in slices(batches):
             data = [zip_((x or "").encode("utf-8", "surrogatepass")) for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(data, pa.binary())], [*keep, "_data"])
 
@@ -217,7 +217,7 @@ CONTEXT = "key long, doc_id long, start long, runs int, bytes binary"
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes under each probe; those of hot keys string by string, keyed by content."""
     unzip = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
+    for batch in slices(batches):
         out = [[], [], [], [], []]
         for doc, z, probes in zip(batch.column("doc_id").to_pylist(), batch.column("_data").to_pylist(), batch.column("probes").to_pylist(), strict=True):
             data = unzip(z)
@@ -277,7 +277,7 @@ def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def finished(keep: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_removed, n_spans, sha, texts = [], [], [], [], []
             for z, found in zip(batch.column("_data").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 data = unzip(z)

@@ -7,12 +7,14 @@ label goes. Candidates are neighbours in the order (longest common prefixes meet
 that agrees most with the region's commonest minima. A class keeps its two most alike candidates; full shingle sets
 confirm them, and confirmed links make components.
 
-A second pass takes the regions in which classes of several components still meet (one of more than HUGE classes is cut
-deeper first). Signatures tell, block by block, which classes may have a link into another component (SLACK below the
-threshold, five standard errors); these bring their full sets, and an inverted index per region finds every link that
-still joins two components. Pairs are compared inside the task and never become rows.
+A second pass takes the regions in which classes of several components still meet. One of more than HUGE classes is dealt
+into tiles of two blocks each, so that every pair of classes not both in its largest component meets in one tile.
+Signatures tell, tile by tile, which classes may have a link into another component (SLACK below the threshold, five
+standard errors); these bring their full sets, and an inverted index per tile finds every link that still joins two
+components. Pairs are compared inside the task and never become rows.
 
-A pair at similarity 0.8 misses all 16 trees with a probability of 8e-8.
+A pair at similarity 0.8 shares no first two minima in any of the 16 trees with a probability of 8e-8, if minima are
+independent; every other pair is judged, whatever the size of its region.
 
 Null or wordless text has no shingles and links with nothing. Rows with a null id are their own documents (component
 null, kept). Repeated rows each get the same result. An empty table gives an empty table. Of the documents only the
@@ -26,7 +28,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,15 +94,19 @@ def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def regions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """(tree, rows) of each region; rows come sorted by tree and region."""
+REGION = ["tree", "region"]
+TILE = [*REGION, "i", "j"]
+
+
+def regions_of(batches: Iterator[pa.RecordBatch], by: list[str] = REGION) -> Iterator[tuple[int, pa.Table]]:
+    """(tree, rows) of each region or tile; rows come sorted by its columns."""
     held: list[pa.Table] = []
     last = None
     for batch in batches:
         if not len(batch):
             continue
         table = pa.Table.from_batches([batch])
-        key = np.stack([batch.column("tree").to_numpy(), batch.column("region").to_numpy()], 1)
+        key = np.stack([batch.column(c).to_numpy() for c in by], 1)
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             now = tuple(key[a].tolist())
@@ -163,49 +168,68 @@ def neighbours(threshold: float):
     return run
 
 
+def tiled(rows: DataFrame) -> DataFrame:
+    """The rows of regions with block, i and j, once for each tile they are in.
+
+    A region's rows outside its largest component and those inside are dealt into blocks of about HUGE each; tile (i, j)
+    holds two blocks, the first of them of outside rows. A region of at most HUGE rows is one tile.
+    """
+    each = rows.groupBy(*REGION, "component").agg(F.count("*").alias("n"))
+    size = each.groupBy(*REGION).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    blocks = lambda n: F.ceil(n / HUGE).cast("int")
+    small = F.col("n") <= HUGE
+    outer = F.when(small, 1).otherwise(blocks(F.col("n") - F.col("top.n")))
+    inner = F.when(small, 0).otherwise(blocks(F.col("top.n")))
+    size = size.select(*REGION, F.col("top.component").alias("main"), outer.alias("outer"), inner.alias("inner"))
+    dealt, inside = F.xxhash64("node"), (F.col("component") == F.col("main")) & (F.col("inner") > 0)
+    block = F.when(inside, F.col("outer") + F.pmod(dealt, F.col("inner"))).otherwise(F.pmod(dealt, F.col("outer"))).cast("int")
+    out = rows.join(size, REGION).withColumn("block", block)
+    others = F.sequence(F.lit(0), F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    out = out.withColumn("_other", F.explode(others))
+    ends = [F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j")]
+    return out.select("node", *REGION, "component", "block", *ends)
+
+
 def unmet(threshold: float):
-    """The rows of a region that may have a link into another component."""
+    """The rows of a tile that may have a link into another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tree, rows in regions_of(batches):
-            nodes = rows.column("node").to_pylist()
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(nodes), HASHES)
+        for _, rows in regions_of(batches, TILE):
+            n = len(rows)
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(n, HASHES)
             group = np.unique(np.array([x.hex() for x in rows.column("component").to_pylist()]), return_inverse=True)[1]
-            order = [(tree * DEPTH + j) % HASHES for j in range(LABEL)]
-            for number, part in enumerate(parts(sig, np.arange(len(nodes)), order, SHARED, HUGE)):
-                size = np.bincount(group[part])
-                outside = part[group[part] != size.argmax()]
-                marked = np.zeros(len(nodes), bool)
-                for i in range(0, len(outside), BLOCK):
-                    x = outside[i : i + BLOCK]
-                    for j in range(0, len(part), BLOCK):
-                        y = part[j : j + BLOCK]
-                        like = np.zeros((len(x), len(y)), np.int16)
-                        for h in range(HASHES):
-                            like += sig[x, h][:, None] == sig[y, h][None, :]
-                        ok = (like >= (threshold - SLACK) * HASHES) & (group[x][:, None] != group[y][None, :])
-                        marked[x[ok.any(1)]] = True
-                        marked[y[ok.any(0)]] = True
-                found = np.flatnonzero(marked)
-                if len(found):
-                    chosen = rows.take(pa.array(found)).select(["node", "tree", "region", "component"]).combine_chunks()
-                    chosen = chosen.append_column("part", pa.array(np.full(len(found), number, np.int32)))
-                    yield from chosen.to_batches()
+            block, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if i[0] == j[0]:
+                left = left[group[left] != np.bincount(group).argmax()]
+            marked = np.zeros(n, bool)
+            for at in range(0, len(left), BLOCK):
+                x = left[at : at + BLOCK]
+                for to in range(0, len(right), BLOCK):
+                    y = right[to : to + BLOCK]
+                    like = np.zeros((len(x), len(y)), np.int16)
+                    for h in range(HASHES):
+                        like += sig[x, h][:, None] == sig[y, h][None, :]
+                    ok = (like >= (threshold - SLACK) * HASHES) & (group[x][:, None] != group[y][None, :])
+                    marked[x[ok.any(1)]] = True
+                    marked[y[ok.any(0)]] = True
+            found = np.flatnonzero(marked)
+            if len(found):
+                yield from rows.take(pa.array(found)).select(["node", *TILE, "component"]).combine_chunks().to_batches()
 
     return run
 
 
 def linked(percent: int):
-    """Links that join the components of a region, found on full shingle sets: at most one fewer than there are rows.
+    """Links that join the components of a tile, found on full shingle sets: at most one fewer than there are rows.
 
-    An inverted index of the region's shingles gives a row's overlap with all others at once. Rows outside the largest
+    An inverted index of the tile's shingles gives a row's overlap with all others at once. Rows outside the largest
     component are taken in turn; a link counts unless it joins what is joined already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in regions_of(batches):
-            for part in np.unique(rows.column("part").to_numpy()):
-                yield from within(rows.filter(pa.compute.equal(rows.column("part"), int(part))), percent)
+        for _, rows in regions_of(batches, TILE):
+            yield from within(rows, percent)
 
     return run
 
@@ -301,10 +325,9 @@ def near_duplicates(
     classes = stored(classes, f"{folder}/classes")
 
     keyed = stored(classes.select("node", "sig").mapInArrow(labels, "node binary, tree int, region long"), f"{folder}/trees")
-    shared = keyed.groupBy("tree", "region").count().filter("count > 1").select("tree", "region")
-    met = stored(keyed.join(shared, ["tree", "region"]), f"{folder}/met")
-    by_region = ["tree", "region"]
-    sorted_ = met.join(classes.select("node", "sig"), "node").repartition(*by_region).sortWithinPartitions(*by_region)
+    shared = keyed.groupBy(*REGION).count().filter("count > 1").select(*REGION)
+    met = stored(keyed.join(shared, REGION), f"{folder}/met")
+    sorted_ = met.join(classes.select("node", "sig"), "node").repartition(*REGION).sortWithinPartitions(*REGION)
     found = sorted_.select("node", "sig", "tree", "region").mapInArrow(neighbours(threshold), PAIRS)
     ends = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = found.select(ends.alias("_p"), "likeness").select("_p.a", "_p.b", "likeness")
@@ -315,14 +338,14 @@ def near_duplicates(
     reached = stored(components(links, "near-first"), f"{folder}/reached")
 
     named = met.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy(*by_region).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_ = named.join(mixed.select(*by_region), by_region)
-    open_ = open_.join(classes.select("node", "sig"), "node").repartition(*by_region).sortWithinPartitions(*by_region)
-    shape = "node binary, tree int, region long, component binary, part int"
-    rest = open_.select("node", "sig", "tree", "region", "component").mapInArrow(unmet(threshold), shape)
+    mixed = named.groupBy(*REGION).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    open_ = tiled(stored(named.join(mixed.select(*REGION), REGION), f"{folder}/mixed"))
+    open_ = open_.join(classes.select("node", "sig"), "node").repartition(*TILE).sortWithinPartitions(*TILE)
+    shape = "node binary, tree int, region long, i int, j int, component binary"
+    rest = open_.select("node", "sig", "component", "block", *TILE).mapInArrow(unmet(threshold), shape)
     rest = stored(rest, f"{folder}/open")
     sets = stored(sets_of(rest.select("node"), docs, classes, size), f"{folder}/open-sets")
-    rest = rest.join(sets, "node").repartition(*by_region).sortWithinPartitions(*by_region)
+    rest = rest.join(sets, "node").repartition(*TILE).sortWithinPartitions(*TILE)
     more = stored(rest.mapInArrow(linked(percent), "a binary, b binary"), f"{folder}/more")
     reached = stored(components(links.union(more), "near-second"), f"{folder}/all")
 

@@ -12,7 +12,8 @@ probed, string by string, on the documents' bytes. A batch's new spans become a
 into one of twice the size, so a suffix is rewritten at most log(batches) times. Levels are written tables.
 
 Null text has no bytes. Rows with a null id take no part: nothing is removed from or because of them. A repeated row
-(same id, same text) gets the same result as its twin. Empty tables give empty tables. Very long texts are worked off in
+(same id, same text) counts once and gets the same result as its twin. Different texts of one id are one document's
+versions, in order of their SHA-256: a string of one that an earlier version has goes; matches do not cross them. Empty tables give empty tables. Very long texts are worked off in
 overlapping pieces. Only the named columns are read.
 """
 
@@ -24,10 +25,10 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderstream.llm.common import read, shared_dir, slices
+from orderstream.llm.common import read, shared_dir, slices, stored
 from orderstream.llm.hashing import U, mix, prefix, ranges
 
 LENGTH, GRAM = 100, 24
@@ -35,6 +36,7 @@ PIECE = 1 << 19
 PLACE = U((1 << 22) - 1)
 HOT = 20_000  # contexts of one key beyond which its strings are dealt out one by one
 COVERED, PROBE, LEVEL = 0, 1, 2
+SHIFT = 31  # a start is the place in the text with the version of the id above these bits
 SUFFIX = "kind int, key long, span long, doc_id long, start long, runs int"
 NAMES = ["kind", "key", "span", "doc_id", "start", "runs"]
 
@@ -107,13 +109,14 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ids, texts, origin, size = [], [], [], 0
     for batch in slices(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "_version"))
+        for doc, text, version in zip(*columns, strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for at in range(0, max(0, len(data) - LENGTH + 1), PIECE):
                 piece = data[at : at + PIECE + LENGTH - 1]
                 ids.append(doc)
                 texts.append(piece)
-                origin.append(at)
+                origin.append((version << SHIFT) + at)
                 size += len(piece)
                 if size >= PIECE:
                     yield from flush(ids, texts, origin)
@@ -176,8 +179,12 @@ class SuffixIndex:
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, its rows)
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
-        """Scans (doc_id, text) rows against all levels and makes them a level; after the last batch none is needed."""
-        new = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(suffixes, SUFFIX)
+        """Scans (doc_id, text) rows against all levels and makes them a level; after the last batch none is needed.
+
+        No row comes twice; different texts of one id are told apart by a _version.
+        """
+        version = F.col("_version") if "_version" in docs.columns else F.lit(0).alias("_version")
+        new = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", version).mapInArrow(suffixes, SUFFIX)
         for _, level in self.levels:
             new = new.unionByName(level.withColumn("kind", F.lit(PROBE)))
         sorted_ = new.repartition("key").sortWithinPartitions("key", "span", "doc_id", "start")
@@ -217,14 +224,20 @@ CONTEXT = "key long, doc_id long, start long, runs int, bytes binary"
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes under each probe; those of hot keys string by string, keyed by content."""
     unzip = zstandard.ZstdDecompressor().decompress
+    done: set[tuple[int, int]] = set()
     for batch in slices(batches):
         out = [[], [], [], [], []]
-        for doc, z, probes in zip(batch.column("doc_id").to_pylist(), batch.column("_data").to_pylist(), batch.column("probes").to_pylist(), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "_version", "_data", "probes"))
+        for doc, version, z, probes in zip(*columns, strict=True):
             data = unzip(z)
+            if not data or (doc, version) in done:
+                continue
+            done.add((doc, version))
             for p in probes:
                 s, n = p["start"], p["runs"]
                 for at, runs in [(s + i, 1) for i in range(n)] if p["hot"] else [(s, n)]:
-                    piece = data[at : at + runs - 1 + LENGTH]
+                    place = at - (version << SHIFT)
+                    piece = data[place : place + runs - 1 + LENGTH]
                     if len(piece) != runs - 1 + LENGTH:
                         continue
                     key = p["key"] if not p["hot"] else int.from_bytes(sha256(piece).digest()[:8], "little", signed=True)
@@ -240,6 +253,10 @@ def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of a key that are not its first of their content; rows sorted by key and place."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
+        where = np.stack([table.column(c).to_numpy() for c in ("key", "doc_id", "start", "runs")], 1)
+        new = np.ones(len(where), bool)
+        new[1:] = (where[1:] != where[:-1]).any(1)  # a repeated row's strings may come twice
+        table = table if new.all() else table.filter(pa.array(new))
         key, doc, start, runs = (table.column(c).to_numpy() for c in ("key", "doc_id", "start", "runs"))
         data = b"".join(table.column("bytes").to_pylist())
         g = grams(np.frombuffer(data + bytes(8), np.uint8))
@@ -304,6 +321,30 @@ def finished(keep: list[str], with_text: bool):
     return run
 
 
+def versions(source: DataFrame, folder: str) -> DataFrame | None:
+    """(_id, _sha, _version) of the texts of ids that several rows have; none if every id is a row's own."""
+    present = source.filter("doc_id is not null and text is not null")
+    several = present.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
+    several = stored(several, f"{folder}/several")
+    if several.isEmpty():
+        return None
+    texts = present.join(several, F.col("doc_id") == F.col("_id")).select("_id", sha_of("text").alias("_sha")).distinct()
+    number = F.row_number().over(Window.partitionBy("_id").orderBy("_sha")) - 1
+    return stored(texts.withColumn("_version", number.cast("int")), f"{folder}/versions")
+
+
+def sha_of(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def versioned(rows: DataFrame, known: DataFrame | None, text: str) -> DataFrame:
+    """The rows with their text's _version: null where the id is a row's own."""
+    if known is None:
+        return rows.withColumn("_version", F.lit(None).cast("int"))
+    same = (F.col("doc_id") == F.col("_id")) & (sha_of(text) == F.col("_sha"))
+    return rows.join(known, same, "left").drop("_id", "_sha")
+
+
 def without_repeats(
     docs: DataFrame, keep: list[str] | None = None, batches: int = 2, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -314,6 +355,11 @@ def without_repeats(
     cuts = source.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     index = SuffixIndex(spark)
+    known = versions(source, shared_dir(spark, "versions"))
+    source = versioned(source, known, "text")
+    if known is not None:
+        source = source.filter("_version is null").unionByName(source.filter("_version is not null").dropDuplicates(["doc_id", "_version"]))
+    source = source.withColumn("_version", F.coalesce("_version", F.lit(0)))
     for i in range(len(cuts) + 1):
         part = source
         if i > 0:
@@ -326,18 +372,21 @@ def without_repeats(
     names = [c for c in keep if c != "doc_id"]
     carried = docs.select(ids.alias("doc_id"), *[F.col(c) for c in names], F.col(text_col).alias("_text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = carried.mapInArrow(compressed(["doc_id", *names]), f"{shape}, _data binary").repartition(n, "doc_id")
+    carried = versioned(carried, known, "_text").withColumn("_version", F.coalesce("_version", F.lit(0)))
+    n, by = int(spark.conf.get("spark.sql.shuffle.partitions")), ["doc_id", "_version"]
+    dealt = carried.mapInArrow(compressed(["doc_id", *names, "_version"]), f"{shape}, _version int, _data binary").repartition(n, *by)
+    version = F.shiftright("start", SHIFT).cast("int").alias("_version")
+    place = F.col("start").bitwiseAND(F.lit((1 << SHIFT) - 1))
 
     probes = index.rows(PROBE).select("key", "doc_id", "start", "runs").distinct()
     hot = probes.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     probes = probes.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    by_doc = probes.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "runs", "hot")).alias("probes"))
-    under = dealt.join(by_doc, "doc_id").select("doc_id", "_data", "probes").mapInArrow(contexts, CONTEXT)
+    by_doc = probes.groupBy("doc_id", version).agg(F.collect_list(F.struct("key", "start", "runs", "hot")).alias("probes"))
+    under = dealt.join(by_doc, by).select("doc_id", "_version", "_data", "probes").mapInArrow(contexts, CONTEXT)
     found = under.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(resolved, SUFFIX)
     gone = index.rows(COVERED).select("doc_id", "start", "runs").unionByName(found.select("doc_id", "start", "runs"))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("runs") - 1 + LENGTH).alias("end"))).alias("gone"))
-    out = dealt.join(gone, "doc_id", "left").select("doc_id", *names, "_data", "gone")
+    gone = gone.groupBy("doc_id", version).agg(F.collect_list(F.struct(place.alias("start"), (place + F.col("runs") - 1 + LENGTH).alias("end"))).alias("gone"))
+    out = dealt.join(gone, by, "left").select("doc_id", *names, "_data", "gone")
     more = ", kept_text string" if with_text else ""
     stats = f"n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}"
     return out.mapInArrow(finished(["doc_id", *names], with_text), f"{shape}, {stats}")

@@ -103,6 +103,21 @@ def test_repeats_in_a_text_of_several_pieces_and_with_hot_keys(spark, monkeypatc
     assert found == {0: 0, 1: 300, 2: 300}
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeated_rows_keep_their_text(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(11)
+    a, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(4))
+    rows = [(1, a + b), (1, a + b), (2, "x" + a), (3, c), (3, c), (3, d + b), (4, "y" + c[:200]), (4, "y" + c[:200])]
+    ids = {t: i for i, t in rows}
+    texts = sorted(ids, key=lambda t: (ids[t], hashlib.sha256(t.encode()).hexdigest()))
+    wanted = {}
+    for t, gone in zip(texts, brute_repeats([t.encode() for t in texts]), strict=True):
+        wanted[ids[t], len(t)] = bytes(x for x, g in zip(t.encode(), gone, strict=True) if not g).decode()
+    out = repeats.without_repeats(table(spark, [(i, t, None) for i, t in rows])).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["kept_text"]) for r in out) == sorted((i, len(t), wanted[i, len(t)]) for i, t in rows)
+
+
 def test_levels_merge_geometrically(spark):
     index = repeats.SuffixIndex(spark)
     rng = random.Random(7)

@@ -33,10 +33,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Shingles of five words, 0.8."""
-    kept = near.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return like_documents(rows.dropDuplicates(["doc_id"]), docs.columns)
+    """One document of each near-duplicate group: the one with the smallest id. Shingles of five words, 0.8.
+
+    Of a group's texts with the same smallest id the one with the smallest SHA-256 stays; an id's texts of different
+    groups all stay. Repeated rows (same id, same text) are one. Rows with a null id all stay, repeated ones too.
+    """
+    hashed = docs.withColumn("_sha", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("null")))
+    found = near.near_duplicates(hashed, key_col="_sha").filter("kept and doc_id is not null")
+    group = F.coalesce(F.hex("component"), F.concat(F.lit("text "), "_sha")).alias("_group")
+    kept = found.groupBy(F.col("doc_id").alias("_id"), group).agg(F.min("_sha").alias("_first"))
+    rows = hashed.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_first")), "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "_sha"]).unionByName(hashed.filter("doc_id is null"))
+    return like_documents(rows, docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32)
 
 
-def profiles(size: int):
+def profiles(size: int, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             count, node, sig = [], [], []
@@ -67,8 +67,8 @@ def profiles(size: int):
                 node.append(blake2b(b" ".join(ws), digest_size=16).digest() if ws else None)
                 sig.append(signature(found).tobytes() if ws else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "node", "sig"],
+                [*[batch.column(c) for c in ("doc_id", *carry)], pa.array(count, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", *carry, "n_shingles", "node", "sig"],
             )
 
     return run
@@ -311,15 +311,19 @@ def checked(size: int):
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: linked where 100 * both >= percent * total."""
+    """(doc_id, n_shingles, component_id, kept) of every row: linked where 100 * both >= percent * total.
+
+    With a key_col, rows also have that column and component, which tells the components of one id apart (null: no words).
+    """
     spark, threshold = docs.sparkSession, percent / 100
     folder = shared_dir(spark, "near")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, n_shingles long, node binary, sig binary"
-    rows = stored(docs.mapInArrow(profiles(size), shape), f"{folder}/rows")
+    key = [] if key_col is None else [F.col(key_col).alias("_key")]
+    docs = docs.select(F.col(id_col).alias("doc_id"), *key, F.col(text_col).alias("text"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    shape = f"{shape}, n_shingles long, node binary, sig binary"
+    rows = stored(docs.mapInArrow(profiles(size, ["_key"] if key else []), shape), f"{folder}/rows")
     classes = rows.filter("node is not null and doc_id is not null").groupBy("node")
     classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = stored(classes, f"{folder}/classes")
@@ -351,12 +355,13 @@ def near_duplicates(
 
     of_node = classes.join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     low = of_node.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = of_node.select("node", "component").join(low, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    more = ["component"] if key else []
+    of_node = of_node.select("node", "component").join(low, "component").select("node", "component_id", *more)
+    out = rows.select("doc_id", *(["_key"] if key else []), "n_shingles", "node").join(of_node, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select(
-        F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    )
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    more = [F.col("_key").alias(key_col), "component"] if key else []
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept, *more)
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -72,6 +72,21 @@ def test_near_duplicates_keep_the_first_of_each_component(steps):
     assert texts_of(steps[2]) == {i: t for i, t in before.items() if root(i) == i}
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], DOCUMENT)
+
+
+def test_near_duplicates_keep_rows_without_an_id_and_texts_that_share_one(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, "en"), (None, b, "en"), (None, b, "en"), (1, c, "en"), (2, c + " more", "en"), (2, d, "en"), (2, d, "en"), (3, None, "en"), (3, " ", "en"), (3, " ", "en")]
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), FOLDER).collect()
+    got = sorted((r["doc_id"] or 0, r["text"] or "null") for r in out)
+    assert got == sorted([(0, a), (0, b), (0, b), (1, c), (2, d), (3, "null"), (3, " ")])
+
+
 def test_repeats_leave_what_was_not_there_before(steps):
     before, after = texts_of(steps[2]), texts_of(steps[3])
     ids = sorted(before)

@@ -22,14 +22,14 @@ def like_documents(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters; those without any (or without text) are rejected, lang is set where it was null.
+    """Documents with letters; those without any (or without text) are rejected, a null lang is set.
 
-    The language model learns from the labelled documents of the stage's own input.
+    The language model learns from the labelled documents of the stage's own input; without any, lang stays null.
     """
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = language.predicted(docs, language.prototypes(docs), columns)
-    kept = found.filter(F.col("lang_pred") != language.UNDETERMINED)
-    return like_documents(kept.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
+    found = language.predicted(docs, language.prototypes(docs), columns, letters_col="_letters")
+    known = F.when(F.col("lang_pred") != language.UNDETERMINED, F.col("lang_pred"))
+    return like_documents(found.filter("_letters").withColumn("lang", F.coalesce("lang", known)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

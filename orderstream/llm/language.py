@@ -134,33 +134,37 @@ def prototypes(training: DataFrame) -> dict[str, np.ndarray]:
     return {k: v / n for k, v in sorted(found.items()) if (n := np.linalg.norm(v))}
 
 
-def predicted(docs: DataFrame, known: dict[str, np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns with lang_pred and score: the best prototype's cosine, from 0 to 1."""
+def predicted(docs: DataFrame, known: dict[str, np.ndarray], keep: list[str], text_col: str = "text", letters_col: str | None = None) -> DataFrame:
+    """The kept columns with lang_pred and score: the best prototype's cosine, from 0 to 1.
+
+    With a letters_col, that column tells whether the text has a letter, also where no language is known.
+    """
+    more = [] if letters_col is None else [letters_col]
     names = list(known)
     matrix = np.stack([known[x] for x in names]) if names else np.zeros((0, DIM))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("_text").to_pylist()
-            best, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            best, score, lettered = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             for at in range(0, len(texts), 512):
                 part = texts[at : at + 512]
                 vectors = profiles(part, np.arange(len(part)), len(part))
                 norm = np.linalg.norm(vectors, axis=1)
+                lettered[at : at + len(part)] = norm > 0
                 if not names:
                     continue
                 cosine = np.round(vectors @ matrix.T / np.where(norm > 0, norm, 1)[:, None], 9)
                 for i in np.flatnonzero(norm > 0):
                     best[at + i] = names[int(cosine[i].argmax())]
                     score[at + i] = min(1.0, max(0.0, cosine[i].max()))
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"]
-            )
+            columns = [*[batch.column(c) for c in keep], pa.array(best, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(lettered) for _ in more]], [*keep, "lang_pred", "score", *more])
 
     chosen = docs.select(*keep, F.col(text_col).alias("_text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{shape}, lang_pred string, score double")
+    shape = f"{shape}, lang_pred string, score double"
+    return chosen.mapInArrow(run, ", ".join([shape, *[f"`{c}` boolean" for c in more]]))
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -79,6 +79,12 @@ def documents(spark, rows):
     return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], DOCUMENT)
 
 
+def test_language_keeps_lettered_texts_when_no_row_is_labelled(spark):
+    rows = [(1, "some words", None), (2, "ünïcödé", None), (3, "12 34 !", None), (4, "", None), (5, None, None)]
+    out = corpus_pipeline.identify_language(spark, documents(spark, rows), FOLDER).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == [(1, "some words", None), (2, "ünïcödé", None)]
+
+
 def test_near_duplicates_keep_rows_without_an_id_and_texts_that_share_one(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     rows = [(None, a, "en"), (None, b, "en"), (None, b, "en"), (1, c, "en"), (2, c + " more", "en"), (2, d, "en"), (2, d, "en"), (3, None, "en"), (3, " ", "en"), (3, " ", "en")]

@@ -156,6 +156,36 @@ def test_pseudonyms_link_and_stay_valid(spark):
     assert one[3].rstrip(",").split("-") == list(reversed(two[5].split(".")))
 
 
+def test_cards_beside_other_digits_and_common_phone_shapes(spark):
+    card = "4539578763621486"
+    beside = ["{} 12/26", "{}-", "12 {}", "{} 123", "{} 2024-01-31", "05/27 {} x", "{} {}", "no-{}", "{} 10.0.0.1"]
+    grouped = ["4539 5787 6362 1486 05/27", "4539-5787-6362-1486 12"]
+    phones = ["+1 212 555 0100", "+1-212-555-0100", "212.555.0100", "+1 (212) 555-0100", "212 555 0100", "212-555-0100"]
+    abroad = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 12345678"]
+    left = ["1234567890123456 12/26", "3.4539578763621486", "1 2 3 4 5 6 7 8 9 0 " * 2000]
+    rows = [t.replace("{}", card) for t in beside] + grouped + phones + abroad + left
+    docs = spark.createDataFrame(list(enumerate(rows[: -len(left)])) + [(100 + i, t) for i, t in enumerate(left)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in private.pseudonymized(docs).collect()}
+    new = out[1]["text"][:-1]
+    assert new != card and len(new) == 16
+    for i, t in enumerate(beside):
+        if "01-31" not in t and "10.0" not in t:
+            assert out[i]["text"] == t.replace("{}", new), t
+        assert out[i]["text"].count(new) == out[i]["private"]["card"] == t.count("{}"), t
+    assert out[4]["private"]["date"] == 1 and out[8]["private"]["ip"] == 1
+    for i, t in enumerate(grouped, len(beside)):
+        assert out[i]["text"][:19].replace(t[4], "") == new and out[i]["text"][19:] == t[19:], t
+    at = len(beside) + len(grouped)
+    national = {"".join(c for c in out[at + i]["text"] if c.isdigit())[-10:] for i in range(len(phones))}
+    assert len(national) == 1 and national != {"2125550100"}
+    for i, t in enumerate(phones + abroad, at):
+        got = out[i]["text"]
+        assert out[i]["private"]["phone"] == 1 and got != t and len(got) == len(t), t
+        assert t[0] != "+" or got[:2] == t[:2], t
+    assert out[100]["text"] == left[0] and out[101]["text"] == left[1]
+    assert len(out[102]["text"]) == len(left[2])
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(17 * 5).select(private.feistel(F.col("id"), 17, 5, "t", "k").alias("v")).collect()
     assert sorted(r["v"] for r in got) == list(range(85))

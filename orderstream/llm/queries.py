@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import chats, fingerprints, language, near, packing, pieces, private, quality, repeats, weighting
+from orderstream.llm import chats, fingerprints, language, near, packing, pieces, private, quality, repeats, resampling, weighting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": weighting.query,
     "op9_minhash_near_dedup": near.query,
     "op10_packing": packing.query,
+    "op13_importance_resampling": resampling.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.sql(),
     "op2_chat_formatting": chats.SQL,
     "op9_minhash_near_dedup": near.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }

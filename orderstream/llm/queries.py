@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import chats, fingerprints, language, near, packing, pieces, private, quality, repeats, resampling, weighting
+from orderstream.llm import chats, fingerprints, language, near, packing, pieces, private, quality, repeats, resampling, weighting, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": weighting.query,
     "op9_minhash_near_dedup": near.query,
     "op10_packing": packing.query,
+    "op11_embedding_whitening": whitening.query,
     "op13_importance_resampling": resampling.query,
 }
 

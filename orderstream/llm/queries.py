@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderstream.llm import chats, fingerprints, language, near, packing, pieces, private, quality, repeats, resampling, weighting, whitening
+from orderstream.llm import chats, fingerprints, language, metric, near, packing, pieces, private, quality, repeats, resampling, weighting, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": near.query,
     "op10_packing": packing.query,
     "op11_embedding_whitening": whitening.query,
+    "op12_ngram_jaccard_join": metric.query,
     "op13_importance_resampling": resampling.query,
 }
 
@@ -27,5 +28,6 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.sql(),
     "op2_chat_formatting": chats.SQL,
     "op9_minhash_near_dedup": near.SQL,
+    "op12_ngram_jaccard_join": metric.SQL,
     "op13_importance_resampling": resampling.SQL,
 }

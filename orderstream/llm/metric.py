@@ -43,6 +43,8 @@ from orderstream.llm.hashing import U, mix, shingle_set, word_hashes
 LEAF, WEIGHT = 256, 1 << 21
 PIVOTS, FAR = 12, 0.6
 LEVELS = 8
+KEYS_AT_ONCE = 1 << 21
+WANTED_BITS, MARKED = 1 << 26, 32768  # MARKED: the bits of one value of Spark's bitmap aggregate
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -125,11 +127,67 @@ def profiles(size: int, percent: int):
     return run
 
 
+def runs_of(key: np.ndarray) -> np.ndarray:
+    """Where a new key begins, in sorted keys."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
+def pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The distinct pairs of different ends."""
+    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def lows(paired: bool):
+    """A task's classes by the content of their parts: (key, id) of the lowest of each, or the pairs of the others with it.
+
+    So a part that very many classes have leaves a task as one row for some millions of its keys.
+    """
+
+    def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        heads = runs_of(key)
+        if paired:
+            return pairs_batch(ids, np.repeat(ids[heads], np.diff(np.append(heads, len(key)))))
+        return pa.RecordBatch.from_arrays([pa.array(key[heads]), pa.array(ids[heads])], ["key", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            keys = batch.column("keys")
+            size = keys.value_lengths().to_numpy()
+            held.append((keys.flatten().to_numpy(), np.repeat(batch.column("id").to_numpy(), size)))
+            if sum(len(k) for k, _ in held) >= KEYS_AT_ONCE:
+                yield flushed(held)
+                held = []
+        if any(len(k) for k, _ in held):
+            yield flushed(held)
+
+    return run
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each id with the lowest of its key; rows come sorted by key and id."""
+    last, low = None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        heads = runs_of(key)
+        first = ids[heads].copy()
+        if last is not None and key[0] == last:
+            first[0] = low
+        yield pairs_batch(ids, np.repeat(first, np.diff(np.append(heads, len(key)))))
+        last, low = key[-1], first[-1]
+
+
 def families(classes: DataFrame, folder: str) -> DataFrame:
     """(id, family) of the classes that share a part with another; id is a hash of the node, so a family may be too large."""
-    routes = classes.select(F.explode("keys").alias("key"), F.xxhash64("node").alias("id"))
-    shared = routes.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key", "low")
-    pairs = routes.join(shared, "key").filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    routes = classes.select("keys", F.xxhash64("node").alias("id")).filter(F.size("keys") > 0)
+    lowest = routes.mapInArrow(lows(False), "key long, id long").repartition("key").sortWithinPartitions("key", "id")
+    pairs = routes.mapInArrow(lows(True), "a long, b long").unionByName(lowest.mapInArrow(met, "a long, b long")).distinct()
     reached = components(stored(pairs, f"{folder}/routes"), "metric-families")
     return reached.select(F.col("node").alias("id"), F.col("component").alias("family"))
 
@@ -138,13 +196,36 @@ STATE = ["region", "node", "anchor", "n", "shingles"]
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The wanted classes (node, doc_id, family) with their sets, from one document each: the columns STATE."""
+    """The wanted classes (node, doc_id, family) with their sets, from one document each: the columns STATE.
+
+    Texts meet the ids in a shuffle; before it, a bitmap of a fixed size drops most texts that are not wanted. However
+    full the bitmap is, the join decides.
+    """
     ids = wanted.select("family", "node", F.col("doc_id").alias("_id"))
-    texts = docs.join(ids, docs["doc_id"] == F.col("_id")).select("family", "node", "text")
+    bit = F.pmod(F.xxhash64("_id"), F.lit(WANTED_BITS))
+    marks = ids.groupBy((bit / MARKED).cast("int").alias("n")).agg(F.bitmap_construct_agg(bit % MARKED).alias("bits"))
+    bitmap = {r.n: bytes(r.bits) for r in marks.collect()}  # WANTED_BITS / 8 bytes at most
+    texts = docs.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "text").mapInArrow(marked(bitmap), docs.schema)
+    texts = texts.join(ids, texts["doc_id"] == F.col("_id")).select("family", "node", "text")
     found = texts.mapInArrow(checked(size), "region long, node binary, n long, shingles binary").dropDuplicates(["region", "node"])
     return found.withColumn("anchor", F.lit(None).cast("long")).select(STATE)
 
 
+def marked(bitmap: dict[int, bytes]):
+    """The rows (hash, doc_id, text) whose hash has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(WANTED_BITS // 8, np.uint8)
+        for n, held in bitmap.items():
+            bits[n * MARKED // 8 : (n + 1) * MARKED // 8] = np.frombuffer(held, np.uint8)
+        for batch in batches:
+            bit = batch.column("hash").to_numpy() % WANTED_BITS
+            wanted = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(wanted.astype(bool)))
+
+    return run
+
+
 def checked(size: int):
     """Sets of texts that are of the class they are asked for; others of the same id are not."""
 

@@ -305,6 +305,11 @@ def all_oracles() -> dict[str, str]:
         ),
         "first_of_each": with_(ORD, REDELIVERED, body="SELECT arrival, message_id, drink FROM grouped WHERE r = 1"),
         "numbered_orders": with_(ORD, REDELIVERED, body="SELECT arrival, message_id, row_number() OVER (ORDER BY arrival) + 1000 AS id FROM inserted"),
+        "numbered_kafka_positions": with_(
+            ORD,
+            "placed AS (SELECT id // 5 * 8388608 + id % 5 AS arrival, message_id FROM ord)",
+            body="SELECT arrival, message_id, row_number() OVER (ORDER BY arrival) AS id FROM placed",
+        ),
         "legacy_ids": with_(
             ORD,
             "texts AS (SELECT id, 'order-' || drink || '-' || message_id AS message_id FROM ord)",
@@ -464,6 +469,27 @@ late AS (SELECT ts, 'E2E' AS method, CASE WHEN timed_out THEN 'e2e_latency_v1_ti
         count(*) FILTER (reason IS NOT NULL) + 2 * count(*) FILTER (reason IS NOT NULL AND id % 5 = 2) AS quarantined,
         count(*) FILTER (reason IS NULL) AS max_id, CAST(4 AS BIGINT) AS batches FROM faults""",
     )
+    sql["kafka_positions"] = with_(
+        ORD,
+        FAULTS,
+        # places: the three partitions of orders-1, seen first, then those of orders-0
+        body="""SELECT id // 6 * 8388608 + (1 - id % 2) * 3 + id // 2 % 3 AS arrival, CAST(NULL AS VARCHAR) AS message_id, sent_ts AS ts
+        FROM faults WHERE reason IS NULL OR reason = 'message_id missing' AND drink NOT IN ('error', 'signup')""",
+    )
+    sql["known_message_ids"] = with_(ORD, FAULTS, body="SELECT message_id FROM faults WHERE reason IS NULL")
+    sql["levelled_hours"] = sql["partial_merge"]
+    sql["reconcile_drift"] = with_(
+        ORD,
+        FAULTS,
+        body="""SELECT date_trunc('hour', sent_ts) AS hour_start, drink, count(*) AS order_count_before, CAST(sum(price) AS DOUBLE) AS revenue_before,
+        count(*) AS order_count_after, CAST(sum(price) AS DOUBLE) AS revenue_after, 'same' AS status FROM faults WHERE reason IS NULL GROUP BY 1, 2""",
+    )
+    sql["stream_resumed"] = with_(
+        ORD,
+        FAULTS,
+        body="""SELECT message_id, drink, store, CAST(price AS DOUBLE) AS price, sent_ts AS ts, count(*) OVER () AS last_id
+        FROM faults WHERE reason IS NULL""",
+    )
     sql["stream_recent_batches"] = with_(
         ORD,
         FAULTS,

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import partial
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from orderstream.operators.numbering import numbered
 from orderstream.operators.ranges import fresh
 from orderstream.plans.dashboard import dashboard, flattened, from_json
 from orderstream.plans.loadreport import export_load_report, load_report
-from orderstream.plans.reconcile import reconcile
+from orderstream.plans.reconcile import correct, drift, reconcile
 from orderstream.plans.refresh import SnapshotPaths, computed_documents, refresh, stored_documents
 from orderstream.schemas import ARRIVED_ORDER, DASHBOARD, ORDER
 from orderstream.session import use_utc, work_dir
@@ -34,13 +35,14 @@ from orderstream.sources import bindings as b
 from orderstream.sources.logs import parse_log_lines
 from orderstream.sources.reports import read_failures, read_stats
 from orderstream.sources.snapshots import hourly_at
-from orderstream.sources.streams import folder_stream, kafka_text
+from orderstream.sources.streams import folder_stream, kafka_text, position
 from orderstream.sources.tables import ensure_table, read_table
+from orderstream.sources.topics import Topics
 from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.dashboard import start_dashboard
 from orderstream.streaming.dedup import deduplicated
-from orderstream.streaming.ingest import Store, current_hour_items, current_window_items, ingested_documents, start_ingest
+from orderstream.streaming.ingest import Store, current_hour_items, current_window_items, ingest_batch, ingested_documents, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -352,7 +354,15 @@ def numbered_orders(spark, sf_dir):
     """The inserted rows with consecutive ids in arrival order, continuing after an existing highest id."""
     batch, target = redelivered(spark, sf_dir)
     fresh = dedup.insert_if_absent(batch, dedup.known_ids(target, batch))
-    return flat(numbered(fresh.select("arrival", "message_id"), "arrival", F.lit(1000), stretch=500))
+    return flat(numbered(fresh.select("arrival", "message_id"), "arrival", F.lit(1000), work_dir(spark, "numbered")))
+
+
+@query
+def numbered_kafka_positions(spark, sf_dir):
+    """Consecutive ids over positions that lie far apart, as those of a Kafka source do."""
+    orders = b.orders(spark, sf_dir).select("arrival", "message_id")
+    sparse = orders.withColumn("arrival", position(F.expr("arrival div 5"), F.col("arrival") % 5))
+    return flat(numbered(sparse, "arrival", F.lit(0), work_dir(spark, "numbered")))
 
 
 # --- scalar expressions --------------------------------------------------------------------------
@@ -551,10 +561,90 @@ def kafka_records(spark, sf_dir):
         F.expr("arrival div 6").alias("offset"),
         F.col("ingest_ts").alias("timestamp"),
     )
-    parsed = parsing.checked(parsing.parse_events(kafka_text(shaped)), b.EVENT_DOMAINS)
+    parsed = parsing.checked(parsing.parse_events(kafka_text(shaped, ("orders",))), b.EVENT_DOMAINS)
     return flat(parsing.valid(parsed).select("arrival", "message_id", "ts"))
 
 
+@query
+def kafka_positions(spark, sf_dir):
+    """Orders of two topics, three partitions each with the same offsets, without message ids: all rows are kept.
+
+    The registry sees one topic first, then both.
+    """
+    n = F.col("arrival")
+    shaped = b.as_event_text(b.events(spark, sf_dir)).select(
+        F.lit(None).cast("binary").alias("key"),
+        F.encode("value", "UTF-8").alias("value"),
+        F.concat(F.lit("orders-"), (n % 2).cast("string")).alias("topic"),
+        (F.expr("arrival div 2") % 3).cast("int").alias("partition"),
+        F.expr("arrival div 6").alias("offset"),
+        F.col("ingest_ts").alias("timestamp"),
+    )
+    topics = Topics(work_dir(spark, "topics"), ("orders-0", "orders-1"))
+    topics.extend(shaped.where("topic = 'orders-1'"))
+    parsed = parsing.checked(parsing.parse_events(topics.text(shaped)), b.EVENT_DOMAINS, require_message_id=False)
+    batch = parsing.valid(parsed).withColumn("message_id", F.lit(None).cast("string"))
+    none = spark.createDataFrame([], "message_id STRING")
+    return flat(dedup.insert_if_absent(batch, none).select("arrival", "message_id", "ts"))
+
+
+@query
+def known_message_ids(spark, sf_dir):
+    """Which ids of a batch the index of an ingest in several batches has, with as many unknown ones among them."""
+    store = _ingested_in_batches(spark, sf_dir)
+    ids = b.events(spark, sf_dir).select(F.col("event_id").cast("string").alias("message_id"))
+    asked = ids.unionByName(ids.select(F.concat(F.lit("x"), "message_id").alias("message_id")))
+    return store.ids().known(asked, before=1_000_000).distinct()
+
+
+@query
+def levelled_hours(spark, sf_dir):
+    """Hourly figures from the increments of many batches, merged in levels."""
+    levels = Store(work_dir(spark, "levels")).hours()
+    orders, slices = b.orders(spark, sf_dir), 9
+    for n in range(slices):
+        levels.add(metrics.hour_items(orders.where(F.col("id") % slices == n)), n)
+    return flat(levels.current(spark))
+
+
+@query
+def reconcile_drift(spark, sf_dir):
+    """Figures of an ingest that drifted, corrected: every hour and item agrees, and hours that no order is in are gone.
+
+    The drift: a tenth of the orders counted twice, and hours of a year before.
+    """
+    store = _ingested_in_batches(spark, sf_dir)
+    orders = store.table(spark, "orders")
+    twice = orders.where(F.col("arrival") % 10 == 0)
+    ghosts = orders.where(F.col("arrival") % 7 == 0).withColumn("ts", F.col("ts") - F.expr("interval 365 days"))
+    store.hours().add(metrics.hour_items(twice.unionByName(ghosts)), 1_000_000)
+    correct(spark, store, "drift")
+    return flat(drift(spark, store).drop("last_ts_before", "last_ts_after"))
+
+
+@query
+def stream_resumed(spark, sf_dir):
+    """An ingest that ended between writing its second batch and committing it, and was started again."""
+    store, stream = Store(work_dir(spark, "resumed")), _redelivered(spark, sf_dir)
+
+    def ends_early(batch, batch_id):
+        ingest_batch(batch, batch_id, store, b.EVENT_DOMAINS)
+        if batch_id == 1:
+            raise InterruptedError("ended before the commit")
+
+    stopped = start(stream, ends_early, store.path("checkpoint"))
+    try:
+        stopped.awaitTermination()
+    except StreamingQueryException as error:
+        if "ended before the commit" not in str(error):
+            raise
+    start_ingest(stream, store, b.EVENT_DOMAINS).awaitTermination()
+    orders = store.table(spark, "orders").select("message_id", "drink", "store", "price", "ts", "id")
+    # Ids follow the order of the batches' files; that they are consecutive does not.
+    last = orders.agg(F.max("id").alias("id")).scalar()
+    return flat(orders.withColumn("last_id", last).drop("id"))
+
+
 @query
 def stream_job(spark, sf_dir):
     """The job on the faulty stream in several batches, with repeats and late rows: v3 windows per store and day."""

@@ -47,6 +47,9 @@ WINDOW_ITEM = (
     "window_start TIMESTAMP, window_end TIMESTAMP, store STRING, drink STRING,"
     " order_count BIGINT, revenue DECIMAL(20,2), batch_id BIGINT"
 )
+# The same figures in runs: increments of batches, and the tombstones of corrected hours.
+HOUR_RUN = HOUR_ITEM.removesuffix(", batch_id BIGINT") + ", seq BIGINT, tombstone BOOLEAN"
+WINDOW_RUN = WINDOW_ITEM.removesuffix(", batch_id BIGINT")
 RECENT_ORDER = "id BIGINT, drink STRING, store STRING, price DECIMAL(10,2), ts TIMESTAMP"
 RECENT_SNAPSHOT = "arrival BIGINT, " + RECENT_ORDER + ", updated_at TIMESTAMP, expires_at TIMESTAMP, batch_id BIGINT"
 

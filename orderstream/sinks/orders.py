@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from orderstream.operators.dedup import insert_if_absent, known_ids
 from orderstream.operators.numbering import numbered
 from orderstream.sinks.batches import before_batch, write_batch
+from orderstream.sinks.files import remove
 
 # Columns of a validated order before it has an id.
 ORDER_FIELDS = ("arrival", "message_id", "drink", "store", "price", "ts", "version")
 
 
-def with_ids(orders: DataFrame, start: Column) -> DataFrame:
-    """Consecutive ids after `start`, in arrival order, and the partition date."""
-    return numbered(orders, "arrival", start).withColumn("order_date", F.to_date("ts"))
+def write_numbered(orders: DataFrame, start: Column, root: str, batch_id: int) -> None:
+    """Writes a batch with consecutive ids after `start`, in arrival order, by date.
 
+    The rows are sorted into ranges of their arrival first, in a folder of the batch's own that goes
+    again, and numbered from there. So what gives the rows runs once, a task holds few dates and
+    writes few files, and a busy day is spread over as many tasks as it has ranges.
+    """
+    staged = f"{root.rstrip('/')}-staged/batch_id={batch_id}"
+    rows = numbered(orders, "arrival", start, staged).withColumn("order_date", F.to_date("ts"))
+    write_batch(rows, root, batch_id, ("order_date",))
+    remove(orders.sparkSession, staged)
 
-def append_orders(orders: DataFrame, stored: DataFrame, root: str, batch_id: int) -> None:
-    """Plain insert: every row is stored and numbered; rows need no message id.
 
-    Numbering leaves the rows in stretches of their arrival order, so a task holds few dates and
-    writes few files, and a busy day is spread over as many tasks as it has stretches.
-    """
+def append_orders(orders: DataFrame, stored: DataFrame, root: str, batch_id: int) -> None:
+    """Plain insert: every row is stored and numbered; rows need no message id."""
     last = before_batch(stored, batch_id).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    write_batch(with_ids(orders, last), root, batch_id, ("order_date",))
+    write_numbered(orders, last, root, batch_id)
 
 
 def earlier_orders(stored: DataFrame, batch: DataFrame, batch_id: int, horizon_days: int | None = None) -> DataFrame:

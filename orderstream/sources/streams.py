@@ -40,25 +40,30 @@ def folder_stream(
     return reader.load(path)
 
 
-# A position holds the offset, the topic's number and the partition in one long: 23 bits for topic and partition.
+# A position holds the offset and a place, the number of the topic's partition, in one long.
 PLACES = 1 << 23
 
 
-def arrival_of(partition: Column, offset: Column, topic: Column | None = None, topics: tuple[str, ...] = ()) -> Column:
-    """Position of a record: ordered by offset, unique over all topics and partitions.
-
-    Several topics are told apart by their place in `topics`. What does not fit (an unlisted topic, PLACES partitions
-    or more over all topics, offsets of 2**40 or more) fails the query rather than share a position.
-    """
-    number = F.lit(0) if topic is None or not topics else F.array_position(F.array(*map(F.lit, topics)), topic) - 1
-    place = partition.cast("long") * max(1, len(topics)) + number
-    fits = (number >= 0) & (partition >= 0) & (place < PLACES) & (offset >= 0) & (offset < 1 << 40)
+def position(offset: Column, place: Column) -> Column:
+    """Ordered by offset, unique over all places; what does not fit fails the query rather than share a position."""
+    fits = (place >= 0) & (place < PLACES) & (offset >= 0) & (offset < 1 << 40)
     failed = F.raise_error(F.lit("a record's topic, partition or offset has no position of its own")).cast("long")
     return F.when(fits, offset.cast("long") * PLACES + place).otherwise(failed)
 
 
-def kafka_text(records: DataFrame, topics: tuple[str, ...] = ()) -> DataFrame:
-    """`arrival, value, ingest_ts` from Kafka-shaped records, bytes decoded as UTF-8; topics: all, where there are several."""
+def arrival_of(partition: Column, offset: Column, topic: Column, topics: tuple[str, ...]) -> Column:
+    """Position of a record of one of the listed topics, told apart by their place in the list.
+
+    The list must stay as it is for the life of the stream; `topics.Topics` keeps a growing one. A
+    topic that is not listed fails the query, and so do PLACES partitions or more over all topics.
+    """
+    number = F.array_position(F.array(*map(F.lit, topics)), topic) - 1
+    place = partition.cast("long") * len(topics) + number
+    return position(offset, F.when((number >= 0) & (partition >= 0), place))
+
+
+def kafka_text(records: DataFrame, topics: tuple[str, ...]) -> DataFrame:
+    """`arrival, value, ingest_ts` from Kafka-shaped records of the listed topics, bytes decoded as UTF-8."""
     return records.select(
         arrival_of(F.col("partition"), F.col("offset"), F.col("topic"), topics).alias("arrival"),
         F.col("value").cast("string").alias("value"),

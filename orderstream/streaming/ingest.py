@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orderstream.functions.times import AsOf
+from orderstream.functions.times import AsOf, back, moment
 from orderstream.operators.dedup import insert_if_absent, known_ids
 from orderstream.operators.metrics import (
     daily_from_hours,
@@ -28,11 +28,14 @@ from orderstream.operators.metrics import (
 from orderstream.operators.parsing import checked, parse_events
 from orderstream.operators.recent import recent_orders
 from orderstream.plans.refresh import Documents, current_hour_document
-from orderstream.schemas import CHECKED_EVENT, HOUR_ITEM, ORDER, OUTCOME, RECENT_SNAPSHOT, WINDOW_ITEM, Domains
+from orderstream.schemas import CHECKED_EVENT, HOUR_RUN, ORDER, OUTCOME, RECENT_SNAPSHOT, WINDOW_RUN, Domains
 from orderstream.sinks.batches import before_batch, write_batch
-from orderstream.sinks.orders import ORDER_FIELDS, earlier_orders, with_ids
+from orderstream.sinks.idindex import IdIndex
+from orderstream.sinks.levels import Levels
+from orderstream.sinks.orders import ORDER_FIELDS, earlier_orders, write_numbered
 from orderstream.sinks.snapshots import roll_recent
 from orderstream.sources.tables import ensure_table, read_batch
+from orderstream.sources.topics import Topics
 from orderstream.streaming.common import start, together
 
 
@@ -40,18 +43,18 @@ from orderstream.streaming.common import start, together
 class Store:
     """The tables of one ingest, below a root folder.
 
-    `orders` moves the order table elsewhere, such as to the result of `merge_batches`.
+    `orders` moves the order table elsewhere, such as to the result of `merge_batches`. `id_buckets`
+    is the number of buckets of the id index, the same for its life.
     """
 
     root: str
     orders: str | None = None
+    id_buckets: int = 16
 
     _SCHEMAS = {
         "events": CHECKED_EVENT,
         "orders": ORDER,
         "outcomes": OUTCOME,
-        "hour_increments": HOUR_ITEM,
-        "window_increments": WINDOW_ITEM,
         "recent": RECENT_SNAPSHOT,
     }
 
@@ -78,6 +81,27 @@ class Store:
         earlier = before_batch(self.table(spark, name), batch_id)
         return earlier.where(F.col("batch_id") == earlier.agg(F.max("batch_id").alias("b")).scalar())
 
+    def hours(self) -> Levels:
+        """The increments of the hourly figures, which corrections may void."""
+        return Levels(self.path("hours"), HOUR_RUN, merge_hour_items, "hour_start", void_key="hour_start")
+
+    def windows(self) -> Levels:
+        return Levels(self.path("windows"), WINDOW_RUN, merge_window_items, "window_start")
+
+    def ids(self) -> IdIndex:
+        """The message ids of the order table."""
+        return IdIndex.at(self.path("ids"), self.id_buckets)
+
+    def known_ids(self, valid: DataFrame, batch_id: int, horizon_days: int | None = None) -> DataFrame:
+        """The ids of a batch that earlier ones stored: by the index, or by a scan of the orders of the horizon."""
+        spark = valid.sparkSession
+        if horizon_days is not None:
+            return known_ids(earlier_orders(self.table(spark, "orders"), valid, batch_id, horizon_days), valid)
+        ids = self.ids()
+        if batch_id > 0 and ids.manifest(spark, before=batch_id) is None:
+            ids.build(self.table(spark, "orders"), batch_id)
+        return ids.known(valid, batch_id)
+
     def quarantine(self, spark: SparkSession) -> DataFrame:
         """Rejected events with their text and the reason."""
         return self.table(spark, "events").where(~F.col("accepted")).select("arrival", "value", "reason", "batch_id")
@@ -93,8 +117,9 @@ def ingest_batch(
     version: str | None = None,
     by_arrival: bool = False,
     window: str | None = None,
+    topics: Topics | None = None,
 ) -> None:
-    """Works off one batch of `arrival, value[, ingest_ts]` records.
+    """Works off one batch of `arrival, value[, ingest_ts]` records, or with `topics` of Kafka-shaped ones.
 
     The input is read and parsed once. Accepted events are only needed until their batch is done
     and may be dropped later; the rejected ones are the quarantine. Hours, windows of size `window`
@@ -103,7 +128,7 @@ def ingest_batch(
     counted under `ingest_ts` instead of their own time.
     """
     spark = records.sparkSession
-    parsed = parse_events(records)
+    parsed = parse_events(records if topics is None else topics.text(records))
     if version is not None:
         parsed = parsed.where(F.col("malformed") | (F.col("version") == version))
     accepted = F.col("reason").isNull()
@@ -117,10 +142,9 @@ def ingest_batch(
     stored_events = store.batch(spark, "events", batch_id)
     valid = stored_events.where("accepted").select(*ORDER_FIELDS)
 
-    earlier = earlier_orders(store.table(spark, "orders"), valid, batch_id, horizon_days)
     last_id = store.previous(spark, "outcomes", batch_id).agg(F.coalesce(F.max("max_id"), F.lit(0)).alias("id")).scalar()
-    fresh = insert_if_absent(valid, known_ids(earlier, valid))
-    write_batch(with_ids(fresh, last_id), store.path("orders"), batch_id, ("order_date",))
+    fresh = insert_if_absent(valid, store.known_ids(valid, batch_id, horizon_days))
+    write_numbered(fresh, last_id, store.path("orders"), batch_id)
 
     inserted = store.batch(spark, "orders", batch_id)
     n = F.coalesce(inserted.agg(F.count("*").alias("n")).scalar(), F.lit(0))
@@ -133,11 +157,12 @@ def ingest_batch(
     recent = store.previous(spark, "recent", batch_id)
     writes = [
         lambda: write_batch(counts, store.path("outcomes"), batch_id),
-        lambda: write_batch(hour_items(inserted), store.path("hour_increments"), batch_id),
+        lambda: store.hours().add(hour_items(inserted), batch_id),
+        lambda: store.ids().add_ids(inserted, batch_id),
         lambda: roll_recent(inserted, recent, store.path("recent"), batch_id),
     ]
     if window is not None:
-        writes.append(lambda: write_batch(window_items(inserted, window), store.path("window_increments"), batch_id))
+        writes.append(lambda: store.windows().add(window_items(inserted, window), batch_id))
     together(spark, *writes)
 
 
@@ -150,38 +175,41 @@ def start_ingest(
     lenient_time: str | None = None,
     version: str | None = None,
     by_arrival: bool = False,
+    topics: Topics | None = None,
 ) -> StreamingQuery:
     """Starts the ingest of a stream of `arrival, value[, ingest_ts]` records.
 
-    Use `every="2 seconds"` and a source limit of records per trigger for bounded batches.
+    With `topics` the records are as Kafka delivers them, of one or several topics, and the registry
+    gives them their positions. Use `every="2 seconds"` and a source limit of records per trigger for bounded batches.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, store, domains, horizon_days, lenient_time, version, by_arrival)
+        ingest_batch(batch, batch_id, store, domains, horizon_days, lenient_time, version, by_arrival, topics=topics)
 
     return start(records, on_batch, store.path("checkpoint"), every)
 
 
 def current_hour_items(store: Store, spark: SparkSession) -> DataFrame:
-    """The hourly figures: the sum of the increments of all batches."""
-    return merge_hour_items(store.table(spark, "hour_increments").drop("batch_id"))
+    """The hourly figures: what all batches added, as corrected."""
+    return store.hours().current(spark)
 
 
 def current_window_items(store: Store, spark: SparkSession) -> DataFrame:
-    """The window figures: the sum of the increments of all batches."""
-    return merge_window_items(store.table(spark, "window_increments").drop("batch_id"))
+    """The window figures: what all batches added."""
+    return store.windows().current(spark)
 
 
 def ingested_documents(store: Store, spark: SparkSession, as_of: AsOf, n: int = 50) -> Documents:
     """The three dashboard documents from what the ingest keeps.
 
     The ranking takes whole days from the hourly figures, so a refresh reads the orders of one
-    partial day and of the last hour, however long the range is.
+    partial day and of the last hour, and of the hours those of the range, however long the table is.
     """
     hours = current_hour_items(store, spark)
     orders = store.table(spark, "orders")
     never = F.lit(None).cast("timestamp").alias("expires_at")
-    top = top_items_rolled(daily_from_hours(hours), orders, as_of, "30 days")
+    first_day = moment(as_of, lambda c: F.date_add(back("30 days")(c).cast("date"), 1).cast("timestamp"))
+    top = top_items_rolled(daily_from_hours(hours.where(F.col("hour_start") >= first_day)), orders, as_of, "30 days")
     return Documents(
         hourly=current_hour_document(hours, as_of),
         top=name_list(top).select("names", never),

@@ -16,6 +16,7 @@ from orderstream.schemas import HOUR_ITEM, WINDOW_ITEM, Domains
 from orderstream.sinks.batches import latest_per_key
 from orderstream.sinks.orders import insert_jdbc
 from orderstream.sources.tables import ensure_table
+from orderstream.sources.topics import Topics
 from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.ingest import Store, ingest_batch
 
@@ -61,18 +62,19 @@ def start_job(
     every: str | None = None,
     by_arrival: bool = False,
     database: dict[str, str] | None = None,
+    topics: Topics | None = None,
 ) -> StreamingQuery:
     """Order table with recent orders, window figures and hourly figures of one API version: one query.
 
     The stream is read, parsed and deduplicated once. All figures are increments of the rows a batch
     inserts, kept under its id (`current_window_items`, `current_hour_items`), so they always agree
-    with the order table, and a late row counts like any other. `database` (url, table, driver
+    with the order table, and a late row counts like any other. `topics` as in `start_ingest`. `database` (url, table, driver
     options) also inserts these rows into a database table; that branch needs a JDBC driver and is
     not verified here.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, store, domains, version=version, by_arrival=by_arrival, window=window)
+        ingest_batch(batch, batch_id, store, domains, version=version, by_arrival=by_arrival, window=window, topics=topics)
         if database is not None:
             insert_jdbc(store.batch(batch.sparkSession, "orders", batch_id), **database)
 

@@ -1,5 +1,7 @@
 import random
+import re
 
+import pytest
 from conftest import ORDER_ROW, rows_of, utc
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,8 +9,9 @@ from pyspark.sql import functions as F
 
 from orderstream.functions.ids import legacy_id, random_message_id, stable_message_id
 from orderstream.operators import dedup
-from orderstream.operators.numbering import numbered, running_totals
+from orderstream.operators.numbering import numbered, range_starts, ranged, running_totals
 from orderstream.sinks.orders import append_orders, jdbc_options
+from orderstream.sources.streams import PLACES
 from orderstream.sources.tables import ensure_table, orders_scan
 from orderstream.schemas import ORDER
 
@@ -49,22 +52,45 @@ def test_hot_id_and_many_rows_without_id(spark):
     assert "partial_min_by" in plan
 
 
-def test_running_totals_and_numbers_cross_chunks(spark):
+def test_running_totals_and_numbers_cross_chunks(spark, tmp_path):
     values = random.Random(1).sample(range(100_000), 300)
     df = spark.createDataFrame([(v, v % 7) for v in values], "at BIGINT, n BIGINT").repartition(5)
     total, wanted = 0, []
     for i, v in enumerate(sorted(values), 1):
         total += v % 7
         wanted.append((v, total, 50 + i))
-    got = numbered(running_totals(df, "at", ["n"], 999), "at", F.lit(50), stretch=1234).orderBy("at")
+    got = numbered(running_totals(df, "at", ["n"], 999), "at", F.lit(50), str(tmp_path / "ranges")).orderBy("at")
     assert [tuple(r) for r in got.select("at", "n", "id").collect()] == wanted
 
 
-def test_numbers_of_large_positions(spark):
-    """Positions beyond 2^53 must not share or swap chunks."""
+def test_numbers_of_large_positions(spark, tmp_path):
+    """Positions beyond 2^53 must not share or swap places."""
     base = 2**60
-    df = spark.createDataFrame([(base + i,) for i in range(40)], "at BIGINT")
-    assert [r.id for r in numbered(df, "at", F.lit(0), stretch=3).orderBy("at").collect()] == list(range(1, 41))
+    df = spark.createDataFrame([(base + i,) for i in range(40)], "at BIGINT").repartition(7)
+    assert [r.id for r in numbered(df, "at", F.lit(0), str(tmp_path / "ranges")).orderBy("at").collect()] == list(range(1, 41))
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_sparse_positions_are_numbered_by_few_ranges(spark, tmp_path, partitions):
+    """Kafka positions lie 2^23 apart: the unpartitioned window still sees one row per range, not per offset."""
+    rows = spark.range(5000).select((F.expr(f"id div {partitions}") * PLACES + F.col("id") % partitions).alias("at"))
+    spotted = ranged(rows, "at", str(tmp_path / "ranges"))
+    assert range_starts(spotted).count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = numbered(rows, "at", F.lit(7), str(tmp_path / "numbers")).orderBy("at").collect()
+    assert [r.id for r in got] == list(range(8, 8 + len(got))) and [r["at"] for r in got] == sorted(r["at"] for r in got)
+    windows = re.findall(r"Window \[.*", numbered(rows, "at", F.lit(7), str(tmp_path / "plan"))._jdf.queryExecution().executedPlan().toString())
+    assert len(windows) == 1 and "sum(n" in windows[0]
+
+
+def test_numbering_an_empty_table(spark, tmp_path):
+    assert numbered(spark.createDataFrame([], "at BIGINT"), "at", F.lit(0), str(tmp_path / "ranges")).collect() == []
+
+
+def test_numbering_runs_its_input_once(spark, tmp_path):
+    """Rows that differ from run to run still get every number once."""
+    rows = spark.range(1000).select((F.rand() * 1e15).cast("bigint").alias("at"))
+    got = numbered(rows, "at", F.lit(0), str(tmp_path / "ranges")).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 1001)) and [r["at"] for r in got] == sorted(r["at"] for r in got)
 
 
 def test_append_numbers_continue_and_repeat(spark, orders_of, tmp_path):

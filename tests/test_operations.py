@@ -243,14 +243,20 @@ def test_positions_never_collide(spark):
     from pyspark.errors import PySparkException
     from pyspark.sql import functions as F
 
-    from orderstream.sources.streams import arrival_of
+    from orderstream.sources.streams import arrival_of, kafka_text
 
     rows = [(p, o, t) for p in (0, 1, 1023, 1024, 5000) for o in (0, 1, 2) for t in ("x", "y")]
     df = spark.createDataFrame(rows, "partition int, offset bigint, topic string")
     place = lambda topics: arrival_of(F.col("partition"), F.col("offset"), F.col("topic"), topics)
     assert df.select(place(("x", "y")).alias("p")).distinct().count() == len(rows)
-    with pytest.raises(PySparkException):
-        df.select(place(("x",)).alias("p")).collect()
+    for topics in (("x",), ("y", "z")):
+        with pytest.raises(PySparkException):
+            df.select(place(topics).alias("p")).collect()
+    for bad in ((0, 0, None), (None, 0, "x"), (-1, 0, "x"), (0, None, "x"), (0, 1 << 40, "x"), (1 << 22, 0, "x")):
+        with pytest.raises(PySparkException):
+            spark.createDataFrame([bad], df.schema).select(place(("x", "y")).alias("p")).collect()
+    shaped = df.select(F.lit(None).cast("binary").alias("key"), F.encode(F.lit("v"), "UTF-8").alias("value"), "*", F.current_timestamp().alias("timestamp"))
+    assert kafka_text(shaped, ("x", "y")).select("arrival").distinct().count() == len(rows)
 
 
 def test_a_version_is_whole_or_absent(spark, five_orders, tmp_path):

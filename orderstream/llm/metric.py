@@ -192,23 +192,23 @@ def families(classes: DataFrame, folder: str) -> DataFrame:
     return reached.select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-STATE = ["region", "node", "anchor", "n", "shingles"]
+STATE = ["region", "node", "anchor", "n", "shingles", "rows", "weight"]
+STATE_TYPES = "region long, node binary, anchor long, n long, shingles binary, rows long, weight long"
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The wanted classes (node, doc_id, family) with their sets, from one document each: the columns STATE.
+    """The wanted classes (node, doc_id, family, rows, weight) with their sets, from one document each: the columns STATE.
 
     Texts meet the ids in a shuffle; before it, a bitmap of a fixed size drops most texts that are not wanted. However
     full the bitmap is, the join decides.
     """
-    ids = wanted.select("family", "node", F.col("doc_id").alias("_id"))
+    ids = wanted.select("family", "node", "rows", "weight", F.col("doc_id").alias("_id"))
     bit = F.pmod(F.xxhash64("_id"), F.lit(WANTED_BITS))
     marks = ids.groupBy((bit / MARKED).cast("int").alias("n")).agg(F.bitmap_construct_agg(bit % MARKED).alias("bits"))
     bitmap = {r.n: bytes(r.bits) for r in marks.collect()}  # WANTED_BITS / 8 bytes at most
     texts = docs.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "text").mapInArrow(marked(bitmap), docs.schema)
-    texts = texts.join(ids, texts["doc_id"] == F.col("_id")).select("family", "node", "text")
-    found = texts.mapInArrow(checked(size), "region long, node binary, n long, shingles binary").dropDuplicates(["region", "node"])
-    return found.withColumn("anchor", F.lit(None).cast("long")).select(STATE)
+    texts = texts.join(ids, texts["doc_id"] == F.col("_id")).select("family", "node", "rows", "weight", "text")
+    return texts.mapInArrow(checked(size), STATE_TYPES)
 
 
 def marked(bitmap: dict[int, bytes]):
@@ -227,16 +227,23 @@ def marked(bitmap: dict[int, bytes]):
 
 
 def checked(size: int):
-    """Sets of texts that are of the class they are asked for; others of the same id are not."""
+    """Sets of texts that are of the class they are asked for; others of the same id are not.
+
+    Repeated rows of an id come to one task, which takes the first; where Spark has split it, a class may come again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in slices(batches):
             out = []
-            for family, node, text in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "text")), strict=True):
+            for family, node, rows, weight, text in zip(*(batch.column(c).to_pylist() for c in ("family", "node", "rows", "weight", "text")), strict=True):
+                if node in seen:
+                    continue
                 found = shingles_of(text, size)
                 if class_of(found) == node:
-                    out.append((family, node, len(found), found.tobytes()))
-            yield arrow(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), ["region", "node", "n", "shingles"])
+                    seen.add(node)
+                    out.append((family, node, None, len(found), found.tobytes(), rows, weight))
+            yield arrow(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), STATE)
 
     return run
 
@@ -310,7 +317,7 @@ def within(rows: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 # Pivots
 
-SETTLED = "region long, child int, node binary, anchor long, link binary"
+SETTLED = "region long, child int, node binary, anchor long, n long, link binary"
 
 
 def overlaps(shingles: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
@@ -363,10 +370,12 @@ def settled(percent: int):
                     window = (distance <= distance[home] + 2 * radius) & (distance <= FAR + radius)
                     window[home] = False
                     children = [home, *np.flatnonzero(window).tolist(), *([n_pivots] if distance[home] > FAR - radius else [])]
-                out += [(region, child, nodes[i], anchor, link if child == children[0] else None) for child in children]
+                n = len(sets[i])
+                out += [(region, child, nodes[i], anchor, n, link if child == children[0] else None) for child in children]
                 # a class that links to several pivots joins them: one link each
-                out += [(region, None, nodes[i], None, names[p]) for p in near.tolist() if names[p] not in (nodes[i], link)]
-            yield arrow(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()), ["region", "child", "node", "anchor", "link"])
+                out += [(region, None, nodes[i], None, n, names[p]) for p in near.tolist() if names[p] not in (nodes[i], link)]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+            yield arrow(out, kinds, ["region", "child", "node", "anchor", "n", "link"])
 
     return run
 
@@ -376,18 +385,17 @@ def needed(weight: Column, rows: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(weight / WEIGHT), F.ceil(rows / (4 * LEAF))).cast("int")
 
 
-def around_pivots(large: DataFrame, sums: DataFrame, level: int, percent: int) -> DataFrame:
+def around_pivots(large: DataFrame, level: int, percent: int) -> DataFrame:
     """What settled() says of every class of the large regions."""
     first = Window.partitionBy("region").orderBy(F.col("anchor").isNotNull(), F.xxhash64("node", F.lit(level)), "node")
-    ranked = large.select("region", "node", "anchor").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= PIVOTS)
-    salts = sums.select("region", needed(F.col("weight"), F.col("rows")).alias("salts"))
-    classes = large.join(salts, "region").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    pivots = large.join(ranked.select("region", "node", "rank"), ["region", "node"]).join(salts, "region")
-    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    columns = [*STATE, "salt", "rank"]
-    both = pivots.select(columns).unionByName(classes.withColumn("rank", F.lit(None).cast("int")).select(columns))
-    dealt = both.repartition("region", "salt").sortWithinPartitions("region", "salt", F.col("rank").asc_nulls_last())
-    return dealt.mapInArrow(settled(percent), SETTLED)
+    salts = needed(F.col("weight"), F.col("rows"))
+    columns = ["region", "node", "anchor", "shingles", "salt", "rank"]
+    # A task hands on PIVOTS rows a region at most.
+    pivots = large.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= PIVOTS)
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    classes = large.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).withColumn("rank", F.lit(None).cast("int"))
+    dealt = pivots.select(columns).unionByName(classes.select(columns)).repartition("region", "salt")
+    return dealt.sortWithinPartitions("region", "salt", F.col("rank").asc_nulls_last()).mapInArrow(settled(percent), SETTLED)
 
 
 TILE = ["region", "i", "j"]
@@ -421,34 +429,36 @@ def in_tasks(rows: DataFrame, by: list[str], percent: int) -> DataFrame:
 
 
 def region_join(state: DataFrame, percent: int, folder: str, leaf: int = LEAF) -> DataFrame:
-    """Links (a, b) that connect all classes of the regions that a chain of links connects. state has the columns STATE."""
-    sets = state.select("node", "n", "shingles")
+    """Links (a, b) that connect all classes of the regions that a chain of links connects.
+
+    state has the columns STATE, of which rows and weight are the classes and shingles of the whole region.
+    """
+    small = (F.col("rows") <= leaf) & (F.col("weight") <= WEIGHT)
+    sets = state.filter(~small).select("node", "n", "shingles")
     links = []
     for level in range(LEVELS):
-        sums = state.groupBy("region").agg(
-            F.count("*").alias("rows"), F.sum("n").alias("weight"), F.count("anchor").alias("anchored"), F.min("anchor").alias("lo"), F.max("anchor").alias("hi")
-        )
-        joinless = (F.col("rows") == 1) | ((F.col("anchored") == F.col("rows")) & (F.col("lo") == F.col("hi")))
-        sums = stored(sums.filter(~joinless).select("region", "rows", "weight"), f"{folder}/{level}-sums")
-        small = (F.col("rows") <= leaf) & (F.col("weight") <= WEIGHT)
-        links.append(stored(in_tasks(state.join(sums.filter(small).select("region"), "region"), ["region"], percent), f"{folder}/{level}-leaves"))
-        large = sums.filter(~small)
+        links.append(stored(in_tasks(state.filter(small), ["region"], percent), f"{folder}/{level}-leaves"))
+        large = state.filter(~small)
         if large.isEmpty():
             break
-        parents = state.join(large.select("region"), "region").select(STATE)
-        around = stored(around_pivots(parents, large, level, percent), f"{folder}/{level}-around")
+        around = stored(around_pivots(large, level, percent), f"{folder}/{level}-around")
         links.append(around.filter("link is not null").select(F.col("node").alias("a"), F.col("link").alias("b")))
-        homes = around.filter("child is not null").select("region", "child", "node", "anchor")
-        children = homes.groupBy("region", "child").agg(F.count("*").alias("rows"))
-        split = children.groupBy("region").agg(F.sum("rows").alias("all"), F.max("rows").alias("most")).join(large, "region")
+        homes = around.filter("child is not null").select("region", "child", "node", "anchor", "n")
+        children = homes.groupBy("region", "child").agg(F.count("*").alias("child_rows"))
+        split = children.groupBy("region").agg(F.sum("child_rows").alias("all"), F.max("child_rows").alias("most"))
+        split = split.join(large.select("region", "rows").distinct(), "region")
         good = (F.col("most") <= 0.7 * F.col("rows")) & (F.col("all") <= 3 * F.col("rows")) & F.lit(level + 1 < LEVELS)
-        split = stored(split.select("region", good.alias("good")), f"{folder}/{level}-split")
-        homes = homes.join(split, "region")
+        homes = homes.join(stored(split.select("region", good.alias("good")), f"{folder}/{level}-split"), "region")
         # a class's anchor is the same in all its rows of a region
         dense = homes.filter("not good").select("region", "node", "anchor").distinct().join(sets, "node")
         links.append(stored(in_tasks(tiled(dense), TILE, percent), f"{folder}/{level}-tiles"))
-        state = homes.filter("good").select(F.xxhash64("region", "child", F.lit(level)).alias("region"), "node", "anchor").join(sets, "node")
-        state = stored(state.select(STATE), f"{folder}/{level}-state")
+        homes = homes.filter("good").withColumn("region", F.xxhash64("region", "child", F.lit(level)))
+        sums = homes.groupBy("region").agg(
+            F.count("*").alias("rows"), F.sum("n").alias("weight"), F.count("anchor").alias("anchored"), F.min("anchor").alias("lo"), F.max("anchor").alias("hi")
+        )
+        joined_already = (F.col("rows") == 1) | ((F.col("anchored") == F.col("rows")) & (F.col("lo") == F.col("hi")))
+        homes = homes.join(sums.filter(~joined_already).select("region", "rows", "weight"), "region")
+        state = stored(homes.drop("n").join(sets, "node").select(STATE), f"{folder}/{level}-state")
     return reduce(DataFrame.unionByName, links)
 
 
@@ -462,11 +472,13 @@ def jaccard_join(
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.mapInArrow(profiles(size, percent), f"doc_id {kind}, n_shingles long, node binary, keys array<long>"), f"{folder}/rows")
     classes = rows.filter("node is not null and doc_id is not null").groupBy("node")
-    classes = stored(classes.agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), f"{folder}/classes")
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = stored(classes, f"{folder}/classes")
 
     of_family = families(classes, folder)
-    related = classes.select("node", "doc_id", F.xxhash64("node").alias("id")).join(of_family, "id").select("node", "doc_id", "family")
-    related = stored(related, f"{folder}/related")
+    related = classes.select("node", "doc_id", "n", F.xxhash64("node").alias("id")).join(of_family, "id")
+    sums = related.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    related = stored(related.join(sums, "family").select("node", "doc_id", "family", "rows", "weight"), f"{folder}/related")
     state = stored(sets_of(related, docs, size), f"{folder}/sets")
     links = stored(region_join(state, percent, folder, leaf).distinct(), f"{folder}/links")
 

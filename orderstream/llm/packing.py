@@ -5,9 +5,10 @@ attention. Parts as long as a sequence get one of their own; the rest, longest f
 cost so far that has room. What fits nowhere is cut over the room that is left, cheapest sequences first. The last
 tokens of a shard fill sequences of powers of two, which need no padding, so nothing is padded at all.
 
-Tokens come from a word cache: the vocabulary's splitting never crosses white space, so each distinct run between
-ASCII spaces is tokenized once and a text's ids are its words' ids joined. No shuffle; sequence numbers carry the
-partition's.
+Tokens come from a word cache where the tokenizer's own description says that it normalizes and splits like SPLITTING:
+then no token crosses white space or the end of a run of letters, each distinct run between ASCII spaces is tokenized
+once, and a text's ids are its words' ids joined. Runs of letters go to the vocabulary's model itself. Any other
+tokenizer is given whole texts. No shuffle; sequence numbers carry the partition's.
 
 Null and empty texts have the end token alone. Rows are taken as they come; repeated rows and ids are packed each.
 An empty table gives an empty table. Only the named columns are read. A text longer than a shard makes its own.
@@ -15,10 +16,13 @@ An empty table gives an empty table. Only the named columns are read. A text lon
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +35,101 @@ from orderstream.llm.common import read
 LENGTH = 2048
 END = 1
 SHARD = 1 << 20
-CACHED = 1_000_000
+CACHED = 1_500_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
-_words: dict[tuple[str, str], bytes] | dict = {}
-_tokenizers: dict = {}
-
-
-def tokenizer(path: str):
-    if path not in _tokenizers:
+# The description of a tokenizer that lower-cases and splits at white space, letters, digits and other signs.
+SPLITTING = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+TAIL = string.punctuation
+LONGEST_KEPT = 64
+# The model's spelling of a byte: itself where it can be printed, otherwise the next free character from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLING = dict.fromkeys(range(256)) | {c: c for c in _PRINTED}
+SPELLING |= {c: 256 + i for i, c in enumerate(c for c in range(256) if SPELLING[c] is None)}
+
+_tokenizers: dict[str, Words] = {}
+
+
+class Words:
+    """A tokenizer with the ids of the words it has met, as little-endian 32-bit numbers."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _words[path] = {}
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
+        described = json.loads(self.tokenizer.to_str())
+        self.by_word = all(described[k] == v for k, v in SPLITTING.items()) and not described["model"]["dropout"]
+        self.special = [t["content"] for t in described["added_tokens"]]
+
+    @classmethod
+    def of(cls, path: str) -> Words:
+        if path not in _tokenizers:
+            _tokenizers[path] = cls(path)
+        return _tokenizers[path]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def run_of_letters(self, run: str) -> bytes | None:
+        """The ids of a run of letters and nothing else; None if normalizing makes something else of it."""
+        run = run.lower() if run.isascii() else self.tokenizer.normalizer.normalize_str(run)
+        found = self.letters.get(run)
+        if found is None and run.isalpha():
+            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(SPELLING)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+            if len(run) <= LONGEST_KEPT:
+                self.letters[run] = found
+        return found
+
+    def run_of_signs(self, run: str) -> bytes:
+        found = self.known.get(run)
+        if found is None:
+            found = self.whole([run])[0]
+            if len(run) <= LONGEST_KEPT:
+                self.known[run] = found
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Adds the ids of words that are not known."""
+        rest = []
+        for word in words:
+            core = word.rstrip(TAIL)
+            ids = self.run_of_letters(core) if core.isalpha() else None
+            if ids is None:
+                rest.append(word)
+            else:
+                self.known[word] = ids + self.run_of_signs(word[len(core) :]) if len(core) < len(word) else ids
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            self.known.update(zip(part, self.whole(part), strict=True))
+
+    def forget(self, words: set[str]) -> None:
+        """Very long ones among the words, and everything once too much is kept."""
+        for word in words:
+            if len(word) > LONGEST_KEPT:
+                del self.known[word]
+        if len(self.known) + len(self.letters) > CACHED:
+            self.known, self.letters = {"": b""}, {}
 
 
 def spaced(text: str) -> list[str]:
@@ -57,26 +141,19 @@ def spaced(text: str) -> list[str]:
 
 def encoded(texts: list[str | None], path: str) -> list[bytes]:
     """Each text's ids and the end token, as little-endian 32-bit numbers."""
-    tok = tokenizer(path)
-    known = _words[path]
-    if len(known) > CACHED:
-        known.clear()
-    split = [spaced(x) if x else [] for x in texts]
+    words = Words.of(path)
     end = np.array([END], "<u4").tobytes()
-    out: list[bytes | None] = []
-    for ws in split:
-        try:
-            out.append(b"".join(map(known.get, ws)) + end)
-        except TypeError:  # a word that is not known yet
-            out.append(None)
-    late = [i for i, x in enumerate(out) if x is None]
-    missing = list({w for i in late for w in split[i] if w not in known})
-    for at in range(0, len(missing), 8192):
-        part = missing[at : at + 8192]
-        for word, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = array("I", e.ids).tobytes()
-    for i in late:
-        out[i] = b"".join([known[w] for w in split[i]]) + end
+    if not words.by_word:
+        return [ids + end for ids in words.whole([x or "" for x in texts])]
+    # A special token's own text may hold white space or touch a word.
+    special = {i for i, x in enumerate(texts) if x and any(t in x for t in words.special)}
+    split = [spaced(x) if x and i not in special else [] for i, x in enumerate(texts)]
+    new = set(chain.from_iterable(split)).difference(words.known)
+    words.learn(new)
+    out = [b"".join(map(words.known.__getitem__, ws)) + end for ws in split]
+    words.forget(new)
+    for i in special:
+        out[i] = words.whole([texts[i]])[0] + end
     return out
 
 

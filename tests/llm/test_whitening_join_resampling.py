@@ -10,10 +10,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from orderstream.llm import metric, resampling, whitening
+from orderstream.llm import metric, packing, resampling, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, vec string, component string, n string, whitened string"
 TEXTS = "doc_id long, text string, node string, region int, keys string, score int, rank string, part int, place int, first int"
@@ -263,3 +264,21 @@ def test_longer_features_count_every_run(spark):
     assert (n, sorted(found.tolist())) == (3, sorted(zlib.crc32(x) % 10_000 for x in (b"a", b"b", b"c", b"a b", b"b c")))
     rows = resampling.bucket_counts(spark.createDataFrame([("a b c",), (None,)], "text string"), 10_000, 2).agg(F.sum("n")).first()
     assert rows[0] == 5
+
+
+# Tokens of the packing operator
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_equal_the_tokenizer_on_any_text(file):
+    """Runs of letters go to the model itself where the tokenizer's description allows it; other tokenizers see whole texts."""
+    rng, path = random.Random(1), public_tokenizers.path(file)
+    signs = [*"aAbBéÉßİıſΣσςñÑçœÆ漢字ーｱ'’.,;:!?-_ \t\n  ̧́‍<|>09٣½Ⅷ\U0001f600\x00\x1c\x85", "<|endoftext|>", "'ll", "'s ", " "]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += [None, "", "x" * 5000, "é" * 300 + ".", "don't. we'll, I'D", "a" * 100 + " " + "a" * 100, "&&&" * 50, "a &&& b&&&", "&&&"]
+    words = packing.Words.of(path)
+    assert words.by_word == (file == "word_bpe_49k.json")
+    found = [x for at in range(0, len(texts), 100) for x in packing.encoded(texts[at : at + 100], path)]
+    plain = words.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
+    assert found == [np.array([*e.ids, 1], "<u4").tobytes() for e in plain]
+    assert all(len(w) <= packing.LONGEST_KEPT for w in (*words.known, *words.letters))

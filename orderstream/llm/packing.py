@@ -132,6 +132,10 @@ class Words:
             self.known, self.letters = {"": b""}, {}
 
 
+def tokenizer(path: str):
+    return Words.of(path).tokenizer
+
+
 def spaced(text: str) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
         if c in text:

@@ -22,9 +22,13 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the session names in spark.checkpoint.dir, which all executors reach.
 
-    Only where that setting is missing (tests) a temporary folder is made.
+    Only a local-mode session without that setting (tests) falls back to a temporary folder; a cluster is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="llm-")
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -41,6 +45,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

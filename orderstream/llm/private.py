@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderstream.llm.common import read
+from orderstream.llm.common import read, spare
 
 KEY = "pseudonym-key"
 ROUNDS = 8
@@ -52,8 +52,6 @@ OTHERS = "|".join(x for x in SHAPES.values() if x)
 SHAPES["card"] = rf"(?<!\d)(?<!\d\.)\d(?:(?:[ -](?!{OTHERS}))?\d){{12,}}+"
 ANY = "|".join(SHAPES.values())
 WHOLE = SHAPES | {"card": r"\d(?:[ -]?\d){12,}+"}
-#: Cheap: no candidate is without one of these.
-HINT = r"\d\d|@|[0-9A-Fa-f]{24}"
 
 
 def digits(x: Column) -> Column:
@@ -200,7 +198,7 @@ def date(x: Column, key: str) -> Column:
 def email(x: Column, key: str) -> Column:
     digest = F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(x)).cast("binary"), 256)
     domain = F.sha2(F.concat(F.lit(f"{key}|domain|"), F.lower(F.substring_index(x, "@", -1))).cast("binary"), 256)
-    return F.concat(F.lit("u"), F.substring(digest, 1, 12), F.lit("@d"), F.substring(domain, 1, 8), F.lit("."), F.substring_index(x, ".", -1))
+    return F.concat(F.lit("u"), F.substring(digest, 1, 24), F.lit("@d"), F.substring(domain, 1, 24), F.lit("."), F.substring_index(x, ".", -1))
 
 
 def secret(x: Column, key: str) -> Column:
@@ -244,22 +242,24 @@ def pseudonymized(docs: DataFrame, key: str = KEY, text_col: str = "text", count
     text = F.col(text_col)
     empty = F.array().cast("array<struct<x:string,kind:string>>")
     found = F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)), lambda x: F.struct(x.alias("x"), named(x).alias("kind")))
-    out = docs.withColumn("_found", F.when(text.rlike(HINT) & text.rlike(ANY), found).otherwise(empty))
+    # Columns of the documents' own may have any names.
+    found_, parts_, pieces_, between_, new_ = (spare(n, docs.columns) for n in ("_found", "_parts", "_pieces", "_between", "_new"))
+    out = docs.withColumn(found_, F.when(text.rlike(ANY), found).otherwise(empty))
     whole = lambda f: F.array(F.struct(f["x"].alias("x"), f["kind"].alias("kind")))
-    parts = F.transform("_found", lambda f: F.when(f["kind"] == "card", card_parts(f["x"])).otherwise(whole(f)))
-    out = out.withColumn("_parts", parts)
+    parts = F.transform(found_, lambda f: F.when(f["kind"] == "card", card_parts(f["x"])).otherwise(whole(f)))
+    out = out.withColumn(parts_, parts)
     pseudonyms = lambda p: F.transform(p, lambda f: F.struct(f["kind"].alias("kind"), f["x"].alias("x"), pseudonym(f, key).alias("y")))
-    out = out.withColumn("_pieces", F.transform("_parts", pseudonyms)).withColumn("_new", F.flatten("_pieces"))
+    out = out.withColumn(pieces_, F.transform(parts_, pseudonyms)).withColumn(new_, F.flatten(pieces_))
     joined = lambda p: F.array_join(F.transform(p, lambda f: F.coalesce(f["y"], f["x"])), "")
     between = F.split(text, ANY)
-    out = out.withColumn("_between", F.when(F.size("_found") > 0, between))
+    out = out.withColumn(between_, F.when(F.size(found_) > 0, between))
     woven = F.concat(
-        F.get("_between", F.lit(0)),
-        F.array_join(F.transform("_pieces", lambda p, i: F.concat(joined(p), F.get("_between", i + 1))), ""),
+        F.get(between_, F.lit(0)),
+        F.array_join(F.transform(pieces_, lambda p, i: F.concat(joined(p), F.get(between_, i + 1))), ""),
     )
-    number = [F.size(F.filter("_new", replaced(k))).cast("long").alias(k) for k in KINDS]
+    number = [F.size(F.filter(new_, replaced(k))).cast("long").alias(k) for k in KINDS]
     return out.select(
-        *[F.when(F.size("_found") > 0, woven).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.size(found_) > 0, woven).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
         F.struct(*number).alias(counts),
     )
 

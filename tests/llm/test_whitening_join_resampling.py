@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from orderstream.llm import metric, packing, resampling, whitening
+from orderstream.llm import metric, packing, private, resampling, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, vec string, component string, n string, whitened string"
 TEXTS = "doc_id long, text string, node string, region int, keys string, score int, rank string, part int, place int, first int"
@@ -282,3 +282,18 @@ def test_tokens_equal_the_tokenizer_on_any_text(file):
     plain = words.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
     assert found == [np.array([*e.ids, 1], "<u4").tobytes() for e in plain]
     assert all(len(w) <= packing.LONGEST_KEPT for w in (*words.known, *words.letters))
+
+
+# Private data
+
+
+def test_private_values_without_two_digits_in_a_row_and_clashing_columns(spark):
+    rows = [(1, "host 1.2.3.4 is up", "x", 7), (2, "card 4 5 3 9 5 7 8 7 6 3 6 2 1 4 8 6", "y", 8), (3, "none 1.2 here", "z", 9), (4, None, "w", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _found string, _NEW int")
+    df = df.select("*", *[F.lit(c).alias(c) for c in ("_parts", "_pieces", "_between")])
+    out = private.pseudonymized(df).orderBy("doc_id").collect()
+    assert "1.2.3.4" not in out[0]["text"] and re.fullmatch(r"host \d+\.\d+\.\d+\.\d+ is up", out[0]["text"])
+    assert out[1]["text"] != rows[1][1] and out[1]["private"]["card"] == 1
+    assert (out[2]["text"], out[3]["text"]) == (rows[2][1], None)
+    assert [(r["_found"], r["_NEW"], r["_parts"], r["_pieces"], r["_between"]) for r in out] == [(x, n, "_parts", "_pieces", "_between") for _, _, x, n in rows]
+    assert out[0].__fields__ == [*df.columns, "private"]

@@ -476,6 +476,23 @@ late AS (SELECT ts, 'E2E' AS method, CASE WHEN timed_out THEN 'e2e_latency_v1_ti
         body="""SELECT id // 6 * 8388608 + (1 - id % 2) * 3 + id // 2 % 3 AS arrival, CAST(NULL AS VARCHAR) AS message_id, sent_ts AS ts
         FROM faults WHERE reason IS NULL OR reason = 'message_id missing' AND drink NOT IN ('error', 'signup')""",
     )
+    sql["dashboard_changes"] = with_(
+        ORD,
+        """moments AS (SELECT n AS batch_id, as_of - CASE WHEN n < 2 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS moment
+          FROM clock, range(3) r(n))""",
+        """hourly AS (SELECT batch_id, 'hourly' AS part, CAST(count(id) AS VARCHAR) AS shown,
+          date_trunc('hour', moment) || ' ' || count(id) || ' ' || coalesce(sum(price), 0) AS compared FROM moments LEFT JOIN ord
+          ON ts >= date_trunc('hour', moment) AND ts < date_trunc('hour', moment) + INTERVAL 1 HOUR GROUP BY batch_id, moment)""",
+        """ranks AS (SELECT batch_id, drink, row_number() OVER (PARTITION BY batch_id ORDER BY count(*) DESC, max(ts) DESC, drink) AS k
+          FROM moments JOIN ord ON ts >= moment - INTERVAL 30 DAY GROUP BY batch_id, drink)""",
+        """tops AS (SELECT batch_id, 'top' AS part, string_agg(drink, ',' ORDER BY k) AS shown, shown AS compared FROM ranks WHERE k <= 5 GROUP BY batch_id)""",
+        """last_orders AS (SELECT batch_id, id, row_number() OVER (PARTITION BY batch_id ORDER BY ts DESC, id DESC) AS k
+          FROM moments JOIN ord ON ts >= moment - INTERVAL 1 HOUR)""",
+        """recents AS (SELECT batch_id, 'recent' AS part, string_agg(id, ',' ORDER BY k) AS shown, shown AS compared FROM last_orders WHERE k <= 50 GROUP BY batch_id)""",
+        "parts AS (SELECT * FROM hourly UNION ALL SELECT * FROM tops UNION ALL SELECT * FROM recents)",
+        "compared AS (SELECT *, lag(compared) OVER (PARTITION BY part ORDER BY batch_id) AS sent FROM parts)",
+        body="SELECT CAST(batch_id AS BIGINT) AS batch_id, part, shown FROM compared WHERE compared IS DISTINCT FROM sent",
+    )
     sql["known_message_ids"] = with_(ORD, FAULTS, body="SELECT message_id FROM faults WHERE reason IS NULL")
     sql["levelled_hours"] = sql["partial_merge"]
     sql["reconcile_drift"] = with_(

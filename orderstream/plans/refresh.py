@@ -21,6 +21,7 @@ from orderstream.operators.ranges import in_hour
 from orderstream.operators.recent import recent_orders
 from orderstream.schemas import HOURLY, HOURLY_TTL, RECENT_ORDER
 from orderstream.sinks.snapshots import overwrite_hourly, overwrite_recent, overwrite_top
+from orderstream.sinks.versions import read_version, write_version
 from orderstream.sources.tables import orders_scan
 
 HOURLY_FIELDS = ("hour_start", "top_drinks", "revenue", "order_count", "drink_counts", "updated_at", "expires_at")
@@ -30,7 +31,7 @@ VERSION = (
     " drink_counts: MAP<STRING,BIGINT>, updated_at: TIMESTAMP, expires_at: TIMESTAMP>,"
     " top STRUCT<names: ARRAY<STRING>, updated_at: TIMESTAMP, expires_at: TIMESTAMP>,"
     " recent ARRAY<STRUCT<id: BIGINT, drink: STRING, store: STRING, price: DECIMAL(10,2), ts: TIMESTAMP,"
-    " updated_at: TIMESTAMP, expires_at: TIMESTAMP>>, version BIGINT"
+    " updated_at: TIMESTAMP, expires_at: TIMESTAMP>>"
 )
 
 
@@ -110,11 +111,11 @@ def stored_documents(spark: SparkSession, paths: SnapshotPaths) -> Documents:
     )
 
 
-def commit(documents: Documents, root: str, as_of: datetime) -> None:
-    """Stores the three documents of one refresh as one row of a new version.
+def commit(documents: Documents, root: str, as_of: datetime, keep: int = 3) -> None:
+    """Stores the three documents of one refresh as one row of a new version; the last `keep` versions stay.
 
-    The row is one file, which the committer moves into place when it is whole: a reader sees all of
-    a version or nothing of it. The documents are bounded: an hour, five names, fifty orders.
+    A reader sees all of a version or nothing of it. The documents are bounded: an hour, five names,
+    fifty orders.
     """
     spark = documents.hourly.sparkSession
     row = spark.range(1).select(
@@ -123,13 +124,12 @@ def commit(documents: Documents, root: str, as_of: datetime) -> None:
         documents.recent.agg(F.array_agg(F.struct(*RECENT_FIELDS)).alias("d")).scalar().alias("recent"),
     )
     version = (as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
-    row.coalesce(1).write.mode("overwrite").parquet(f"{root}/version={version // timedelta(microseconds=1)}")
+    write_version(row, root, version // timedelta(microseconds=1), keep)
 
 
-def committed_documents(spark: SparkSession, root: str) -> Documents:
-    """The documents of the newest whole version."""
-    versions = spark.read.schema(VERSION).parquet(root)
-    newest = versions.where(F.col("version") == versions.agg(F.max("version").alias("v")).scalar())
+def committed_documents(spark: SparkSession, root: str, version: int | None = None) -> Documents:
+    """The documents of one version: the newest whole one, or a pinned one."""
+    newest = read_version(spark, root, VERSION, version)
     return Documents(
         hourly=newest.where("hourly is not null").select("hourly.*"),
         top=newest.where("top is not null").select("top.*"),

@@ -40,7 +40,8 @@ from orderstream.sources.tables import ensure_table, read_table
 from orderstream.sources.topics import Topics
 from orderstream.streaming import job
 from orderstream.streaming.common import keep_changes, start
-from orderstream.streaming.dashboard import start_dashboard
+from orderstream.streaming.changes import changes, send_changes
+from orderstream.streaming.dashboard import start_dashboard, stored_dashboard
 from orderstream.streaming.dedup import deduplicated
 from orderstream.streaming.ingest import Store, current_hour_items, current_window_items, ingest_batch, ingested_documents, start_ingest
 
@@ -459,7 +460,7 @@ def stream_dedup(spark, sf_dir):
     """The stream delivered twice; every message comes through once."""
     root = work_dir(spark, "dedup")
     twice = b.as_orders(b.events_stream(spark, sf_dir)).unionByName(b.as_orders(b.events_stream(spark, sf_dir)))
-    once = deduplicated(twice, salts=8)
+    once = deduplicated(twice)
     start(once, keep_changes(f"{root}/out"), f"{root}/checkpoint", partitions=STATE_PARTITIONS).awaitTermination()
     return flat(read_table(spark, f"{root}/out", ARRIVED_ORDER).select("message_id", "drink", "store", "price", "ts"))
 
@@ -539,8 +540,24 @@ def stream_dashboard(spark, sf_dir):
     ticks = b.events_stream(spark, sf_dir)
     documents = partial(ingested_documents, store, spark)
     start_dashboard(ticks, documents, lambda: now, f"{root}/out", f"{root}/checkpoint", every=None).awaitTermination()
-    stored = from_json(spark.read.schema("json STRING").parquet(f"{root}/out"), DASHBOARD)
-    return flattened(stored)
+    return flattened(from_json(stored_dashboard(spark, f"{root}/out"), DASHBOARD))
+
+
+@query
+def dashboard_changes(spark, sf_dir):
+    """What three refreshes send: everything, nothing, and what has changed an hour later."""
+    orders, root, now = b.orders(spark, sf_dir), work_dir(spark, "changes"), as_of(spark, sf_dir)
+    before = now - timedelta(hours=1)
+    for n, at in enumerate((before, before, now)):
+        send_changes(computed_documents(orders, at), root, n)
+    payload = F.col("payload")
+    ids = F.from_json(payload, "orders array<struct<id: bigint>>")["orders"]["id"].cast("array<string>")
+    shown = (
+        F.when(F.col("part") == "hourly", F.get_json_object(payload, "$.order_count"))
+        .when(F.col("part") == "top", F.array_join(F.from_json(payload, "names array<string>")["names"], ","))
+        .otherwise(F.array_join(ids, ","))
+    )
+    return changes(spark, root).select("batch_id", "part", shown.alias("shown"))
 
 
 @query

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def deduplicated(orders: DataFrame, delay: str = "1 hour", salts: int = 0) -> DataFrame:
+def deduplicated(orders: DataFrame, delay: str = "1 hour", salts: int = 8) -> DataFrame:
     """The first row of each message id; later copies within the watermark delay are dropped.
 
-    Rows without an id are all kept. State for an id is held for the delay and then released.
+    Rows without an id are all kept and pass by the state, which holds ids only, each for the delay.
 
-    A streaming deduplication sends every copy of an id to one task. With `salts`, copies are first
-    reduced in that many places, by the input partition they came from, and only the survivors meet:
-    for streams in which one id may make up a large part of the rows. It doubles the state.
+    A streaming deduplication sends every copy of an id to one task. So copies are first reduced in
+    `salts` places, dealt out by their arrival, and only the survivors meet: one id may make up a
+    large part of the stream. A row's place does not depend on how its batch was read. The first
+    stage holds an id up to `salts` times; with `salts=0` there is none.
     """
-    lone = F.when(F.col("message_id").isNull(), F.col("arrival"))
-    marked = orders.withWatermark("ts", delay).withColumn("lone", lone)
+    marked = orders.withWatermark("ts", delay)
+    with_id = marked.where(F.col("message_id").isNotNull())
     if salts:
-        marked = marked.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        marked = marked.dropDuplicatesWithinWatermark(["message_id", "lone", "salt"]).drop("salt")
-    return marked.dropDuplicatesWithinWatermark(["message_id", "lone"]).drop("lone")
+        salted = with_id.withColumn("salt", F.pmod(F.xxhash64("arrival"), F.lit(salts)))
+        with_id = salted.dropDuplicatesWithinWatermark(["message_id", "salt"]).drop("salt")
+    return with_id.dropDuplicatesWithinWatermark(["message_id"]).unionByName(marked.where(F.col("message_id").isNull()))

@@ -476,6 +476,23 @@ late AS (SELECT ts, 'E2E' AS method, CASE WHEN timed_out THEN 'e2e_latency_v1_ti
         body="""SELECT id // 6 * 8388608 + (1 - id % 2) * 3 + id // 2 % 3 AS arrival, CAST(NULL AS VARCHAR) AS message_id, sent_ts AS ts
         FROM faults WHERE reason IS NULL OR reason = 'message_id missing' AND drink NOT IN ('error', 'signup')""",
     )
+    slices = """slices AS (SELECT *, CAST(id % 3 AS BIGINT) AS batch_id FROM ord),
+tops AS (SELECT batch_id, max(ts) AS top FROM slices GROUP BY batch_id),
+marks AS (SELECT a.batch_id, max(b.top) AS newest_before, max(b.top) - INTERVAL 3 DAY AS watermark
+  FROM tops a LEFT JOIN tops b ON b.batch_id < a.batch_id GROUP BY a.batch_id),
+split AS (SELECT s.*, watermark, newest_before, coalesce(ts < watermark, false) AS is_late FROM slices s JOIN marks USING (batch_id))"""
+    sql["late_ledger"] = with_(
+        ORD,
+        slices,
+        body="""SELECT batch_id, count(*) AS seen, count(*) FILTER (is_late) AS late, any_value(watermark) AS watermark,
+        greatest(max(ts), any_value(newest_before)) AS newest_ts FROM split GROUP BY batch_id""",
+    )
+    sql["late_rows_split"] = with_(
+        ORD,
+        slices,
+        body="""SELECT date_trunc('hour', ts) AS hour_start, drink, count(*) FILTER (NOT is_late) AS in_time, count(*) FILTER (is_late) AS late
+        FROM split GROUP BY 1, 2""",
+    )
     sql["dashboard_changes"] = with_(
         ORD,
         """moments AS (SELECT n AS batch_id, as_of - CASE WHEN n < 2 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS moment

@@ -43,6 +43,7 @@ from orderstream.streaming.common import keep_changes, start
 from orderstream.streaming.changes import changes, send_changes
 from orderstream.streaming.dashboard import start_dashboard, stored_dashboard
 from orderstream.streaming.dedup import deduplicated
+from orderstream.streaming.late import SplitHours, start_split_hours
 from orderstream.streaming.ingest import Store, current_hour_items, current_window_items, ingest_batch, ingested_documents, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -696,6 +697,35 @@ def _ingested_in_batches(spark, sf_dir, by_arrival: bool = False) -> Store:
     return store
 
 
+def _split_hours(spark, sf_dir) -> SplitHours:
+    """The orders in three files, one after the other, each over the whole time range."""
+    root = work_dir(spark, "late")
+    orders = b.orders(spark, sf_dir).drop("id")
+    for n in range(3):
+        orders.where(F.col("arrival") % 3 == n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    into = SplitHours(f"{root}/out")
+    stream = folder_stream(spark, f"{root}/in", ARRIVED_ORDER, files_per_batch=1)
+    start_split_hours(stream, into, f"{root}/checkpoint", "3 days").awaitTermination()
+    return into
+
+
+@query
+def late_ledger(spark, sf_dir):
+    """What a split stream left in its ledger: rows seen and late, and the watermark of each batch."""
+    return flat(_split_hours(spark, sf_dir).ledger(spark))
+
+
+@query
+def late_rows_split(spark, sf_dir):
+    """Per hour and item the rows in time and the late ones of the same stream."""
+    into = _split_hours(spark, sf_dir)
+    keys = ["hour_start", "drink"]
+    in_time = into.hours().current(spark).select(*keys, F.col("order_count").alias("in_time"), F.lit(0).cast("bigint").alias("late"))
+    late = metrics.hour_items(into.late(spark)).select(*keys, F.lit(0).cast("bigint").alias("in_time"), F.col("order_count").alias("late"))
+    both = in_time.unionByName(late).groupBy(*keys).agg(F.sum("in_time").alias("in_time"), F.sum("late").alias("late"))
+    return flat(both)
+
+
 @query
 def stream_redelivered(spark, sf_dir):
     """Outcomes of an ingest in several batches, with repeats inside and across batches."""

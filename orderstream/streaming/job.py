@@ -90,7 +90,10 @@ def stored_hours(spark: SparkSession, root: str) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows a query dropped because they arrived after their watermark; the batch job repairs them."""
+    """Rows a query dropped because they arrived after their watermark, over the updates it still remembers.
+
+    `late.DroppedRows` keeps the count of all of them, `late.SplitHours` the rows.
+    """
     return sum(
         int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"]
     )

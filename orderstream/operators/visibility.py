@@ -8,11 +8,13 @@ and each order then looks up its gap by an equality join on a time bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderstream.operators.nextgreater import next_greater
+from orderstream.session import work_dir
+
 MICROS = 1_000_000
-_DAY = 86_400 * MICROS
 
 
 def _div(micros: Column, unit: int) -> Column:
@@ -20,63 +22,33 @@ def _div(micros: Column, unit: int) -> Column:
     return F.call_function("div", micros, F.lit(unit).cast("bigint"))
 
 
-def refresh_gaps(refreshes: DataFrame, wait_seconds: int) -> DataFrame:
+def refresh_gaps(refreshes: DataFrame, wait_seconds: int, folder: str) -> DataFrame:
     """Per gap `[from_us, to_us)` before a refresh: when an order placed in it becomes visible.
 
-    Refreshes are handled day by day. What a day needs from outside is its last earlier refresh,
-    taken from one row per day, and the refreshes up to `wait_seconds` after its end, which are
-    copied into it.
+    That is the first later refresh with a greater count than the one the gap begins with, however
+    many refreshes lie between. Before the first refresh the dashboard shows no orders.
     """
     wait = wait_seconds * MICROS
-    if wait > _DAY:
-        raise ValueError("the wait must not exceed one day")
-    at = F.unix_micros("refresh_ts")
-    own = refreshes.select(at.alias("at"), F.col("order_count").alias("seen"), _div(at, _DAY).alias("day"))
-    before = Window.orderBy("day")
-    # At most one row per calendar day.
-    carried = (
-        own.groupBy("day")
-        .agg(F.max_by(F.struct("at", "seen"), "at").alias("last"))
-        .select("day", F.lag("last").over(before).alias("carried"))
-    )
-    in_order = Window.partitionBy("day").orderBy("at")
-    gaps = (
-        own.join(carried, "day")
-        .withColumn("prev", F.coalesce(F.lag(F.struct("at", "seen")).over(in_order), F.col("carried")))
-        .select("day", "at", "seen", F.col("prev.at").alias("from_us"), F.col("prev.seen").alias("baseline"))
-    )
-    copies = own.where(F.col("at") - F.col("day") * _DAY <= wait).select(
-        (F.col("day") - 1).alias("day"), "at", "seen", F.lit(False).alias("own")
-    )
-    ahead = Window.partitionBy("day").orderBy("at").rangeBetween(0, wait)
-    return (
-        gaps.withColumn("own", F.lit(True))
-        .unionByName(copies, allowMissingColumns=True)
-        .withColumn("candidates", F.collect_list(F.struct("at", "seen")).over(ahead))
-        .where("own")
-        .withColumn("baseline", F.coalesce("baseline", F.lit(0)))
-        .select(
-            # An order placed longer before the refresh than the wait has timed out anyway.
-            F.greatest(F.coalesce("from_us", F.col("at") - wait), F.col("at") - wait).alias("from_us"),
-            F.col("at").alias("to_us"),
-            F.try_element_at(
-                F.array_sort(F.filter("candidates", lambda c: c["seen"] > F.col("baseline"))), F.lit(1)
-            )["at"].alias("visible_us"),
-        )
+    own = refreshes.select(F.unix_micros("refresh_ts").alias("at"), F.col("order_count").cast("bigint").alias("value"))
+    start = own.agg((F.min("at") - wait - 1).alias("at")).where("at is not null").withColumn("value", F.lit(0).cast("bigint"))
+    # An order placed longer before the refresh than the wait has timed out anyway.
+    return next_greater(own.unionByName(start), folder).where("following > at").select(
+        F.greatest("at", F.col("following") - wait).alias("from_us"), F.col("following").alias("to_us"), F.col("greater").alias("visible_us")
     )
 
 
-def visibility(orders: DataFrame, refreshes: DataFrame, wait_seconds: int, salts: int = 16) -> DataFrame:
-    """Each order with its latency in milliseconds, or `timed_out`.
+def visibility(
+    orders: DataFrame, refreshes: DataFrame, wait_seconds: int, salts: int = 16, folder: str | None = None
+) -> DataFrame:
+    """Each order with its latency in milliseconds, or `timed_out`. The folder (by default a working one) keeps the gaps.
 
-    Gaps are cut at the wait, so each covers two or three buckets. They are few next to the orders
+    Gaps are cut at the wait, so each covers at most three buckets. They are few next to the orders
     and are repeated once per salt, which spreads a bucket that holds a large part of all orders.
     """
     wait = wait_seconds * MICROS
     last = _div(F.col("to_us") - 1, wait)
     buckets = (
-        refresh_gaps(refreshes, wait_seconds)
-        .where(F.col("to_us") > F.col("from_us"))
+        refresh_gaps(refreshes, wait_seconds, folder or work_dir(orders.sparkSession, "gaps"))
         .withColumn("bucket", F.explode(F.sequence(_div(F.col("from_us"), wait), last)))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         .withColumn("salt", F.col("salt").cast("bigint"))

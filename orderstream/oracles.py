@@ -6,7 +6,7 @@ that would be poor plans at scale but are easy to check.
 
 from __future__ import annotations
 
-from orderstream.queries import CORE_NAMES, STEPS, WAIT_SECONDS
+from orderstream.queries import CORE_NAMES, STEPS, WAIT_SECONDS, WEEK_SECONDS
 from orderstream.schemas import LATENCY_BOUNDS, REPORT_PERCENTILES
 
 ORD = """ord AS (
@@ -453,6 +453,8 @@ late AS (SELECT ts, 'E2E' AS method, CASE WHEN timed_out THEN 'e2e_latency_v1_ti
 """
         + _stats("late"),
     }
+    week = VISIBLE.replace(f"INTERVAL {WAIT_SECONDS} SECOND", f"INTERVAL {WEEK_SECONDS} SECOND")
+    sql["visibility_week"] = with_(ORD, week, body="SELECT id, ts, latency_ms, timed_out FROM seen_")
     sql["stream_hourly"] = sql["partial_merge"]
     sql["stream_hourly_batches"] = sql["stream_ingest_hours"]
     sql["stream_arrival_hours"] = sql["hourly_by_arrival"]

@@ -875,6 +875,7 @@ def refresh_snapshots(orders: DataFrame, minutes: int = 10) -> DataFrame:
 
 
 WAIT_SECONDS = 1800
+WEEK_SECONDS = 7 * 86_400
 
 
 @query
@@ -884,6 +885,13 @@ def visibility_latency(spark, sf_dir):
     return flat(seen)
 
 
+@query
+def visibility_week(spark, sf_dir):
+    """Waits of up to a week: the first greater count may be days away."""
+    orders = b.orders(spark, sf_dir)
+    return flat(visibility.visibility(orders.select("id", "ts"), refresh_snapshots(orders), WEEK_SECONDS))
+
+
 @query
 def visibility_summary(spark, sf_dir):
     orders = b.orders(spark, sf_dir)

@@ -199,11 +199,11 @@ def brute_visibility(orders, refreshes, wait):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(5))
 def test_visibility_matches_brute_force(spark, seed):
     rng = random.Random(seed)
     base = utc("2025-12-09 22:00:00")
-    wait = 1800 if seed % 2 else 60
+    wait = 7 * 86_400 if seed == 4 else 1800 if seed % 2 else 60
     refreshes, at = [], base
     for _ in range(60):
         at += timedelta(seconds=rng.choice([7, 60, 300, 900, 1801, 9000]))
@@ -226,8 +226,34 @@ def test_visibility_without_refreshes(spark):
     orders = spark.createDataFrame([(1, START)], "id BIGINT, ts TIMESTAMP")
     none = spark.createDataFrame([], "refresh_ts TIMESTAMP, order_count BIGINT")
     assert visibility.visibility(orders, none, 30).first().timed_out
-    with pytest.raises(ValueError):
-        visibility.refresh_gaps(none, 90_000)
+    assert visibility.visibility(orders, none, 90_000).first().timed_out
+
+
+@pytest.mark.parametrize(("n", "kind"), [(0, "any"), (1, "any"), (400, "any"), (400, "falling"), (400, "rising"), (400, "equal")])
+def test_next_greater_equals_brute_force(spark, tmp_path, n, kind):
+    """Over several ranges, also where every value waits beyond its own."""
+    from orderstream.operators.nextgreater import next_greater
+
+    rng = random.Random(n)
+    times = [rng.randrange(300) for _ in range(n)]
+    of = {"any": lambda t: rng.randrange(40), "falling": lambda t: -t if t < 299 else 7, "rising": lambda t: t, "equal": lambda t: 3}[kind]
+    rows = [(t, of(t)) for t in times]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # as many ranges as there are partitions
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        df = next_greater(spark.createDataFrame(rows, "at bigint, value bigint"), str(tmp_path / "ranges"))
+        got = sorted(df.collect(), key=lambda r: (r["at"], r.value, r.following is None, r.following or 0))
+        assert n < 2 or spark.read.parquet(str(tmp_path / "ranges" / "ranges")).select("range").distinct().count() >= 5 or kind == "equal"
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+    rows.sort()
+    want = []
+    for i, (t, v) in enumerate(rows):
+        greater = next((a for a, x in rows[i + 1 :] if x > v), None)
+        want.append((t, v, rows[i + 1][0] if i + 1 < n else None, greater))
+    assert [tuple(r) for r in got] == want
 
 
 def test_null_keys_meet_in_a_diff(spark):

@@ -139,7 +139,7 @@ def test_the_index_is_exact(spark, tmp_path):
 
 
 def test_a_batch_opens_only_buckets_it_may_hit(spark, tmp_path):
-    index, opened = IdIndex.at(str(tmp_path / "ids"), buckets=8), {}
+    index, opened = IdIndex.at(str(tmp_path / "ids"), buckets=2), {}
     for n in range(51):
         fresh = ids(spark, *(f"{n}-{i}" for i in range(5)))
         if n in (5, 50):

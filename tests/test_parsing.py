@@ -107,7 +107,7 @@ def test_published_records_parse_back(spark, five_orders):
         F.current_timestamp().alias("timestamp"),
     )
     assert kafka_shaped.columns == [c.split()[0] for c in KAFKA_RECORD.split(", ")]
-    events = p.valid(p.checked(p.parse_events(kafka_text(kafka_shaped)), Domains()))
+    events = p.valid(p.checked(p.parse_events(kafka_text(kafka_shaped, ("orders",))), Domains()))
     assert rows_of(events, "message_id", "drink", "store", "price", "ts") == rows_of(five_orders, "message_id", "drink", "store", "price", "ts")
     texts = string_records(five_orders, "v2")
     assert {f.dataType.simpleString() for f in texts.schema} == {"string"}

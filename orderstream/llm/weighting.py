@@ -1,28 +1,29 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is its words and one end; a word is its bytes and a closing byte. Every byte is eight binary decisions, and each
-decision has a context tree of its own over the DEPTH bytes before (within the word; before its start lies padding).
-Where training rows carry a class (a language, say), each class has trees of its own and a text's probability is the
-classes' mixture by their share of the training rows; a text's own class is never looked at. A
-node's Krichevsky-Trofimov estimate is mixed half and half with what its children say, at all depths. A decision's
-probability mixes the estimates along its path with the weights the training text has given them, down to the deepest
-context seen. All of it is one distribution over texts, so score is log10 of a probability, and -score / log10(2) bits
-over the bytes is the code length per byte.
-
-Counts come from all training documents: documents become chunks of word numbers with their vocabulary (a stored
-table), chunks' counts add up to a table of all words, that to one of all (context, byte) pairs. Subtrees below the
-last two context bytes are worked out where their pairs lie; only the two top levels (at most 65,536 + 256 nodes a
-decision tree) reach the driver. Word prices go back to the chunks by joins.
+A text is one stream of bytes: each word and a closing blank, then the end. Every byte is eight binary decisions, and each
+decision has a context tree over the DEPTH bytes before it, across words; before the text lie ends. A node's
+Krichevsky-Trofimov estimate is mixed half and half with what its children say, at all depths. A decision's probability
+mixes the estimates along its path with the weights the training text has given them, down to the deepest context seen. All
+of it is one distribution over texts, so score is log10 of a probability, and -score / log10(2) bits over the bytes is the
+code length per byte.
+
+Documents become chunks of word numbers with their vocabulary (a stored table); the vocabularies' counts add up to a table of
+all words, for the base. A chunk's distinct keys (context and byte, the latest byte first) leave it in blocks, one for each
+bucket of the last three context bytes, with their training counts. A bucket's blocks add up to its part of the trees: all
+below depth 2. The nodes of depth 2 (pairs of bytes that follow each other in UTF-8, times 255 decisions: fewer than 2^24
+at any size) are summed by Spark and go to every task. Each bucket then prices its keys and answers the chunks' blocks, and
+the chunks add up their documents. The number of buckets follows the bytes.
 
 Null and wordless texts have the end alone. Rows with a null id train (unless held out is true) and are scored each.
 Repeated rows count as often as they come. An empty table gives an empty table; without training rows every decision is
-even. Very long texts are spread over several chunks. Only the named columns are read.
+even. Very long texts are spread over several chunks, whose contexts go on. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,44 +36,61 @@ from orderstream.llm.common import read, shared_dir, stored
 from orderstream.llm.near import words_of
 
 DEPTH = 6
-CLASSES = 16
-CHUNK = 3 << 20  # tokens in a chunk
-CLOSE = 0x20
+TOP = 2  # nodes down to this depth are known to every task
+CHUNK = 16 << 20  # bytes in a chunk
+SLICE = 1 << 20  # bytes worked on at a time
+PER_BUCKET = 8 << 20  # bytes of text for each bucket of contexts
 END = b""  # the end token among the words; no word is empty
-BROADCAST_PAIRS = 12_000_000  # numbers in a broadcast price table, 96 MB; beyond it prices are joined
+CLOSE, STOP = b" ", b"\n"
+START = STOP * DEPTH
 AT_ONCE = 20_000
 HALF = math.log(0.5)
 
 
-def chunks(classes: int):
-    """Chunks of documents: row numbers, tokens as places in the chunk's vocabulary, training counts of each class."""
-    return lambda batches: chunked(batches, classes)
+def spelled(word: bytes) -> bytes:
+    return word + CLOSE if word else STOP
 
 
-def chunked(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
+def parts_of(ws: list[bytes], room: int) -> Iterator[tuple[bytes, list[bytes]]]:
+    """A text's words in parts of about room bytes, each with the DEPTH bytes before it."""
+    at, lead = 0, START
+    while at < len(ws):
+        end, size = at, 0
+        while end < len(ws) and (end == at or size + len(ws[end]) < room):
+            size += len(ws[end]) + 1
+            end += 1
+        part = ws[at:end]
+        yield lead, part
+        lead = (lead + b"".join(map(spelled, part[-DEPTH:])))[-DEPTH:]
+        at = end
+
+
+def chunks(room: int):
+    """Chunks of documents: row numbers, tokens as places in the chunk's vocabulary, the vocabulary's training counts."""
+    return lambda batches: chunked(batches, room)
+
+
+def chunked(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     number = row = TaskContext.get().partitionId() << 36
     place: dict[bytes, int] = {}
-    info: list[tuple[int, object, bool, int, int]] = []
+    info: list[tuple[int, object, bool, int, bytes]] = []
     tokens: list[np.ndarray] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
         nonlocal place, info, tokens, held, number
         every = np.concatenate(tokens)
-        size = [x[3] for x in info]
-        # Each token's vocabulary place and class as one number; held-out tokens count in a last column of their own.
-        label = np.repeat(np.array([classes if x[2] else x[4] for x in info], np.int32), size)
-        label += every * np.int32(classes + 1)
-        counts = np.bincount(label, minlength=len(place) * (classes + 1)).reshape(-1, classes + 1)[:, :classes]
-        del label
+        trains = np.repeat(np.array([not x[2] for x in info]), [x[3] for x in info])
+        counts = np.bincount(every[trains], minlength=len(place))
         batch = pa.RecordBatch.from_pydict(
             {
                 "chunk": pa.array([number], pa.int64()),
-                "docs": pa.array([[{"row": r, "doc_id": d, "held_out": h, "n": n} for r, d, h, n, _ in info]], kind),
+                "bytes": pa.array([held], pa.int64()),
+                "docs": pa.array([[{"row": r, "doc_id": d, "held_out": h, "n": n, "lead": x} for r, d, h, n, x in info]], kind),
                 "tokens": pa.array([squeeze(every.astype("<u4").tobytes())], pa.binary()),
                 "vocabulary": pa.array([list(place)], pa.list_(pa.binary())),
-                "counts": pa.array([counts.tolist()], pa.list_(pa.list_(pa.int64()))),
+                "counts": pa.ListArray.from_arrays(pa.array([0, len(place)], pa.int32()), pa.array(counts, pa.int64())),
             }
         )
         place, info, tokens, held, number = {}, [], [], 0, number + 1
@@ -80,59 +98,146 @@ def chunked(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.Reco
 
     for batch in batches:
         kind = pa.list_(
-            pa.struct([("row", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n", pa.int32())])
+            pa.struct([("row", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n", pa.int32()), ("lead", pa.binary())])
         )
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "held_out", "label", "text"))
-        for doc, out, label, text in zip(*columns, strict=True):
-            ws = [*words_of(text), END]
-            for at in range(0, len(ws), CHUNK):
-                part = ws[at : at + CHUNK]
+        for doc, out, text in zip(*(batch.column(c) for c in ("doc_id", "held_out", "text")), strict=True):
+            for lead, part in parts_of([*words_of(text.as_py()), END], room):
                 tokens.append(np.fromiter((place.setdefault(w, len(place)) for w in part), np.int32, len(part)))
-                info.append((row, doc, out, len(part), label))
-                held += len(part)
-                if held >= CHUNK:
+                info.append((row, doc.as_py(), out.as_py(), len(part), lead))
+                held += sum(map(len, part)) + len(part)
+                if held >= room:
                     yield flush()
             row += 1
     if tokens:
         yield flush()
 
 
-def positions(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, word) of all bytes of these words: DEPTH bytes before, the last lowest, and the byte itself below."""
-    whole = [w + b" " if w else b"\n" for w in ws]
-    size = np.array([len(w) for w in whole])
-    data = np.frombuffer(b"".join(whole), np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(ws)), size)
-    at = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    context = np.zeros(len(data), np.int64)
-    for j in range(DEPTH, 0, -1):
-        before = np.zeros(len(data), np.int64)
-        before[j:] = data[:-j]
-        context = context << 8 | np.where(at >= j, before, np.where(at == j - 1, CLOSE, 0))
-    return context << 8 | data, word
+class Chunk:
+    """A chunk's byte stream, from its vocabulary and tokens."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.docs = batch.column("docs")[i].values
+        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("tokens")[i].as_py()), "<u4").astype(np.int64)
+        self.n = self.docs.field("n").to_numpy()
+        self.first = np.cumsum(self.n) - self.n
+        self.words = batch.column("vocabulary")[i].values
+
+    def keys(self, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(key, document's place) of all bytes, a slice at a time. A key: the byte before highest, the one before that
+        next, ..., the byte itself lowest."""
+        leads = self.docs.field("lead").to_pylist()
+        distinct = {x: k for k, x in enumerate(dict.fromkeys(leads))}
+        spelling = [*map(spelled, self.words.to_pylist()), *distinct]
+        size = np.fromiter(map(len, spelling), np.int64, len(spelling))
+        start = np.cumsum(size) - size
+        text = np.frombuffer(b"".join(spelling), np.uint8)
+        lead = np.array([len(self.words) + distinct[x] for x in leads], np.int64)
+        del spelling
+        tokens = np.insert(self.tokens, self.first, lead)
+        doc = np.repeat(np.arange(len(lead)), self.n + 1)
+        ends = np.cumsum(size[tokens])
+        for a in range(0, int(ends[-1]) if len(ends) else 0, piece):
+            low, high = max(0, a - DEPTH), min(int(ends[-1]), a + piece)
+            t = slice(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(ends, high - 1, "right")) + 1)
+            begin = ends[t] - size[tokens[t]]
+            each = np.minimum(ends[t], high) - np.maximum(begin, low)
+            at = np.arange(low, high)
+            data = text[np.repeat(start[tokens[t]] - begin, each) + at].astype(np.int64)
+            key = data.copy()
+            for j in range(1, DEPTH + 1):
+                key[j:] |= data[:-j] << 8 * (DEPTH + 1 - j)
+            keep = (at >= a) & np.repeat(tokens[t] < len(self.words), each)
+            yield key[keep], np.repeat(doc[t], each)[keep]
+
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, byte by byte of all of them."""
+    flat = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes())
 
-def names(prefix: str, n: int) -> list[str]:
-    return [f"{prefix}{k}" for k in range(n)]
 
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def columns(batch: pa.RecordBatch, prefix: str) -> list[np.ndarray]:
-    """The numbers of all classes: the columns prefix0, prefix1, ..."""
-    n = sum(c[len(prefix) :].isdigit() for c in batch.schema.names if c.startswith(prefix))
-    return [batch.column(c).to_numpy() for c in names(prefix, n)]
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=0))
 
-def typed(prefix: str, n: int, kind: str) -> str:
-    return ", ".join(f"{c} {kind}" for c in names(prefix, n))
 
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<i8"))
+
+
+def summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    key, count = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(count[order], first)
+
+
+def asked(buckets: int, piece: int):
+    """Blocks of a chunk's distinct keys with their training counts, one for each bucket of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                chunk = Chunk(batch, i)
+                trains = ~chunk.docs.field("held_out").to_numpy(zero_copy_only=False)
+                held, waiting = [], 0
+                for key, doc in chunk.keys(piece):
+                    marked = np.sort(key << 1 | trains[doc])
+                    key = marked >> 1
+                    first = np.flatnonzero(np.diff(key, prepend=-1))
+                    if len(first):
+                        held.append((key[first], np.add.reduceat(marked & 1, first)))
+                        waiting += len(first)
+                    if waiting > 4 * SLICE:
+                        held = [summed(held)]
+                        waiting = 0
+                key, count = summed(held)
+                bucket = bucket_of(key, buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                number = batch.column("chunk")[i].as_py()
+                blocks = [(int(bucket[x[0]]), number, packed_keys(key[x]), packed(count[x])) for x in np.split(order, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), BLOCK_TYPES, strict=True)], ["bucket", "chunk", "keys", "counts"]
+                )
+
+    return run
+
+
+BLOCK_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    root = key >> 8 * (DEPTH - TOP)
+    return ((root * 0x9E3779B1 & 0xFFFFFFFF) * buckets) >> 32
+
+
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's blocks as one; rows are sorted by bucket."""
+    held, waiting, now = [], 0, None
+
+    def flush() -> pa.RecordBatch:
+        key, count = summed(held)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed_keys(key)]), pa.array([packed(count)])], ["bucket", "keys", "counts"])
 
-def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if len(batch):
-            pair, word = positions(batch.column("word").to_pylist())
-            found, where = np.unique(pair, return_inverse=True)
-            counts = [np.bincount(where, weights=c[word]).astype(np.int64) for c in columns(batch, "c")]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, counts)], ["pair", *names("c", len(counts))])
+        for bucket, keys, counts in zip(*(batch.column(c) for c in ("bucket", "keys", "counts")), strict=True):
+            if held and bucket.as_py() != now:
+                yield flush()
+                held, waiting = [], 0
+            now = bucket.as_py()
+            held.append((unpacked_keys(keys.as_py()), unpacked(counts.as_py(), "<i8")))
+            waiting += len(held[-1][0])
+            if waiting > 4 * SLICE:
+                held, waiting = [summed(held)], 0
+    if held:
+        yield flush()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -157,6 +262,10 @@ class Level:
         self.weighted = own if below is None else np.logaddexp(HALF + own, HALF + below)
         self.share = np.ones(len(n0)) if below is None else np.exp(HALF + own - self.weighted)
 
+    def added(self, up: np.ndarray, n: int) -> list[np.ndarray]:
+        """Counts and weighted probabilities summed into the n nodes above."""
+        return [np.bincount(up, weights=x, minlength=n) for x in (self.n0, self.n1, self.weighted)]
+
     def mixed(self, at: np.ndarray, bit: np.ndarray, deeper: np.ndarray | None, seen: np.ndarray | None):
         n0, n1 = self.n0[at], self.n1[at]
         own = (np.where(bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1.0)
@@ -164,210 +273,192 @@ class Level:
         return out, n0 + n1 > 0
 
 
-def subtree(pair: np.ndarray, count: np.ndarray):
-    """Of one class: decisions of all pairs and the levels DEPTH..2 above them, with each decision's place in every level."""
-    context, byte = pair >> 8, pair & 255
-    k = np.arange(8)
-    node = ((1 << k)[None, :] | byte[:, None] >> (8 - k)[None, :]).ravel()
-    bit = (byte[:, None] >> (7 - k)[None, :] & 1).ravel()
+def decisions(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The node (of the byte's eight) and the bit of every key's eight decisions."""
+    byte, k = key & 255, np.arange(8)
+    return ((1 << k)[None, :] | byte[:, None] >> (8 - k)[None, :]).ravel(), (byte[:, None] >> (7 - k)[None, :] & 1).ravel()
+
+
+def above(ids: np.ndarray) -> np.ndarray:
+    """The nodes one depth up: without the earliest context byte."""
+    return ids >> 16 << 8 | ids & 255
+
+
+def subtree(key: np.ndarray, count: np.ndarray):
+    """Decisions of all keys and the levels DEPTH to below TOP over them, with each decision's place in every level."""
+    node, bit = decisions(key)
     weight = np.repeat(count, 8).astype(float)
-    ids, at = np.unique(np.repeat(context, 8) << 8 | node, return_inverse=True)
+    ids, at = np.unique(np.repeat(key >> 8 << 8, 8) | node, return_inverse=True)
     n1 = np.bincount(at, weights=weight * bit, minlength=len(ids))
     levels = [(Level(np.bincount(at, weights=weight, minlength=len(ids)) - n1, n1, None), at)]
-    for depth in range(DEPTH - 1, 1, -1):
+    for _ in range(DEPTH - 1, TOP, -1):
         level = levels[-1][0]
-        ids, up = np.unique((ids >> 8 & (1 << 8 * depth) - 1) << 8 | ids & 255, return_inverse=True)
-        sums = [np.bincount(up, weights=x, minlength=len(ids)) for x in (level.n0, level.n1, level.weighted)]
+        ids, up = np.unique(above(ids), return_inverse=True)
         at = up[at]
-        levels.append((Level(*sums), at))
+        levels.append((Level(*level.added(up, len(ids))), at))
     return node, bit, levels, ids
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pair, counts of each class) of whole subtrees, many at once; rows sorted by their last two context bytes."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        pair, count = batch.column("pair").to_numpy(), np.stack(columns(batch, "c"), 1)
-        held.append((pair, count))
-        if sum(len(x[0]) for x in held) < AT_ONCE:
-            continue
-        pair, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        root = pair >> 8 & 0xFFFF
-        cut = int(np.flatnonzero(root == root[-1])[0])
-        if cut:
-            yield pair[:cut], count[:cut]
-        held = [(pair[cut:], count[cut:])]
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def pieces(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole subtrees below TOP + 1 context bytes, many at once."""
+    root = keys >> 8 * (DEPTH - TOP)
+    cuts = [*np.flatnonzero(np.diff(root, prepend=-1)), len(keys)]
+    a = 0
+    for b, c in zip(cuts[1:], [*cuts[2:], math.inf], strict=True):
+        if c - a > AT_ONCE:
+            yield keys[a:b], counts[a:b]
+            a = b
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for bucket, keys, counts in chain.from_iterable(zip(*(b.column(c) for c in ("bucket", "keys", "counts")), strict=True) for b in batches):
+        yield bucket.as_py(), unpacked_keys(keys.as_py()), unpacked(counts.as_py(), "<i8")
 
 
 def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the depth-2 nodes for each (last context byte, decision)."""
-    for pair, counts in groups(batches):
-        for k in range(counts.shape[1]):
-            _, _, levels, ids = subtree(pair, counts[:, k])
-            level = levels[-1][0]
-            key, at = np.unique(ids & 0xFFFF, return_inverse=True)
-            sums = [np.bincount(at, weights=x) for x in (level.n0, level.n1, level.weighted)]
-            label = np.full(len(key), k, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(key), *map(pa.array, sums)], ["label", "key", "n0", "n1", "weighted"])
+    """For nodes of depth TOP, sums over their children in this bucket."""
+    for _, keys, counts in blocks_of(batches):
+        for key, count in pieces(keys, counts):
+            _, _, levels, ids = subtree(key, count)
+            found, up = np.unique(above(ids), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, levels[-1][0].added(up, len(found)))], ["id", "n0", "n1", "weighted"])
+
+
+class Top:
+    """The nodes of depth TOP and above."""
 
+    def __init__(self, ids: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray):
+        self.ids, self.levels = ids, [(Level(n0, n1, weighted), None)]
+        for _ in range(TOP):
+            level = self.levels[-1][0]
+            ids, up = np.unique(above(ids), return_inverse=True)
+            self.levels.append((Level(*level.added(up, len(ids))), up))
+        for level, _ in self.levels:
+            del level.weighted
 
-def top_levels(rows, label: int) -> tuple[Level, Level]:
-    n0, n1, below = (np.zeros(65536) for _ in range(3))
-    for r in (r for r in rows if r["label"] == label):
-        n0[r["key"]], n1[r["key"]], below[r["key"]] = r["n0"], r["n1"], r["weighted"]
-    one = Level(n0, n1, below)
-    return one, Level(*(x.reshape(256, 256).sum(0) for x in (n0, n1, one.weighted)))
+    def mixed(self, key: np.ndarray, node: np.ndarray, bit: np.ndarray, value: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, np.repeat(key >> 8 * (DEPTH + 1 - TOP), 8) << 8 | node)
+        for level, up in self.levels:
+            at = at if up is None else up[at]
+            value, seen = level.mixed(at, bit, value, seen)
+        return value
 
 
-def priced(top: list[tuple[Level, Level]]):
-    """log10 of the probability of every pair's byte in its context, for each class."""
+def priced(top):
+    """log10 of the probability of every key's byte in its context. top: the broadcast upper nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair, counts in groups(batches):
+        for bucket, keys, counts in blocks_of(batches):
             prices = []
-            for k, (one, root) in enumerate(top):
-                node, bit, levels, _ = subtree(pair, counts[:, k])
+            for key, count in pieces(keys, counts):
+                node, bit, levels, _ = subtree(key, count)
                 value = seen = None
                 for level, at in levels:
                     value, seen = level.mixed(at, bit, value, seen)
-                last = np.repeat(pair >> 8 & 255, 8)
-                value, seen = one.mixed(last << 8 | node, bit, value, seen)
-                value, _ = root.mixed(node, bit, value, seen)
-                prices.append(pa.array(np.log10(value).reshape(-1, 8).sum(1).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([pa.array(pair), *prices], ["pair", *names("p", len(top))])
+                value = top.value.mixed(key, node, bit, value, seen)
+                prices.append(np.log10(value).reshape(-1, 8).sum(1).astype(np.float32))
+            arrays = [pa.array([bucket], pa.int32()), pa.array([packed_keys(keys)]), pa.array([packed(np.concatenate(prices))])]
+            yield pa.RecordBatch.from_arrays(arrays, ["bucket", "keys", "prices"])
 
     return run
 
 
-def spelled(ws: list[bytes], pairs: np.ndarray, prices: list[np.ndarray]) -> list[np.ndarray]:
-    """The prices of words in each class, from a sorted table of pairs."""
-    out = [np.zeros(len(ws)) for _ in prices]
-    for i in range(0, len(ws), AT_ONCE):
-        part = ws[i : i + AT_ONCE]
-        pair, word = positions(part)
-        at = np.searchsorted(pairs, pair)
-        for x, p in zip(out, prices, strict=True):
-            x[i : i + AT_ONCE] = np.bincount(word, weights=p[at], minlength=len(part))
-    return out
-
-
-def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prices of the chunks' blocks; rows are sorted by bucket, the one with its prices (no chunk) first."""
+    known = price = None
     for batch in batches:
-        if len(batch):
-            pair, word = positions(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(word)), batch.column("c").take(pa.array(word)), pa.array(pair)], ["word", "c", "pair"])
-
-
-def pair_prices(words: DataFrame, classes: int, folder: str) -> DataFrame:
-    """(pair, p0, p1, ...): what a byte costs in its context in each class, from the trees of (word, c0, c1, ...)."""
-    counts = names("c", classes)
-    pairs = words.select("word", *counts).mapInArrow(pairs_of, f"pair long, {typed('c', classes, 'long')}")
-    pairs = stored(pairs.groupBy("pair").agg(*[F.sum(c).alias(c) for c in counts]), f"{folder}/pairs")
-    root = F.shiftright("pair", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = pairs.withColumn("root", root).repartition("root").sortWithinPartitions("root", "pair").select("pair", *counts)
-    top = dealt.mapInArrow(tops, "label int, key long, n0 double, n1 double, weighted double").groupBy("label", "key")
-    top = top.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("weighted")).collect()
-    of_class = [top_levels(top, k) for k in range(classes)]
-    return stored(dealt.mapInArrow(priced(of_class), f"pair long, {typed('p', classes, 'float')}"), f"{folder}/prices")
-
-
-def word_prices(words: DataFrame, table: DataFrame, classes: int) -> DataFrame:
-    """(word, c, p0, p1, ...) by a join, where the table of pairs is too large to broadcast."""
-    found = words.select("word", "c").mapInArrow(exploded, "word binary, c long, pair long").join(table, "pair")
-    return found.groupBy("word").agg(F.first("c").alias("c"), *[F.sum(p).alias(p) for p in names("p", classes)])
+        out = []
+        for chunk, keys, prices in zip(*(batch.column(c) for c in ("chunk", "keys", "prices")), strict=True):
+            if not chunk.is_valid:
+                known, price = unpacked_keys(keys.as_py()), unpacked(prices.as_py(), "<f4")
+            else:
+                out.append((chunk.as_py(), keys.as_py(), packed(price[np.searchsorted(known, unpacked_keys(keys.as_py()))])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.binary()])], ["chunk", "keys", "prices"]
+        )
 
 
-def scored(total: int, distinct: int, classes: int, table=None):
-    """Sums over every document's tokens. table: the broadcast pairs and prices; without it the words bring prices."""
+def scored(total: int, distinct: int, piece: int):
+    """Sums over every document's tokens and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(len(batch)):
-                docs = batch.column("docs")[i].values
-                tokens = np.frombuffer(unzip(batch.column("tokens")[i].as_py()), "<u4")
+                chunk = Chunk(batch, i)
                 found = batch.column("found")[i].values
-                order = np.argsort(found.field("pos").to_numpy())
-                c = found.field("c").to_numpy()[order]
-                n = docs.field("n").to_numpy()
-                first = np.cumsum(n) - n
+                c = found.field("c").to_numpy()[np.argsort(found.field("pos").to_numpy())]
                 base = np.log10((c + 1) / (total + distinct + 1))
-                if table is None:
-                    prices = [found.field(p).to_numpy()[order] for p in names("p", classes)]
-                else:
-                    prices = spelled(batch.column("vocabulary")[i].as_py(), *table.value)
-                values = [(c > 0).astype(np.int64), base, *prices]
-                sums = [pa.array(np.add.reduceat(x[tokens], first)) for x in values]
-                del values, base, prices
+                sums = [np.add.reduceat(x[chunk.tokens], chunk.first) for x in ((c > 0).astype(np.int64), base)]
+                answers = batch.column("answers")[i].values
+                known = np.concatenate([unpacked_keys(x) for x in answers.field("keys").to_pylist()])
+                price = np.concatenate([unpacked(x, "<f4") for x in answers.field("prices").to_pylist()])
+                order = np.argsort(known)
+                known, price = known[order], price[order].astype(float)
+                score = np.zeros(len(chunk.n))
+                for key, doc in chunk.keys(piece):
+                    if len(key):
+                        each, at = np.unique(key, return_inverse=True)
+                        sub = np.bincount(doc - doc[0], weights=price[np.searchsorted(known, each)][at])
+                        score[doc[0] : doc[0] + len(sub)] += sub
+                docs = chunk.docs
                 yield pa.RecordBatch.from_arrays(
-                    [docs.field("row"), docs.field("doc_id"), docs.field("held_out"), pa.array(n.astype(np.int64)), *sums],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", *names("p", classes)],
+                    [docs.field("row"), docs.field("doc_id"), docs.field("held_out"), pa.array(chunk.n.astype(np.int64)), *map(pa.array, [*sums, score])],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     return run
 
 
-def score(
-    docs: DataFrame, held_out, class_col: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    broadcast_pairs: int = BROADCAST_PAIRS,
-) -> DataFrame:
+def key_prices(held: DataFrame, folder: str, piece: int) -> DataFrame:
+    """(chunk, answers): what the keys of each chunk cost, in blocks."""
+    spark = held.sparkSession
+    size = held.agg(F.sum("bytes")).first()[0] or 0
+    blocks = stored(held.select("chunk", "docs", "tokens", "vocabulary").mapInArrow(asked(max(64, size // PER_BUCKET), piece), BLOCKS), f"{folder}/blocks")
+    dealt = blocks.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    trees = stored(dealt.mapInArrow(totals, "bucket int, keys binary, counts binary"), f"{folder}/trees")
+    sums = trees.mapInArrow(tops, "id long, n0 double, n1 double, weighted double")
+    sums = sums.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weighted")]).toArrow().sort_by("id")
+    top = spark.sparkContext.broadcast(Top(*(sums[c].to_numpy() for c in ("id", "n0", "n1", "weighted"))))
+    prices = trees.mapInArrow(priced(top), "bucket int, keys binary, prices binary").withColumn("chunk", F.lit(None).cast("long"))
+    meeting = prices.unionByName(blocks.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("prices")))
+    meeting = meeting.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).select("chunk", "keys", "prices")
+    answers = meeting.mapInArrow(answered, "chunk long, keys binary, prices binary")
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("keys", "prices")).alias("answers"))
+
+
+BLOCKS = "bucket int, chunk long, keys binary, counts binary"
+
+
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Base and context-tree scores of every document.
 
-    held_out: a boolean column, true where a row does not train. class_col: the training rows' classes; the CLASSES - 1
-    with most rows have trees of their own, the rest and null share one.
+    held_out: a boolean column, true where a row does not train. chunk: bytes in a chunk; scores do not depend on it.
     """
+    piece = min(chunk, SLICE)
     folder = shared_dir(docs.sparkSession, "weighting")
-    label = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), label.alias("label"), F.col(text_col).alias("text"))
-    sizes = rows.filter("not held_out and label is not null").groupBy("label").count()
-    largest = [r["label"] for r in sizes.orderBy(F.desc("count"), "label").limit(CLASSES - 1).collect()]
-    rows = rows.withColumn("label", F.coalesce(F.array_position(F.array(*map(F.lit, largest)).cast("array<string>"), F.col("label")), F.lit(0)).cast("int"))
-    classes = len(largest) + 1
-    share = {r["label"]: r["count"] for r in rows.filter("not held_out").groupBy("label").count().collect()}
-    used = [k for k in range(classes) if share.get(k)] or [0]
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = (
-        f"chunk long, docs array<struct<row:bigint,doc_id:{kind},held_out:boolean,n:int>>, tokens binary,"
-        " vocabulary array<binary>, counts array<array<bigint>>"
+        f"chunk long, bytes long, docs array<struct<row:bigint,doc_id:{kind},held_out:boolean,n:int,lead:binary>>, tokens binary,"
+        " vocabulary array<binary>, counts array<bigint>"
     )
-    held = stored(rows.mapInArrow(chunks(classes), shape), f"{folder}/chunks")
+    held = stored(rows.mapInArrow(chunks(chunk), shape), f"{folder}/chunks")
     listed = held.select("chunk", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("pos", "x"))
     listed = listed.select("chunk", "pos", F.col("x.vocabulary").alias("word"), F.col("x.counts").alias("c"))
-    own = [F.sum(F.col("c")[k]).alias(f"c{i}") for i, k in enumerate(used)]
-    words = listed.groupBy("word").agg(*own)
-    words = stored(words.withColumn("c", sum(F.col(f"c{i}") for i in range(len(used)))), f"{folder}/words")
+    words = stored(listed.groupBy("word").agg(F.sum("c").alias("c")), f"{folder}/words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    each = names("p", len(used))
-    table, held_table = pair_prices(words, len(used), folder), None
-    if table.count() * len(used) <= broadcast_pairs:
-        rows = table.toArrow().sort_by("pair")
-        held_table = docs.sparkSession.sparkContext.broadcast((rows["pair"].to_numpy(), [rows[p].to_numpy() for p in each]))
-        known, carried = words.select("word", "c"), ["chunk", "docs", "tokens", "vocabulary"]
-    else:
-        known, carried = stored(word_prices(words, table, len(used)), f"{folder}/word-prices"), ["chunk", "docs", "tokens"]
-    asked = listed.select("chunk", "pos", "word").join(known, "word").drop("word")
-    answers = asked.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in asked.columns if c != "chunk"])).alias("found"))
-    ready = held.select(*carried).join(answers, "chunk")
-    stats = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, {typed('p', len(used), 'double')}"
-    found = ready.mapInArrow(scored(int(total), int(distinct), len(used), held_table), stats)
-    out = found.groupBy("row").agg(
+    found = listed.select("chunk", "pos", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
+    ready = held.select("chunk", "docs", "tokens", "vocabulary").join(found, "chunk").join(key_prices(held, folder, piece), "chunk")
+    stats = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = ready.mapInArrow(scored(int(total), int(distinct), piece), stats).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", *each)],
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
     )
-    all_rows = sum(share.values())
-    weighed = [F.col(p) + math.log10(share.get(k, 1) / max(1, all_rows)) for p, k in zip(each, used, strict=True)]
-    top = F.greatest(*weighed) if len(weighed) > 1 else weighed[0]
-    mixture = top + F.log10(sum((F.pow(F.lit(10.0), w - top) for w in weighed), F.lit(0.0)))
     return out.select(
-        F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known",
-        F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", mixture.alias("score"),
-    )
+        F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"
+    )
 
 
 def query(spark, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return score(read(spark, folder, "documents"), held_out, class_col="lang")
+    return score(read(spark, folder, "documents"), held_out)

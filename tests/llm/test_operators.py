@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +27,7 @@ OPERATORS = {
     "repeats": lambda d: repeats.without_repeats(d),
     "language": lambda d: language.predicted(d, language.prototypes(d), ["doc_id"]),
     "pieces": lambda d: pieces.digest(d, PIECES),
-    "weighting": lambda d: weighting.score(d, F.lit(False), class_col="lang"),
+    "weighting": lambda d: weighting.score(d, F.lit(False)),
     "near": lambda d: near.near_duplicates(d),
     "packing": lambda d: packing.pack(d, WORD_BPE),
 }
@@ -191,17 +192,74 @@ def test_feistel_is_a_permutation(spark):
     assert sorted(r["v"] for r in got) == list(range(85))
 
 
-def test_weighting_is_a_distribution_and_joins_like_broadcast(spark):
-    rows = [(i, t, None) for i, t in enumerate(["ab ab ba", "abba ab", "b a", None])]
-    docs = table(spark, rows)
-    one = {r["doc_id"]: r["score"] for r in weighting.score(docs, F.col("doc_id") == 2).collect()}
-    two = {r["doc_id"]: r["score"] for r in weighting.score(docs, F.col("doc_id") == 2, broadcast_pairs=0).collect()}
-    assert all(math.isclose(one[i], two[i]) for i in one)
-    # All bytes in one context: probabilities add up to one.
-    levels = [weighting.Level(np.array([3.0]), np.array([1.0]), np.array([-0.5])), weighting.Level(np.array([2.0]), np.array([1.0]), None)]
-    at = np.zeros(2, int)
-    deep, seen = levels[1].mixed(at, np.array([0, 1]), None, None)
-    assert math.isclose(levels[0].mixed(at, np.array([0, 1]), deep, seen)[0].sum(), 1.0)
+def plain_weighting(texts, held, depth=weighting.DEPTH):
+    """Scores by dictionaries of nodes: each decision's tree, from the bytes of all training texts."""
+    streams = [b"".join(w + b" " for w in near.words_of(t)) + b"\n" for t in texts]
+
+    def steps(stream):
+        whole = b"\n" * depth + stream
+        for i in range(depth, len(whole)):
+            for k in range(8):
+                yield whole[i - depth : i], 1 << k | whole[i] >> 8 - k, whole[i] >> 7 - k & 1
+
+    counts, below = Counter(), {}
+    for stream, out in zip(streams, held, strict=True):
+        for context, node, bit in steps(stream):
+            for d in range(depth + 1):
+                counts[context[depth - d :], node, bit] += not out
+                if d:
+                    below.setdefault((context[depth - d + 1 :], node), set()).add(context[depth - d :])
+
+    def own(context, node):
+        n0, n1 = counts[context, node, 0], counts[context, node, 1]
+        return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+
+    @cache
+    def weighted(context, node):
+        if len(context) == depth:
+            return own(context, node)
+        deeper = sum(weighted(x, node) for x in below.get((context, node), ()))
+        return float(np.logaddexp(math.log(0.5) + own(context, node), math.log(0.5) + deeper))
+
+    def probability(context, node, bit, d=0):
+        here = context[depth - d :]
+        n = [counts[here, node, x] for x in (0, 1)]
+        estimate = (n[bit] + 0.5) / (sum(n) + 1)
+        deeper = context[depth - d - 1 :]
+        if d == depth or not counts[deeper, node, 0] + counts[deeper, node, 1]:
+            return estimate
+        share = math.exp(math.log(0.5) + own(here, node) - weighted(here, node))
+        return share * estimate + (1 - share) * probability(context, node, bit, d + 1)
+
+    return [sum(math.log10(probability(*x)) for x in steps(s)) for s in streams]
+
+
+def test_weighting_equals_dictionaries_of_nodes(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "del", "e", "ünï", "漢字", "BETA"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(18)]
+    texts += ["alpha beta gamma del", "del gamma beta alpha", None, "", "unseen zzz", "\U0001f600"]
+    held = [i % 5 == 2 or i >= 22 for i in range(len(texts))]
+    docs = table(spark, [(i, t, None) for i, t in enumerate(texts)]).repartition(3)
+    want = plain_weighting(texts, held)
+    # One chunk a task, and texts that lie over several.
+    for chunk in (weighting.CHUNK, 16):
+        out = {r["doc_id"]: r for r in weighting.score(docs, F.col("doc_id").isin([i for i, h in enumerate(held) if h]), chunk=chunk).collect()}
+        assert np.allclose([out[i]["score"] for i in range(len(texts))], want, rtol=1e-6)
+        assert not math.isclose(out[18]["score"], out[19]["score"], rel_tol=1e-3)
+        every = [[*near.words_of(t), b""] for t in texts]
+        seen = Counter(w for ws, h in zip(every, held, strict=True) if not h for w in ws)
+        total, distinct = sum(seen.values()), len(seen)
+        for i, ws in enumerate(every):
+            assert (out[i]["n_tokens"], out[i]["n_known"], out[i]["train_tokens"]) == (len(ws), sum(w in seen for w in ws), total)
+            assert math.isclose(out[i]["base_score"], sum(math.log10((seen[w] + 1) / (total + distinct + 1)) for w in ws))
+
+
+def test_weighting_of_untrained_and_no_rows(spark):
+    docs = table(spark, [(1, "ab c", None), (2, None, None)])
+    out = {r["doc_id"]: r["score"] for r in weighting.score(docs, F.lit(True)).collect()}
+    assert np.allclose([out[1], out[2]], [6 * 8 * math.log10(0.5), 8 * math.log10(0.5)])
+    assert weighting.score(docs.limit(0), F.lit(False)).collect() == []
 
 
 def test_log_gamma():

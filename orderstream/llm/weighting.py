@@ -37,7 +37,7 @@ from orderstream.llm.near import words_of
 
 DEPTH = 6
 TOP = 2  # nodes down to this depth are known to every task
-CHUNK = 16 << 20  # bytes in a chunk
+CHUNK = 32 << 20  # bytes in a chunk
 SLICE = 1 << 20  # bytes worked on at a time
 PER_BUCKET = 8 << 20  # bytes of text for each bucket of contexts
 END = b""  # the end token among the words; no word is empty
@@ -150,6 +150,25 @@ class Chunk:
             yield key[keep], np.repeat(doc[t], each)[keep]
 
 
+    def distinct(self, piece: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys with their training counts and buckets; by bucket, then key."""
+        trains = ~self.docs.field("held_out").to_numpy(zero_copy_only=False)
+        held, waiting = [], 0
+        for key, doc in self.keys(piece):
+            marked = np.sort(key << 1 | trains[doc])
+            key = marked >> 1
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            if len(first):
+                held.append((key[first], np.add.reduceat(marked & 1, first)))
+                waiting += len(first)
+            if waiting > 4 * SLICE:
+                held, waiting = [summed(held)], 0
+        key, count = summed(held)
+        bucket = bucket_of(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        return key[order], count[order], bucket[order]
+
+
 def packed(values: np.ndarray) -> bytes:
     """Numbers as bytes, byte by byte of all of them."""
     flat = np.ascontiguousarray(values)
@@ -184,25 +203,10 @@ def asked(buckets: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                chunk = Chunk(batch, i)
-                trains = ~chunk.docs.field("held_out").to_numpy(zero_copy_only=False)
-                held, waiting = [], 0
-                for key, doc in chunk.keys(piece):
-                    marked = np.sort(key << 1 | trains[doc])
-                    key = marked >> 1
-                    first = np.flatnonzero(np.diff(key, prepend=-1))
-                    if len(first):
-                        held.append((key[first], np.add.reduceat(marked & 1, first)))
-                        waiting += len(first)
-                    if waiting > 4 * SLICE:
-                        held = [summed(held)]
-                        waiting = 0
-                key, count = summed(held)
-                bucket = bucket_of(key, buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                key, count, bucket = Chunk(batch, i).distinct(piece, buckets)
+                cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)]
                 number = batch.column("chunk")[i].as_py()
-                blocks = [(int(bucket[x[0]]), number, packed_keys(key[x]), packed(count[x])) for x in np.split(order, cuts[1:])]
+                blocks = [(int(bucket[x]), number, packed_keys(key[x:y]), packed(count[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), BLOCK_TYPES, strict=True)], ["bucket", "chunk", "keys", "counts"]
                 )
@@ -368,17 +372,17 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = price = None
     for batch in batches:
         out = []
-        for chunk, keys, prices in zip(*(batch.column(c) for c in ("chunk", "keys", "prices")), strict=True):
+        for bucket, chunk, keys, prices in zip(*(batch.column(c) for c in ("bucket", "chunk", "keys", "prices")), strict=True):
             if not chunk.is_valid:
                 known, price = unpacked_keys(keys.as_py()), unpacked(prices.as_py(), "<f4")
             else:
-                out.append((chunk.as_py(), keys.as_py(), packed(price[np.searchsorted(known, unpacked_keys(keys.as_py()))])))
+                out.append((bucket.as_py(), chunk.as_py(), packed(price[np.searchsorted(known, unpacked_keys(keys.as_py()))])))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.binary()])], ["chunk", "keys", "prices"]
+            [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary()])], ["bucket", "chunk", "prices"]
         )
 
 
-def scored(total: int, distinct: int, piece: int):
+def scored(total: int, distinct: int, piece: int, buckets: int):
     """Sums over every document's tokens and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +394,9 @@ def scored(total: int, distinct: int, piece: int):
                 base = np.log10((c + 1) / (total + distinct + 1))
                 sums = [np.add.reduceat(x[chunk.tokens], chunk.first) for x in ((c > 0).astype(np.int64), base)]
                 answers = batch.column("answers")[i].values
-                known = np.concatenate([unpacked_keys(x) for x in answers.field("keys").to_pylist()])
-                price = np.concatenate([unpacked(x, "<f4") for x in answers.field("prices").to_pylist()])
+                known, _, _ = chunk.distinct(piece, buckets)
+                blocks = answers.field("prices").take(pa.array(np.argsort(answers.field("bucket").to_numpy())))
+                price = np.concatenate([unpacked(x, "<f4") for x in blocks.to_pylist()])
                 order = np.argsort(known)
                 known, price = known[order], price[order].astype(float)
                 score = np.zeros(len(chunk.n))
@@ -409,11 +414,10 @@ def scored(total: int, distinct: int, piece: int):
     return run
 
 
-def key_prices(held: DataFrame, folder: str, piece: int) -> DataFrame:
+def key_prices(held: DataFrame, folder: str, piece: int, buckets: int) -> DataFrame:
     """(chunk, answers): what the keys of each chunk cost, in blocks."""
     spark = held.sparkSession
-    size = held.agg(F.sum("bytes")).first()[0] or 0
-    blocks = stored(held.select("chunk", "docs", "tokens", "vocabulary").mapInArrow(asked(max(64, size // PER_BUCKET), piece), BLOCKS), f"{folder}/blocks")
+    blocks = stored(held.select("chunk", "docs", "tokens", "vocabulary").mapInArrow(asked(buckets, piece), BLOCKS), f"{folder}/blocks")
     dealt = blocks.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
     trees = stored(dealt.mapInArrow(totals, "bucket int, keys binary, counts binary"), f"{folder}/trees")
     sums = trees.mapInArrow(tops, "id long, n0 double, n1 double, weighted double")
@@ -421,9 +425,9 @@ def key_prices(held: DataFrame, folder: str, piece: int) -> DataFrame:
     top = spark.sparkContext.broadcast(Top(*(sums[c].to_numpy() for c in ("id", "n0", "n1", "weighted"))))
     prices = trees.mapInArrow(priced(top), "bucket int, keys binary, prices binary").withColumn("chunk", F.lit(None).cast("long"))
     meeting = prices.unionByName(blocks.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("prices")))
-    meeting = meeting.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).select("chunk", "keys", "prices")
-    answers = meeting.mapInArrow(answered, "chunk long, keys binary, prices binary")
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("keys", "prices")).alias("answers"))
+    meeting = meeting.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).select("bucket", "chunk", "keys", "prices")
+    answers = meeting.mapInArrow(answered, "bucket int, chunk long, prices binary")
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "prices")).alias("answers"))
 
 
 BLOCKS = "bucket int, chunk long, keys binary, counts binary"
@@ -443,14 +447,15 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         " vocabulary array<binary>, counts array<bigint>"
     )
     held = stored(rows.mapInArrow(chunks(chunk), shape), f"{folder}/chunks")
+    buckets = max(64, (held.agg(F.sum("bytes")).first()[0] or 0) // PER_BUCKET)
     listed = held.select("chunk", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("pos", "x"))
     listed = listed.select("chunk", "pos", F.col("x.vocabulary").alias("word"), F.col("x.counts").alias("c"))
     words = stored(listed.groupBy("word").agg(F.sum("c").alias("c")), f"{folder}/words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     found = listed.select("chunk", "pos", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    ready = held.select("chunk", "docs", "tokens", "vocabulary").join(found, "chunk").join(key_prices(held, folder, piece), "chunk")
+    ready = held.select("chunk", "docs", "tokens", "vocabulary").join(found, "chunk").join(key_prices(held, folder, piece, buckets), "chunk")
     stats = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = ready.mapInArrow(scored(int(total), int(distinct), piece), stats).groupBy("row").agg(
+    out = ready.mapInArrow(scored(int(total), int(distinct), piece, buckets), stats).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
     )

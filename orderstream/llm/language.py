@@ -10,7 +10,8 @@ driver. Prediction sees text alone.
 
 Null text and text without a letter: `und`, score 0. Rows with a null language do not train. Ties go to the language
 that sorts first. Repeated rows are each predicted (and each train). Without any training row all documents are `und`.
-Texts are worked off in pieces that overlap by two characters, so very long ones need no more memory.
+Texts are worked off in pieces that overlap by two characters, and trigrams in blocks, so neither very long texts nor large
+alphabets need more memory.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from orderstream.llm.common import read, slices
 
 DIM = 1024
 PIECE = 1 << 19
+CELLS = 1 << 23  # counts (document x trigram) held at a time
 DENSE = 96  # an alphabet up to this size is counted by position, a larger one by sorting
 UNDETERMINED = "und"
 
@@ -66,8 +68,11 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield rows, parts
 
 
-def counted(rows: list[int], parts: list[str], groups: np.ndarray, n_groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram counts of each group (group x trigram), and the trigrams' vectors. groups: of each piece."""
+def counted(parts: list[str], groups: np.ndarray, n_groups: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Trigram counts of each group (group x trigram), and the trigrams' vectors, in blocks of trigrams.
+
+    groups: of each piece.
+    """
     code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(letters()[code], code, 0)
     where = np.repeat(groups, [len(x) for x in parts])
@@ -91,9 +96,16 @@ def counted(rows: list[int], parts: list[str], groups: np.ndarray, n_groups: int
         index = place[tri]
     else:
         used, index = np.unique(tri, return_inverse=True)
-    counts = np.bincount(at * max(1, len(used)) + index, minlength=n_groups * max(1, len(used)))
-    counts = counts.reshape(n_groups, max(1, len(used)))[:, : len(used)]
-    return counts.astype(np.float32), trigram_vectors(used // size**2, used // size % size, used % size, codes)
+    width = max(64, min(1 << 14, CELLS // n_groups))
+    vectors = lambda t: trigram_vectors(t // size**2, t // size % size, t % size, codes)
+    if len(used) > width:
+        order = np.argsort(index, kind="stable")
+        index, at = index[order], at[order]
+    for low in range(0, len(used), width):
+        n = min(width, len(used) - low)
+        block = slice(*np.searchsorted(index, (low, low + n))) if len(used) > width else slice(None)
+        counts = np.bincount(at[block] * n + index[block] - low, minlength=n_groups * n)
+        yield counts.reshape(n_groups, n).astype(np.float32), vectors(used[low : low + n])
 
 
 def profiles(texts: list[str | None], keys: np.ndarray, n_keys: int) -> np.ndarray:
@@ -102,9 +114,8 @@ def profiles(texts: list[str | None], keys: np.ndarray, n_keys: int) -> np.ndarr
     for rows, parts in pieces(texts):
         groups = keys[np.array(rows)]
         present, local = np.unique(groups, return_inverse=True)
-        counts, vectors = counted(rows, parts, local, len(present))
-        for at in range(0, counts.shape[1], 1 << 14):
-            out[present] += counts[:, at : at + (1 << 14)] @ vectors[at : at + (1 << 14)].astype(np.float32)
+        for counts, vectors in counted(parts, local, len(present)):
+            out[present] += counts @ vectors.astype(np.float32)
     return out
 
 

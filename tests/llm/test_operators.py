@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import cache
@@ -378,3 +379,18 @@ def test_language_held_out(spark):
 def test_quality_needs_no_shuffle(spark):
     plan = quality.judged(table(spark, AWKWARD))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_large_alphabets_take_bounded_memory():
+    rng = random.Random(5)
+    texts = ["".join(chr(0x4E00 + rng.randrange(6000)) for _ in range(1000)) for _ in range(512)]
+    language.letters()
+    tracemalloc.start()
+    found = language.profiles(texts, np.arange(512), 512)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    for i in (0, 77, 511):
+        code = [0, *map(ord, texts[i]), 0]
+        turns = [np.stack([np.roll(language.letter_vector(c), k) for c in code]).astype(int) for k in (2, 1, 0)]
+        assert np.array_equal(found[i], (turns[0][:-2] * turns[1][1:-1] * turns[2][2:]).sum(0))

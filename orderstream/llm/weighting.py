@@ -38,7 +38,7 @@ from orderstream.llm.near import words_of
 DEPTH = 6
 TOP = 2  # nodes down to this depth are known to every task
 CHUNK = 32 << 20  # bytes in a chunk
-SLICE = 1 << 20  # bytes worked on at a time
+SLICE = 1 << 19  # bytes worked on at a time
 PER_BUCKET = 8 << 20  # bytes of text for each bucket of contexts
 END = b""  # the end token among the words; no word is empty
 CLOSE, STOP = b" ", b"\n"
@@ -117,7 +117,7 @@ class Chunk:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.docs = batch.column("docs")[i].values
-        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("tokens")[i].as_py()), "<u4").astype(np.int64)
+        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("tokens")[i].as_py()), "<i4")
         self.n = self.docs.field("n").to_numpy()
         self.first = np.cumsum(self.n) - self.n
         self.words = batch.column("vocabulary")[i].values
@@ -131,10 +131,10 @@ class Chunk:
         size = np.fromiter(map(len, spelling), np.int64, len(spelling))
         start = np.cumsum(size) - size
         text = np.frombuffer(b"".join(spelling), np.uint8)
-        lead = np.array([len(self.words) + distinct[x] for x in leads], np.int64)
-        del spelling
+        lead = np.array([len(self.words) + distinct[x] for x in leads], np.int32)
+        del spelling, leads
         tokens = np.insert(self.tokens, self.first, lead)
-        doc = np.repeat(np.arange(len(lead)), self.n + 1)
+        doc = np.repeat(np.arange(len(lead), dtype=np.int32), self.n + 1)
         ends = np.cumsum(size[tokens])
         for a in range(0, int(ends[-1]) if len(ends) else 0, piece):
             low, high = max(0, a - DEPTH), min(int(ends[-1]), a + piece)

@@ -37,7 +37,7 @@ from orderstream.llm.near import words_of
 
 DEPTH = 6
 TOP = 2  # nodes down to this depth are known to every task
-CHUNK = 32 << 20  # bytes in a chunk
+CHUNK = 24 << 20  # bytes in a chunk
 SLICE = 1 << 19  # bytes worked on at a time
 PER_BUCKET = 8 << 20  # bytes of text for each bucket of contexts
 END = b""  # the end token among the words; no word is empty
@@ -132,7 +132,7 @@ class Chunk:
         start = np.cumsum(size) - size
         text = np.frombuffer(b"".join(spelling), np.uint8)
         lead = np.array([len(self.words) + distinct[x] for x in leads], np.int32)
-        del spelling, leads
+        del spelling, leads, distinct
         tokens = np.insert(self.tokens, self.first, lead)
         doc = np.repeat(np.arange(len(lead), dtype=np.int32), self.n + 1)
         ends = np.cumsum(size[tokens])
@@ -159,9 +159,9 @@ class Chunk:
             key = marked >> 1
             first = np.flatnonzero(np.diff(key, prepend=-1))
             if len(first):
-                held.append((key[first], np.add.reduceat(marked & 1, first)))
+                held.append((key[first], np.add.reduceat(marked & 1, first).astype(np.int32)))
                 waiting += len(first)
-            if waiting > 4 * SLICE:
+            if waiting > 2 * SLICE:
                 held, waiting = [summed(held)], 0
         key, count = summed(held)
         bucket = bucket_of(key, buckets)
@@ -190,11 +190,15 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 def summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
+    if len(blocks) == 1:
+        return blocks[0]
     key, count = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    blocks.clear()
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, count = key[order], count[order]
+    del order
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[first], np.add.reduceat(count[order], first)
+    return key[first], np.add.reduceat(count, first, dtype=count.dtype)
 
 
 def asked(buckets: int, piece: int):
@@ -236,7 +240,7 @@ def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
                 held, waiting = [], 0
             now = bucket.as_py()
-            held.append((unpacked_keys(keys.as_py()), unpacked(counts.as_py(), "<i8")))
+            held.append((unpacked_keys(keys.as_py()), unpacked(counts.as_py(), "<i4").astype(np.int64)))
             waiting += len(held[-1][0])
             if waiting > 4 * SLICE:
                 held, waiting = [summed(held)], 0
@@ -392,13 +396,16 @@ def scored(total: int, distinct: int, piece: int, buckets: int):
                 found = batch.column("found")[i].values
                 c = found.field("c").to_numpy()[np.argsort(found.field("pos").to_numpy())]
                 base = np.log10((c + 1) / (total + distinct + 1))
+                del found
                 sums = [np.add.reduceat(x[chunk.tokens], chunk.first) for x in ((c > 0).astype(np.int64), base)]
                 answers = batch.column("answers")[i].values
                 known, _, _ = chunk.distinct(piece, buckets)
                 blocks = answers.field("prices").take(pa.array(np.argsort(answers.field("bucket").to_numpy())))
                 price = np.concatenate([unpacked(x, "<f4") for x in blocks.to_pylist()])
                 order = np.argsort(known)
-                known, price = known[order], price[order].astype(float)
+                known, price = known[order], price[order]
+                del order, blocks, answers
+                del c, base
                 score = np.zeros(len(chunk.n))
                 for key, doc in chunk.keys(piece):
                     if len(key):

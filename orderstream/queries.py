@@ -687,8 +687,8 @@ def stream_late_rows(spark, sf_dir):
 
 
 def _redelivered(spark, sf_dir) -> DataFrame:
-    files = b.redelivered_files(spark, sf_dir, f"{work_dir(spark, 'feed')}/events")
-    return folder_stream(spark, files, "arrival BIGINT, value STRING, ingest_ts TIMESTAMP", files_per_batch=1)
+    glob, files = b.redelivered_files(spark, sf_dir, f"{work_dir(spark, 'feed')}/events")
+    return folder_stream(spark, glob, "arrival BIGINT, value STRING, ingest_ts TIMESTAMP", files_per_batch=files)
 
 
 def _ingested_in_batches(spark, sf_dir, by_arrival: bool = False) -> Store:

@@ -122,17 +122,25 @@ def as_event_text(events: DataFrame) -> DataFrame:
     )
 
 
-def redelivered_files(spark: SparkSession, sf_dir: str, root: str, files: int = 4) -> str:
-    """Event text as record files, each over the whole time range, with repeats; returns their glob.
+def redelivered_files(spark: SparkSession, sf_dir: str, root: str, parts: int = 4, file_rows: int = 200_000) -> tuple[str, int]:
+    """Event text as parts, each over the whole time range, with repeats; returns the glob of their files and the files of a part.
 
-    Every fifth event comes three times: twice in its file and once in the next. Whatever the order
-    of the files, each but the first brings rows older than the newest before, and known ids.
+    Every fifth event comes three times: twice in its part and once in the next. Each part but the first
+    brings rows older than the newest before, and known ids. A part is as many files as the largest needs
+    at `file_rows` rows, so no task writes or reads a whole one; a stream that takes that many files at a
+    time takes the parts one by one, since they are written one after the other.
     """
-    home = F.col("arrival") % files
-    again = F.when(F.col("arrival") % 5 == 2, F.array(home, home, (F.col("arrival") + 1) % files)).otherwise(F.array(home))
-    texts = as_event_text(events(spark, sf_dir)).withColumn("part", F.explode(again))
-    texts.repartition(files, "part").write.partitionBy("part").parquet(root)
-    return f"{root}/part=*"
+    arrival = F.col("event_id")
+    home = arrival % parts
+    again = F.when(arrival % 5 == 2, F.array(home, home, (arrival + 1) % parts)).otherwise(F.array(home))
+    sent = events(spark, sf_dir).withColumn("part", F.explode(again))
+    rows = {r["part"]: r["count"] for r in sent.groupBy("part").count().collect()}
+    files = max(1, -(-max(rows.values(), default=0) // file_rows))
+    for part in sorted(rows, key=lambda p: (p is None, p)):
+        texts = as_event_text(sent.where(F.col("part").eqNullSafe(F.lit(part).cast("bigint"))))
+        # Dealt out in turn and not by a key: rows of one key are spread too.
+        texts.repartition(files).write.parquet(f"{root}/part={part}")
+    return f"{root}/part=*", files
 
 
 def as_requests(events: DataFrame) -> DataFrame:

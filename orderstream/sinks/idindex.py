@@ -11,6 +11,8 @@ first batch.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,8 @@ def _positions(message_id: Column) -> Column:
 
 
 def _is_set(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.get(F.array(*[byte.bitwiseAND(1 << i) != 0 for i in range(8)]), (position % 8).cast("int"))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(position, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, position.bitwiseAND(7).cast("int")) == 1
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,9 @@ class IdIndex(Levels):
             self._segment(F.col("message_id"), F.col("live.segments")).alias("segment"),
             _positions(F.col("message_id")).alias("positions"),
         )
-        met = probes.join(filters, ["run", "bucket", "segment"]).where(F.forall("positions", lambda p: _is_set(F.col("bits"), p)))
+        # Bit by bit, so that most unknown ids are done with after one or two.
+        all_set = reduce(and_, [_is_set(F.col("bits"), F.col("positions")[i]) for i in range(PROBES)])
+        met = probes.join(filters, ["run", "bucket", "segment"]).where(all_set)
         found = met.select("run", "bucket").distinct().collect()
         return sorted(f"{self.root}/runs/{runs[r.run].name}/ids/bucket={r.bucket}" for r in found)
 

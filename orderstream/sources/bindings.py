@@ -138,8 +138,12 @@ def redelivered_files(spark: SparkSession, sf_dir: str, root: str, parts: int =
     files = max(1, -(-max(rows.values(), default=0) // file_rows))
     for part in sorted(rows, key=lambda p: (p is None, p)):
         texts = as_event_text(sent.where(F.col("part").eqNullSafe(F.lit(part).cast("bigint"))))
-        # Dealt out in turn and not by a key: rows of one key are spread too.
-        texts.repartition(files).write.parquet(f"{root}/part={part}")
+        # Dealt out in turn and not by a key, since rows of one key are to be spread too. By the place in the task, which a
+        # repeated task gives again; a plain repartition sorts all rows of a task for that.
+        place = F.monotonically_increasing_id()
+        turn = F.pmod(place.bitwiseAND((1 << 33) - 1) + F.shiftright(place, 33), F.lit(files)).cast("int")
+        dealt = texts.withColumn("_turn", turn)
+        dealt.repartitionById(files, "_turn").drop("_turn").write.parquet(f"{root}/part={part}")
     return f"{root}/part=*", files
 
 

@@ -64,3 +64,13 @@ def test_parts_of_missing_negative_and_single_ids(spark, tmp_path):
     assert files == 1
     found = Counter((Path(folder).name, r.arrival) for folder in glob(pattern) for r in spark.read.parquet(folder).collect())
     assert found == Counter({(f"part={p}", i): n for (p, i), n in _brought(ids).items()})
+
+
+def test_rows_are_dealt_in_the_order_they_come(spark, tmp_path):
+    """No task sorts its rows to deal them out: each file has every n-th row of a part, in the order of the table."""
+    pattern, files = b.redelivered_files(spark, _events(spark, tmp_path, range(400)), f"{tmp_path}/feed", file_rows=50)
+    assert files > 1
+    for folder in glob(pattern):
+        rows = [[r.arrival for r in spark.read.parquet(str(f)).collect()] for f in Path(folder).glob("*.parquet")]
+        assert all(x == sorted(x) for x in rows)
+        assert max(map(len, rows)) - min(map(len, rows)) <= 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 # What ends a word.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
+# Rows in a batch for Python: texts, signatures and shingle sets are some KB each.
+AT_ONCE = 1024
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -32,12 +35,40 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str) -> DataFrame:
-    """Writes the rows below the shared folder and reads them back: lineage ends, lost executors cost nothing."""
-    df.write.mode("errorifexists").parquet(folder)
+def stored(df: DataFrame, folder: str, at_once: int = AT_ONCE) -> DataFrame:
+    """Writes the rows below the shared folder and reads them back: lineage ends, lost executors cost nothing.
+
+    at_once: rows that go to Python in one batch, which the JVM, the worker and the pipe between them each hold whole.
+    """
+    with batches_of(df.sparkSession, at_once):
+        df.write.mode("errorifexists").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def few_at_once(spark: SparkSession, rows: int = AT_ONCE) -> str | None:
+    """From now on rows go to Python in batches of at most so many; a session's smaller number holds. Returns the one before."""
+    before = spark.conf.get(ARROW_ROWS, None)
+    if before is None or not 0 < int(before) <= rows:
+        spark.conf.set(ARROW_ROWS, rows)
+    return before
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """The same for what is written meanwhile."""
+    before = few_at_once(spark, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_ROWS)
+        else:
+            spark.conf.set(ARROW_ROWS, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many: fewer texts are held as Python objects at a time."""
     for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderstream.llm.common import read, slices
+from orderstream.llm.common import few_at_once, read, slices
 
 DIM = 1024
 PIECE = 1 << 19
@@ -172,6 +172,7 @@ def predicted(docs: DataFrame, known: dict[str, np.ndarray], keep: list[str], te
             columns = [*[batch.column(c) for c in keep], pa.array(best, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(lettered) for _ in more]], [*keep, "lang_pred", "score", *more])
 
+    few_at_once(docs.sparkSession)  # whole texts go there and back
     chosen = docs.select(*keep, F.col(text_col).alias("_text"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     shape = f"{shape}, lang_pred string, score double"

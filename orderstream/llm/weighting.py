@@ -150,8 +150,8 @@ class Chunk:
             yield key[keep], np.repeat(doc[t], each)[keep]
 
 
-    def distinct(self, piece: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys with their training counts and buckets; by bucket, then key."""
+    def distinct(self, piece: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, sorted, with their training counts."""
         trains = ~self.docs.field("held_out").to_numpy(zero_copy_only=False)
         held, waiting = [], 0
         for key, doc in self.keys(piece):
@@ -163,10 +163,7 @@ class Chunk:
                 waiting += len(first)
             if waiting > 2 * SLICE:
                 held, waiting = [summed(held)], 0
-        key, count = summed(held)
-        bucket = bucket_of(key, buckets)
-        order = np.argsort(bucket, kind="stable")
-        return key[order], count[order], bucket[order]
+        return summed(held)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -189,28 +186,55 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def summed(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
+    """Sorted distinct keys and the sums of their counts, from sorted blocks; the list is emptied.
+
+    The blocks meet range by range of their keys, so that what a sort needs is held for one range at a time.
+    """
     if len(blocks) == 1:
-        return blocks[0]
-    key, count = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        return blocks.pop()
+    longest = max((key for key, _ in blocks), key=len)
+    edges = np.unique(longest[SLICE // 2 :: SLICE // 2])
+    cuts = [[0, *np.searchsorted(key, edges), len(key)] for key, _ in blocks]
+    out = [joined([(key[c[i] : c[i + 1]], count[c[i] : c[i + 1]]) for (key, count), c in zip(blocks, cuts, strict=True)]) for i in range(len(edges) + 1)]
+    del longest
     blocks.clear()
+    keys, counts = (list(x) for x in zip(*out, strict=True))
+    del out
+    key = np.concatenate(keys)
+    del keys
+    return key, np.concatenate(counts)
+
+
+def joined(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    if not len(key):
+        return key, count
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
-    del order
     first = np.flatnonzero(np.diff(key, prepend=-1))
     return key[first], np.add.reduceat(count, first, dtype=count.dtype)
 
 
+def by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, list[slice]]]:
+    """The buckets of sorted keys in turn, each with the stretches of keys that are in it."""
+    cuts = np.append(np.flatnonzero(np.diff(key >> 8 * (DEPTH - TOP), prepend=-1)), len(key))
+    bucket = bucket_of(key[cuts[:-1]], buckets)
+    for b in np.unique(bucket):
+        yield int(b), [slice(cuts[i], cuts[i + 1]) for i in np.flatnonzero(bucket == b)]
+
+
 def asked(buckets: int, piece: int):
     """Blocks of a chunk's distinct keys with their training counts, one for each bucket of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                key, count, bucket = Chunk(batch, i).distinct(piece, buckets)
-                cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)]
+                key, count = Chunk(batch, i).distinct(piece)
                 number = batch.column("chunk")[i].as_py()
-                blocks = [(int(bucket[x]), number, packed_keys(key[x:y]), packed(count[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
+                blocks = [
+                    (b, number, packed_keys(np.concatenate([key[x] for x in within])), packed(np.concatenate([count[x] for x in within])))
+                    for b, within in by_bucket(key, buckets)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), BLOCK_TYPES, strict=True)], ["bucket", "chunk", "keys", "counts"]
                 )
@@ -398,14 +422,17 @@ def scored(total: int, distinct: int, piece: int, buckets: int):
                 base = np.log10((c + 1) / (total + distinct + 1))
                 del found
                 sums = [np.add.reduceat(x[chunk.tokens], chunk.first) for x in ((c > 0).astype(np.int64), base)]
-                answers = batch.column("answers")[i].values
-                known, _, _ = chunk.distinct(piece, buckets)
-                blocks = answers.field("prices").take(pa.array(np.argsort(answers.field("bucket").to_numpy())))
-                price = np.concatenate([unpacked(x, "<f4") for x in blocks.to_pylist()])
-                order = np.argsort(known)
-                known, price = known[order], price[order]
-                del order, blocks, answers
                 del c, base
+                answers = batch.column("answers")[i].values
+                place = {b: k for k, b in enumerate(answers.field("bucket").to_pylist())}
+                known = chunk.distinct(piece)[0]
+                price = np.empty(len(known), np.float32)
+                for b, within in by_bucket(known, buckets):
+                    block, at = unpacked(answers.field("prices")[place[b]].as_py(), "<f4"), 0
+                    for x in within:
+                        price[x] = block[at : at + x.stop - x.start]
+                        at += x.stop - x.start
+                del answers
                 score = np.zeros(len(chunk.n))
                 for key, doc in chunk.keys(piece):
                     if len(key):
@@ -424,7 +451,7 @@ def scored(total: int, distinct: int, piece: int, buckets: int):
 def key_prices(held: DataFrame, folder: str, piece: int, buckets: int) -> DataFrame:
     """(chunk, answers): what the keys of each chunk cost, in blocks."""
     spark = held.sparkSession
-    blocks = stored(held.select("chunk", "docs", "tokens", "vocabulary").mapInArrow(asked(buckets, piece), BLOCKS), f"{folder}/blocks")
+    blocks = stored(held.select("chunk", "docs", "tokens", "vocabulary").mapInArrow(asked(buckets, piece), BLOCKS), f"{folder}/blocks", at_once=1)
     dealt = blocks.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
     trees = stored(dealt.mapInArrow(totals, "bucket int, keys binary, counts binary"), f"{folder}/trees")
     sums = trees.mapInArrow(tops, "id long, n0 double, n1 double, weighted double")
@@ -462,7 +489,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     found = listed.select("chunk", "pos", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
     ready = held.select("chunk", "docs", "tokens", "vocabulary").join(found, "chunk").join(key_prices(held, folder, piece, buckets), "chunk")
     stats = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = ready.mapInArrow(scored(int(total), int(distinct), piece, buckets), stats).groupBy("row").agg(
+    parts = stored(ready.mapInArrow(scored(int(total), int(distinct), piece, buckets), stats), f"{folder}/parts", at_once=1)
+    out = parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],
     )

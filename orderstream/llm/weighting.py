@@ -7,12 +7,13 @@ mixes the estimates along its path with the weights the training text has given
 of it is one distribution over texts, so score is log10 of a probability, and -score / log10(2) bits over the bytes is the
 code length per byte.
 
-Documents become chunks of word numbers with their vocabulary (a stored table); the vocabularies' counts add up to a table of
-all words, for the base. A chunk's distinct keys (context and byte, the latest byte first) leave it in blocks, one for each
+Documents become chunks of word numbers with their vocabulary (a stored table). For the base, the vocabularies leave in blocks,
+one for each bucket of the words' hashes, whose task adds up the counts and answers the blocks. A chunk's distinct keys (context and byte, the latest byte first) leave it in blocks, one for each
 bucket of the last three context bytes, with their training counts. A bucket's blocks add up to its part of the trees: all
 below depth 2. The nodes of depth 2 (pairs of bytes that follow each other in UTF-8, times 255 decisions: fewer than 2^24
-at any size) are summed by Spark and go to every task. Each bucket then prices its keys and answers the chunks' blocks, and
-the chunks add up their documents. The number of buckets follows the bytes.
+at any size) are summed by Spark and go to every task. Each bucket then prices its keys and answers the chunks' blocks. All
+answers meet their chunk in one shuffle, where they are read one by one, and the chunk adds up its documents. The number of
+buckets follows the bytes.
 
 Null and wordless texts have the end alone. Rows with a null id train (unless held out is true) and are scored each.
 Repeated rows count as often as they come. An empty table gives an empty table; without training rows every decision is
@@ -22,11 +23,13 @@ even. Very long texts are spread over several chunks, whose contexts go on. Only
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -43,7 +46,9 @@ PER_BUCKET = 8 << 20  # bytes of text for each bucket of contexts
 END = b""  # the end token among the words; no word is empty
 CLOSE, STOP = b" ", b"\n"
 START = STOP * DEPTH
+EARLIER = np.uint64((1 << 8 * DEPTH) - 1 << 8)
 AT_ONCE = 20_000
+ANSWERS = 16  # answers that go to Python in one batch
 HALF = math.log(0.5)
 
 
@@ -53,6 +58,9 @@ def spelled(word: bytes) -> bytes:
 
 def parts_of(ws: list[bytes], room: int) -> Iterator[tuple[bytes, list[bytes]]]:
     """A text's words in parts of about room bytes, each with the DEPTH bytes before it."""
+    if ws and sum(map(len, ws)) + len(ws) <= room:
+        yield START, ws
+        return
     at, lead = 0, START
     while at < len(ws):
         end, size = at, 0
@@ -71,7 +79,6 @@ def chunks(room: int):
 
 
 def chunked(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1).compress
     number = row = TaskContext.get().partitionId() << 36
     place: dict[bytes, int] = {}
     info: list[tuple[int, object, bool, int, bytes]] = []
@@ -88,9 +95,9 @@ def chunked(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordB
                 "chunk": pa.array([number], pa.int64()),
                 "bytes": pa.array([held], pa.int64()),
                 "docs": pa.array([[{"row": r, "doc_id": d, "held_out": h, "n": n, "lead": x} for r, d, h, n, x in info]], kind),
-                "tokens": pa.array([squeeze(every.astype("<u4").tobytes())], pa.binary()),
-                "vocabulary": pa.array([list(place)], pa.list_(pa.binary())),
-                "counts": pa.ListArray.from_arrays(pa.array([0, len(place)], pa.int32()), pa.array(counts, pa.int64())),
+                "tokens": pa.array([packed(every.astype("<i4"))], pa.binary()),
+                "vocabulary": pa.array([packed_words(place)], pa.binary()),
+                "counts": pa.array([packed(counts)], pa.binary()),
             }
         )
         place, info, tokens, held, number = {}, [], [], 0, number + 1
@@ -117,39 +124,39 @@ class Chunk:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.docs = batch.column("docs")[i].values
-        self.tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("tokens")[i].as_py()), "<i4")
+        self.tokens = unpacked(batch.column("tokens")[i].as_py(), "<i4")
         self.n = self.docs.field("n").to_numpy()
         self.first = np.cumsum(self.n) - self.n
-        self.words = batch.column("vocabulary")[i].values
+        self.words = batch.column("vocabulary")[i].as_py()
 
     def keys(self, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(key, document's place) of all bytes, a slice at a time. A key: the byte before highest, the one before that
         next, ..., the byte itself lowest."""
         leads = self.docs.field("lead").to_pylist()
         distinct = {x: k for k, x in enumerate(dict.fromkeys(leads))}
-        spelling = [*map(spelled, self.words.to_pylist()), *distinct]
-        size = np.fromiter(map(len, spelling), np.int64, len(spelling))
-        start = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(spelling), np.uint8)
-        lead = np.array([len(self.words) + distinct[x] for x in leads], np.int32)
-        del spelling, leads, distinct
+        words = unpacked_words(self.words)
+        known = len(words)
+        spelling = pa.array([*map(spelled, words), *distinct], pa.binary())
+        size = pc.binary_length(spelling).to_numpy()
+        lead = np.array([known + distinct[x] for x in leads], np.int32)
+        del words, leads, distinct
         tokens = np.insert(self.tokens, self.first, lead)
         doc = np.repeat(np.arange(len(lead), dtype=np.int32), self.n + 1)
-        ends = np.cumsum(size[tokens])
+        ends = np.cumsum(size[tokens], dtype=np.int64)
+        reach = DEPTH + 1
         for a in range(0, int(ends[-1]) if len(ends) else 0, piece):
-            low, high = max(0, a - DEPTH), min(int(ends[-1]), a + piece)
+            low, high = max(0, a - reach), min(int(ends[-1]), a + piece)
             t = slice(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(ends, high - 1, "right")) + 1)
-            begin = ends[t] - size[tokens[t]]
-            each = np.minimum(ends[t], high) - np.maximum(begin, low)
-            at = np.arange(low, high)
-            data = text[np.repeat(start[tokens[t]] - begin, each) + at].astype(np.int64)
-            key = data.copy()
-            for j in range(1, DEPTH + 1):
-                key[j:] |= data[:-j] << 8 * (DEPTH + 1 - j)
-            keep = (at >= a) & np.repeat(tokens[t] < len(self.words), each)
+            part, begin = tokens[t], ends[t] - size[tokens[t]]
+            # Every byte with the reach bytes before it is one number, the byte itself highest.
+            data = np.zeros(reach + high - low, np.uint8)
+            data[reach:] = np.frombuffer(spelling.take(pa.array(part)).buffers()[2], np.uint8)[low - begin[0] : high - begin[0]]
+            run = np.ndarray(high - a, "<u8", data, a - low, (1,))
+            key = (run & EARLIER | run >> np.uint64(8 * reach)).view(np.int64)
+            each = np.maximum(np.minimum(ends[t], high) - np.maximum(begin, a), 0)
+            keep = np.repeat(part < known, each)
             yield key[keep], np.repeat(doc[t], each)[keep]
 
-
     def distinct(self, piece: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, sorted, with their training counts."""
         trains = ~self.docs.field("held_out").to_numpy(zero_copy_only=False)
@@ -177,6 +184,15 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def packed_words(words) -> bytes:
+    """Words, none of which has a blank."""
+    return zstandard.ZstdCompressor(level=1).compress(CLOSE.join(words))
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(CLOSE)
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     return packed(np.diff(keys, prepend=0))
 
@@ -215,6 +231,60 @@ def joined(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(count, first, dtype=count.dtype)
 
 
+def words_by_bucket(words: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets of words in turn, each with the places of the words that are in it."""
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def told(buckets: int):
+    """Blocks of a chunk's words with their training counts, one for each bucket of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, vocabulary, counts in zip(*(batch.column(c) for c in ("chunk", "vocabulary", "counts")), strict=True):
+                words, count = unpacked_words(vocabulary.as_py()), unpacked(counts.as_py(), "<i8")
+                blocks = [(b, number.as_py(), packed_words([words[i] for i in at.tolist()]), packed(count[at])) for b, at in words_by_bucket(words, buckets)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), BLOCK_TYPES, strict=True)], ["bucket", "chunk", "words", "counts"]
+                )
+
+    return run
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words' counts over all chunks for every chunk's block, and a row of the bucket's sums; rows are sorted by bucket."""
+    place: dict[bytes, int] = {}
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    now = None
+
+    def flush() -> pa.RecordBatch:
+        total = np.zeros(len(place), np.int64)
+        for _, at, count in held:
+            total[at] += count  # a block has a word once
+        rows = [(now, None, None, int(total.sum()), int(np.count_nonzero(total)))]
+        rows += [(now, number, packed(total[at]), None, None) for number, at, _ in held]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COUNT_TYPES, strict=True)], list(COUNT_NAMES))
+
+    for batch in batches:
+        for bucket, number, words, counts in zip(*(batch.column(c) for c in ("bucket", "chunk", "words", "counts")), strict=True):
+            if held and bucket.as_py() != now:
+                yield flush()
+                place, held = {}, []
+            now, ws = bucket.as_py(), unpacked_words(words.as_py())
+            at = np.fromiter((place.setdefault(w, len(place)) for w in ws), np.int32, len(ws))
+            held.append((number.as_py(), at, unpacked(counts.as_py(), "<i8")))
+    if held:
+        yield flush()
+
+
+COUNT_NAMES = ("bucket", "chunk", "counts", "total", "known")
+COUNT_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+
 def by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, list[slice]]]:
     """The buckets of sorted keys in turn, each with the stretches of keys that are in it."""
     cuts = np.append(np.flatnonzero(np.diff(key >> 8 * (DEPTH - TOP), prepend=-1)), len(key))
@@ -404,52 +474,67 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not chunk.is_valid:
                 known, price = unpacked_keys(keys.as_py()), unpacked(prices.as_py(), "<f4")
             else:
-                out.append((bucket.as_py(), chunk.as_py(), packed(price[np.searchsorted(known, unpacked_keys(keys.as_py()))])))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int32(), pa.int64(), pa.binary()])], ["bucket", "chunk", "prices"]
-        )
+                out.append((bucket.as_py(), chunk.as_py(), keys.as_py(), packed(price[np.searchsorted(known, unpacked_keys(keys.as_py()))])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(BLOCK_TYPES)], ["bucket", "chunk", "keys", "prices"])
 
 
 def scored(total: int, distinct: int, piece: int, buckets: int):
-    """Sums over every document's tokens and bytes."""
+    """Sums over every document's tokens and bytes. Rows are sorted by chunk: the chunk, then the answers to its blocks."""
+
+    def sums(chunk: Chunk, c: np.ndarray, asked: list[np.ndarray], prices: list[np.ndarray]) -> pa.RecordBatch:
+        base = np.log10((c + 1) / (total + distinct + 1))
+        sums = [np.add.reduceat(x[chunk.tokens], chunk.first) for x in ((c > 0).astype(np.int64), base)]
+        del c, base
+        known = np.concatenate(asked)
+        asked.clear()
+        order = np.argsort(known)
+        known, price = known[order], np.concatenate(prices)[order]
+        prices.clear()
+        del order
+        score = np.zeros(len(chunk.n))
+        for key, doc in chunk.keys(piece):
+            if len(key):
+                order = np.argsort(key)
+                at = np.searchsorted(known, key[order])
+                sub = np.bincount(doc[order] - doc[0], weights=price[at])
+                score[doc[0] : doc[0] + len(sub)] += sub
+        docs = chunk.docs
+        return pa.RecordBatch.from_arrays(
+            [docs.field("row"), docs.field("doc_id"), docs.field("held_out"), pa.array(chunk.n.astype(np.int64)), *map(pa.array, [*sums, score])],
+            ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, asked, prices = None, [], []
         for batch in batches:
             for i in range(len(batch)):
-                chunk = Chunk(batch, i)
-                found = batch.column("found")[i].values
-                c = found.field("c").to_numpy()[np.argsort(found.field("pos").to_numpy())]
-                base = np.log10((c + 1) / (total + distinct + 1))
-                del found
-                sums = [np.add.reduceat(x[chunk.tokens], chunk.first) for x in ((c > 0).astype(np.int64), base)]
-                del c, base
-                answers = batch.column("answers")[i].values
-                place = {b: k for k, b in enumerate(answers.field("bucket").to_pylist())}
-                known = chunk.distinct(piece)[0]
-                price = np.empty(len(known), np.float32)
-                for b, within in by_bucket(known, buckets):
-                    block, at = unpacked(answers.field("prices")[place[b]].as_py(), "<f4"), 0
-                    for x in within:
-                        price[x] = block[at : at + x.stop - x.start]
-                        at += x.stop - x.start
-                del answers
-                score = np.zeros(len(chunk.n))
-                for key, doc in chunk.keys(piece):
-                    if len(key):
-                        each, at = np.unique(key, return_inverse=True)
-                        sub = np.bincount(doc - doc[0], weights=price[np.searchsorted(known, each)][at])
-                        score[doc[0] : doc[0] + len(sub)] += sub
-                docs = chunk.docs
-                yield pa.RecordBatch.from_arrays(
-                    [docs.field("row"), docs.field("doc_id"), docs.field("held_out"), pa.array(chunk.n.astype(np.int64)), *map(pa.array, [*sums, score])],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
+                if batch.column("tokens")[i].is_valid:
+                    if chunk is not None:
+                        yield sums(chunk, c, asked, prices)
+                    chunk = Chunk(batch, i)
+                    words = unpacked_words(chunk.words)
+                    c, place = np.zeros(len(words), np.int64), dict(words_by_bucket(words, buckets))
+                    del words
+                elif batch.column("counts")[i].is_valid:
+                    c[place.pop(batch.column("bucket")[i].as_py())] = unpacked(batch.column("counts")[i].as_py(), "<i8")
+                else:
+                    asked.append(unpacked_keys(batch.column("keys")[i].as_py()))
+                    prices.append(unpacked(batch.column("prices")[i].as_py(), "<f4"))
+        if chunk is not None:
+            yield sums(chunk, c, asked, prices)
 
     return run
 
 
+def word_counts(held: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """(bucket, chunk, counts): the counts of each chunk's words over all, in blocks; without a chunk, a bucket's sums."""
+    blocks = held.select("chunk", "vocabulary", "counts").mapInArrow(told(buckets), "bucket int, chunk long, words binary, counts binary")
+    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
+    return stored(dealt.mapInArrow(counted, "bucket int, chunk long, counts binary, total long, known long"), f"{folder}/words", at_once=ANSWERS)
+
+
 def key_prices(held: DataFrame, folder: str, piece: int, buckets: int) -> DataFrame:
-    """(chunk, answers): what the keys of each chunk cost, in blocks."""
+    """(bucket, chunk, keys, prices): what the keys of each chunk cost, in blocks."""
     spark = held.sparkSession
     blocks = stored(held.select("chunk", "docs", "tokens", "vocabulary").mapInArrow(asked(buckets, piece), BLOCKS), f"{folder}/blocks", at_once=1)
     dealt = blocks.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
@@ -460,8 +545,7 @@ def key_prices(held: DataFrame, folder: str, piece: int, buckets: int) -> DataFr
     prices = trees.mapInArrow(priced(top), "bucket int, keys binary, prices binary").withColumn("chunk", F.lit(None).cast("long"))
     meeting = prices.unionByName(blocks.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("prices")))
     meeting = meeting.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).select("bucket", "chunk", "keys", "prices")
-    answers = meeting.mapInArrow(answered, "bucket int, chunk long, prices binary")
-    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "prices")).alias("answers"))
+    return meeting.mapInArrow(answered, "bucket int, chunk long, keys binary, prices binary")
 
 
 BLOCKS = "bucket int, chunk long, keys binary, counts binary"
@@ -478,18 +562,18 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = (
         f"chunk long, bytes long, docs array<struct<row:bigint,doc_id:{kind},held_out:boolean,n:int,lead:binary>>, tokens binary,"
-        " vocabulary array<binary>, counts array<bigint>"
+        " vocabulary binary, counts binary"
     )
     held = stored(rows.mapInArrow(chunks(chunk), shape), f"{folder}/chunks")
     buckets = max(64, (held.agg(F.sum("bytes")).first()[0] or 0) // PER_BUCKET)
-    listed = held.select("chunk", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("pos", "x"))
-    listed = listed.select("chunk", "pos", F.col("x.vocabulary").alias("word"), F.col("x.counts").alias("c"))
-    words = stored(listed.groupBy("word").agg(F.sum("c").alias("c")), f"{folder}/words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    found = listed.select("chunk", "pos", "word").join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    ready = held.select("chunk", "docs", "tokens", "vocabulary").join(found, "chunk").join(key_prices(held, folder, piece, buckets), "chunk")
+    counts = word_counts(held, folder, buckets)
+    total, distinct = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "known")]).first()
+    ready = held.select("chunk", F.lit(0).alias("turn"), "docs", "tokens", "vocabulary")
+    for answers in (counts.where("chunk is not null").select("chunk", "bucket", "counts"), key_prices(held, folder, piece, buckets)):
+        ready = ready.unionByName(answers.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    ready = ready.repartition("chunk").sortWithinPartitions("chunk", "turn")
     stats = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    parts = stored(ready.mapInArrow(scored(int(total), int(distinct), piece, buckets), stats), f"{folder}/parts", at_once=1)
+    parts = stored(ready.mapInArrow(scored(int(total), int(distinct), piece, buckets), stats), f"{folder}/parts", at_once=ANSWERS)
     out = parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")],

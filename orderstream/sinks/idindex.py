@@ -23,7 +23,7 @@ from orderstream.sinks.levels import Levels, Run, union_all, with_info
 STORED_ID = "message_id STRING, batch_id BIGINT"
 FILTER = "bucket INT, segment INT, bits BINARY"
 
-# What one value of `bitmap_construct_agg` holds.
+# Bits of a segment, in words of 64.
 SEGMENT_BITS = 32_768
 IDS_PER_SEGMENT = 2_000
 PROBES = 8
@@ -42,6 +42,25 @@ def _is_set(bits: Column, position: Column) -> Column:
     return F.getbit(byte, position.bitwiseAND(7).cast("int")) == 1
 
 
+def filters_of(bits: DataFrame) -> DataFrame:
+    """The segments (bucket, segment, bits) with the bits of all rows (bucket, segment, position) set.
+
+    What `bitmap_construct_agg` gives, which sorts its rows, eight an id. Here a task's hash map has a word of 64 bits at
+    most once, a quarter of an entry an id, and only words meet and are put together.
+    """
+    # A word is written as hexadecimal digits, so its first byte is the highest.
+    mask = F.expr("bit_or(shiftleft(1L, cast(56 - (position & 56) + (position & 7) as int)))")
+    words = bits.groupBy("bucket", "segment", F.shiftright("position", 6).cast("int").alias("word")).agg(mask.alias("mask"))
+    listed = words.groupBy("bucket", "segment").agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("words"))
+
+    def digits(x: Column, i: Column) -> Column:
+        missing = x["word"] - F.coalesce(F.get("words", i - 1)["word"], F.lit(-1)) - 1
+        return F.concat(F.repeat(F.lit("0" * 16), missing), F.lpad(F.hex(x["mask"]), 16, "0"))
+
+    text = F.rpad(F.concat_ws("", F.transform("words", digits)), SEGMENT_BITS // 4, "0")
+    return listed.select("bucket", "segment", F.unhex(text).alias("bits"))
+
+
 @dataclass(frozen=True)
 class IdIndex(Levels):
     """The index below a folder. `buckets`: a power of two, the same for the life of the index."""
@@ -76,8 +95,7 @@ class IdIndex(Levels):
             self._segment(F.col("message_id"), F.lit(segments)).alias("segment"),
             F.explode(_positions(F.col("message_id"))).alias("position"),
         )
-        filters = bits.groupBy("bucket", "segment").agg(F.bitmap_construct_agg("position").alias("bits"))
-        filters.sortWithinPartitions("bucket", "segment").write.mode("overwrite").parquet(f"{folder}/filters")
+        filters_of(bits).sortWithinPartitions("bucket", "segment").write.mode("overwrite").parquet(f"{folder}/filters")
         return with_info(run, rows=count, segments=segments)
 
     def rows_of(self, spark: SparkSession, runs: list[Run]) -> DataFrame:

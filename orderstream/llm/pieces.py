@@ -6,8 +6,10 @@ the worst piece and is written as its bytes' pieces; so is a marker that the tex
 exact. Of equal sums the one with the longer last piece wins. Decoding joins the pieces, turns byte pieces into bytes,
 markers into spaces, and drops the leading space: encode and decode are each other's inverse for every text.
 
-No piece spans the border before a marker, so a text is cut there and each distinct part is solved once per worker. The
-trie is built on the driver and broadcast; its size is bounded by the vocabulary's. No shuffle.
+No piece spans the border before a marker, so a text is cut there and each distinct part is solved once per worker, as long
+as it is among the CACHED ones. The new parts of some texts are solved side by side: all starts walk the trie at once, then
+the best sums grow place by place. The trie is built on the driver and broadcast; its size is bounded by the vocabulary's. No
+shuffle.
 
 Null and empty texts have no ids; null decodes to null. Repeated rows are encoded each. An empty table gives an empty
 table. Other columns pass through. A text without spaces is one part, worked off in time linear in its length.
@@ -30,6 +32,12 @@ from orderstream.llm.common import read
 MARK = "▁"
 BELOW = 10.0
 CACHED = 250_000
+# Shorter parts are kept and solved side by side, so many bytes of them at a time, if there are so many at least.
+SHORT = 64
+TOGETHER = 1 << 20
+FEW = 32
+# Characters of texts that are cut into parts at a time.
+CHARS = 1 << 20
 PART = re.compile(f" +[^ {MARK}]*|[^ {MARK}]+|{MARK}+")
 
 
@@ -95,6 +103,9 @@ class Model:
         for b, i in self.bytes_ids.items():
             self.texts[i] = bytes([b])
         self.known: dict[str, bytes] = {}
+        trie = self.trie
+        self.arrays = tuple(np.array(x, np.int32) for x in (trie.base, trie.check, trie.value))
+        self.byte_ids = np.array([self.bytes_ids[b] for b in range(256)], "<u4")
 
     def solve(self, part: str) -> bytes:
         """The ids of a part, as little-endian 32-bit numbers. Spaces stand for markers."""
@@ -134,30 +145,112 @@ class Model:
             j = i
         return np.array(ids[::-1], "<u4").tobytes()
 
+    def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of every piece in the bytes, and of unknown characters, whose piece is -1; 0xFF is in none."""
+        base, check, value = self.arrays
+        at = np.flatnonzero((data & 0xC0 != 0x80) & (data != 0xFF)).astype(np.int32)
+        first = data[at]
+        width = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))).astype(np.int32)
+        single = np.zeros(len(data), bool)
+        found, length, begin, state = [], 0, at, np.zeros(len(at), np.int32)
+        widths = width
+        while len(begin):
+            # The last byte is 0xFF, so a walk ends before it leaves the bytes.
+            nxt = base[state] + data[begin + length] + 1
+            goes = check[nxt] == state
+            begin, state, widths, length = begin[goes], nxt[goes], widths[goes], length + 1
+            piece = value[state]
+            ends = piece >= 0
+            found.append((begin[ends], np.full(np.count_nonzero(ends), length, np.int32), piece[ends]))
+            single[begin[ends & (widths == length)]] = True
+        alone = ~single[at]
+        found.append((at[alone], width[alone], np.full(np.count_nonzero(alone), -1, np.int32)))
+        start, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        return start, length, piece
+
+    def solve_all(self, parts: list[str]) -> list[bytes]:
+        """What `solve` gives for each part, worked off side by side; no part may hold a marker."""
+        joined = b"\xff".join([p.encode("utf-8", "surrogatepass") for p in parts]) + b"\xff"
+        data = np.frombuffer(joined.replace(b" ", MARK.encode()), np.uint8)
+        ends = np.flatnonzero(data == 0xFF)
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        start, length, piece = self.edges(data)
+        place = (start - np.repeat(begins, ends - begins + 1)[start]).astype(np.int32)
+        order = np.argsort(place, kind="stable")
+        start, length, piece, place = start[order], length[order], piece[order], place[order]
+        score = np.where(piece < 0, self.unknown, np.array(self.scores)[piece])
+        best, back, by = np.full(len(data), -1e300), np.zeros(len(data), np.int32), np.full(len(data), -1, np.int32)
+        best[begins] = 0.0
+        bounds = np.searchsorted(place, np.arange(place[-1] + 2))
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            # All edges from one place of their parts: no two of them end at the same byte. Earlier starts win ties.
+            i = start[low:high]
+            j, total = i + length[low:high], best[i] + score[low:high]
+            better = total > best[j]
+            j = j[better]
+            best[j], back[j], by[j] = total[better], i[better], piece[low:high][better]
+        ids, kept, j = np.zeros(len(data), "<u4"), np.zeros(len(data), bool), ends
+        first = begins
+        while len(j):
+            i, last = back[j], by[j]
+            known = last >= 0
+            ids[i[known]], kept[i[known]] = last[known], True
+            spelt, stop = i[~known], j[~known]
+            while len(spelt):
+                ids[spelt], kept[spelt] = self.byte_ids[data[spelt]], True
+                spelt, stop = spelt[spelt + 1 < stop] + 1, stop[spelt + 1 < stop]
+            more = i > first
+            j, first = i[more], first[more]
+        out = ids[kept].tobytes()
+        sizes = np.cumsum(np.concatenate([[0], np.add.reduceat(kept, begins, dtype=np.int64)])) * 4
+        return [out[a:b] for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
+
+    def learn(self, parts: set[str]) -> list[str]:
+        """Solves what is not known yet; returns the parts that are not to be kept."""
+        new = parts - self.known.keys()
+        alone = new if len(new) < FEW else [p for p in new if len(p) >= SHORT or p[0] == MARK]
+        together = [] if len(new) < FEW else [p for p in new if len(p) < SHORT and p[0] != MARK]
+        for part in alone:
+            self.known[part] = self.solve(part)
+        step = TOGETHER // SHORT
+        for at in range(0, len(together), step):
+            some = together[at : at + step]
+            self.known.update(zip(some, self.solve_all(some), strict=True))
+        return [p for p in alone if len(p) >= SHORT]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        at = 0
+        while at < len(texts):
+            cut, chars = [], 0
+            while at < len(texts) and (not cut or chars + len(texts[at] or "") <= CHARS):
+                text = texts[at] or ""
+                cut.append(parts_of(text))
+                chars, at = chars + len(text), at + 1
+            if len(self.known) > CACHED:
+                self.known.clear()
+            passing = self.learn(set().union(*cut))
+            yield from [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+            for part in passing:
+                del self.known[part]
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            parts = PART.findall(f" {text}")
-        else:
-            parts = [f" {w}" for w in text.split(" ")]
-        known, out = self.known, []
-        if len(known) > CACHED:
-            known.clear()
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self.solve(part)
-                if len(part) < 64:
-                    known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> str:
         texts = self.texts
         return b"".join([texts[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
 
 
+def parts_of(text: str) -> list[str]:
+    """The text with a leading space, cut before markers; an empty one has no part."""
+    if not text:
+        return []
+    if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return PART.findall(f" {text}")
+    return [f" {w}" for w in text.split(" ")]
+
+
 def shape_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
@@ -170,7 +263,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", name: str = "ids
         model = held.value
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            data = [model.encode(x) for x in texts]
+            data = list(model.encode_all(texts))
             sizes = np.array([0, *(len(x) // 4 for x in data)])
             ends = pa.array(np.cumsum(sizes).astype(np.int32))
             ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), "<i4")))
@@ -204,8 +297,8 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         is_byte[list(model.bytes_ids.values())] = True
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
-                data = model.encode(text)
+            texts = batch.column("text").to_pylist()
+            for text, data in zip(texts, model.encode_all(texts), strict=True):
                 ids = np.frombuffer(data, "<u4")
                 out.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(data), model.decode(ids) == (text or "")))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]

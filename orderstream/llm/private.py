@@ -120,10 +120,22 @@ def card(x: Column, key: str) -> Column:
     return refilled(x, F.concat(payload, check.cast("string")))
 
 
+def bound(value: Column, body) -> Column:
+    """The body over a value that is worked out once; inside other lambdas a plain expression is worked out each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def card_parts(x: Column) -> Column:
     """A run of digit groups as parts, each a card (kind card) or a group of none; separators stay with what follows."""
-    groups = F.regexp_extract_all(x, F.lit(r"[ -]?\d+"), F.lit(0))
-    alone = F.transform(groups, lambda g: valid_card(digits(g)))
+
+    def of_groups(groups: Column) -> Column:
+        return bound(F.transform(groups, lambda g: valid_card(digits(g))), lambda alone: parted(groups, alone))
+
+    return bound(F.regexp_extract_all(x, F.lit(r"[ -]?\d+"), F.lit(0)), of_groups)
+
+
+def parted(groups: Column, alone: Column) -> Column:
+    """The parts of a run by its groups and by which of them are cards alone."""
 
     def length(i: Column) -> Column:
         """How many groups the card that begins at the i-th has."""
@@ -138,9 +150,12 @@ def card_parts(x: Column) -> Column:
     start = F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{part}>").alias("parts"))
 
     def step(s: Column, i: Column) -> Column:
-        n = F.when(i < s["next"], -1).otherwise(length(i))
-        new = F.array(F.struct(F.array_join(F.slice(groups, i + 1, F.greatest(n, F.lit(1))), "").alias("x"), F.when(n > 0, F.lit("card")).alias("kind")))
-        return F.when(i < s["next"], s).otherwise(F.struct((i + F.greatest(n, F.lit(1))).alias("next"), F.concat(s["parts"], new).alias("parts")))
+        def taken(n: Column) -> Column:
+            size = F.greatest(n, F.lit(1))
+            new = F.array(F.struct(F.array_join(F.slice(groups, i + 1, size), "").alias("x"), F.when(n > 0, F.lit("card")).alias("kind")))
+            return F.struct((i + size).alias("next"), F.concat(s["parts"], new).alias("parts"))
+
+        return F.when(i < s["next"], s).otherwise(bound(length(i), taken))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, step, lambda s: s["parts"])
 
